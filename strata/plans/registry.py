@@ -8,6 +8,7 @@ engine-neutral for comparison: timestamps are returned as naive
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,14 +50,38 @@ def register(name: str):
 
 
 # --- building blocks -------------------------------------------------------
+# Lazy frames are immutable, so one plan per (session, data folder) is shared
+# by every query instead of re-issuing a few thousand plan-building calls
+# each time. Nothing is cached or collected: each query still runs its own
+# job over the whole input.
+_PLANS: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
+
+def _memo(spark: SparkSession, key: tuple, build: Callable[[], object]):
+    per_session = _PLANS.setdefault(spark, {})
+    if key not in per_session:
+        per_session[key] = build()
+    return per_session[key]
+
+
+def demo_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _memo(spark, ("zones", sf_dir), lambda: sample.zone_lookup(spark, sf_dir))
+
+
 def demo_silver(spark: SparkSession, sf_dir: str, run_id: str = RUN_ID) -> DataFrame:
-    return to_silver(sample.raw_trips(spark, sf_dir), sample.zone_lookup(spark, sf_dir), run_id)
+    return _memo(
+        spark,
+        ("silver", sf_dir, run_id),
+        lambda: to_silver(sample.raw_trips(spark, sf_dir), demo_zones(spark, sf_dir), run_id),
+    )
 
 
 def demo_star(spark: SparkSession, sf_dir: str, run_id: str = RUN_ID) -> dict[str, DataFrame]:
-    zones = sample.zone_lookup(spark, sf_dir)
-    silver = to_silver(sample.raw_trips(spark, sf_dir), zones, run_id)
-    return dims.build_star(silver, zones)
+    return _memo(
+        spark,
+        ("star", sf_dir, run_id),
+        lambda: dims.build_star(demo_silver(spark, sf_dir, run_id), demo_zones(spark, sf_dir)),
+    )
 
 
 def _report(name: str, **kw):

@@ -2,10 +2,10 @@
 
 Every report takes ``star`` = ``{"fact_fhvhv_trips", "dim_date", "dim_zone"}``
 DataFrames (read from a published snapshot or built lazily) and returns a
-DataFrame. Lookups are joined with a size-checked broadcast, so the fact is
-never shuffled for a join; aggregates merge partially on the map side, so a
-hot zone or date does not concentrate rows in one task. Top-k cuts order by
-the measure and then by the group keys, so membership at the cut is defined.
+DataFrame. Aggregates merge partially on the map side, so a hot zone or date
+does not concentrate rows in one task; dimensions are joined only to
+pre-aggregated rows. Top-k cuts order by the measure and then by the group
+keys, so membership at the cut is defined.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from strata.contracts import IDENTIFIER_PATTERN, UNKNOWN
 from strata.functions.columns import ratio_pct
-from strata.operators.aggregates import count_and_mean, count_by, summary_band, value_range
-from strata.operators.joins import bounded_broadcast, role_dimension
+from strata.operators.aggregates import count_by, summary_band, value_range
+from strata.operators.joins import role_dimension
 from strata.operators.ordering import sort_by, sort_by_measure, top_k
 from strata.operators.sets import completeness_profile, table_counts
 
@@ -30,22 +30,44 @@ def _fact(star: Star) -> DataFrame:
     return star["fact_fhvhv_trips"]
 
 
-def _zone_role(star: Star, fact_key: str, prefix: str) -> DataFrame:
-    dim = star["dim_zone"].select("location_id", "borough", "zone", "service_zone")
-    return role_dimension(bounded_broadcast(dim), "location_id", fact_key, prefix,
-                          ("borough", "zone", "service_zone"))
-
-
 def _label(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(UNKNOWN))
 
 
-def _with_zones(fact: DataFrame, star: Star, pickup=True, dropoff=False) -> DataFrame:
+# Zone-labelled reports aggregate the fact by location id(s) first: a hash
+# aggregate with map-side partial merge, so a hot id is collapsed inside each
+# task and only one row per id (pair) and task reaches the shuffle. The few
+# aggregated rows are then joined to dim_zone and re-aggregated by label. This
+# equals join-then-aggregate exactly, including lookup fan-out (each matching
+# lookup row receives the id's count) and unmatched ids (null label). The fact
+# itself is never joined, so no broadcast of anything that grows with it.
+def _id_counts(fact: DataFrame, keys: list[str], durations: bool = False) -> DataFrame:
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    if durations:
+        aggs += [F.sum("trip_duration_minutes").alias("_s"),
+                 F.count("trip_duration_minutes").alias("_c")]
+    return fact.groupBy(*keys).agg(*aggs)
+
+
+def _zone_role(star: Star, fact_key: str, prefix: str) -> DataFrame:
+    dim = star["dim_zone"].select("location_id", "borough", "zone", "service_zone")
+    return role_dimension(dim, "location_id", fact_key, prefix, ("borough", "zone", "service_zone"))
+
+
+def _label_ids(ids: DataFrame, star: Star, pickup=True, dropoff=False) -> DataFrame:
     if pickup:
-        fact = fact.join(_zone_role(star, "pu_location_id", "pu"), "pu_location_id", "left")
+        ids = ids.join(_zone_role(star, "pu_location_id", "pu"), "pu_location_id", "left")
     if dropoff:
-        fact = fact.join(_zone_role(star, "do_location_id", "dz"), "do_location_id", "left")
-    return fact
+        ids = ids.join(_zone_role(star, "do_location_id", "dz"), "do_location_id", "left")
+    return ids
+
+
+def _rollup(labelled: DataFrame, keys: list[Column], durations: bool = False) -> DataFrame:
+    aggs = [F.sum("_n").alias("trips")]
+    if durations:
+        mean = F.try_divide(F.sum("_s"), F.sum("_c").cast("double"))
+        aggs.append(F.round(mean, 2).alias("avg_minutes"))
+    return labelled.groupBy(*keys).agg(*aggs)
 
 
 # R1
@@ -72,17 +94,19 @@ def dropoff_location_coverage(star: Star) -> DataFrame:
 
 # R5
 def daily_trip_volume(star: Star) -> DataFrame:
-    """Inner join: a fact row whose date key has no dim_date row is dropped."""
-    dates = bounded_broadcast(star["dim_date"].select("date_key", "full_date"))
-    joined = _fact(star).join(dates, F.col("pickup_date_key") == F.col("date_key"), "inner")
-    out = count_by(joined, [F.col("full_date").alias("pickup_date")])
+    """Inner join: a fact row whose date key has no dim_date row is dropped.
+    Counted per date key first, then joined to dim_date (both sides small)."""
+    per_key = _id_counts(_fact(star), ["pickup_date_key"])
+    dates = star["dim_date"].select("date_key", "full_date")
+    joined = per_key.join(dates, F.col("pickup_date_key") == F.col("date_key"), "inner")
+    out = joined.groupBy(F.col("full_date").alias("pickup_date")).agg(F.sum("_n").alias("trips"))
     return sort_by(out, "pickup_date")
 
 
 # R6
 def pickup_borough_mix(star: Star) -> DataFrame:
-    f = _with_zones(_fact(star), star)
-    out = count_by(f, [_label("pu_borough").alias("pickup_borough")])
+    ids = _label_ids(_id_counts(_fact(star), ["pu_location_id"]), star)
+    out = _rollup(ids, [_label("pu_borough").alias("pickup_borough")])
     return sort_by_measure(out, "trips", ["pickup_borough"])
 
 
@@ -98,10 +122,10 @@ def warehouse_table_counts(star: Star) -> DataFrame:
 
 
 def _top_zones(star: Star, key: str, prefix: str, name: str, k: int) -> DataFrame:
-    f = _fact(star).where(F.col(key).isNotNull())
-    f = f.join(_zone_role(star, key, prefix), key, "left")
+    ids = _id_counts(_fact(star).where(F.col(key).isNotNull()), [key])
+    ids = ids.join(_zone_role(star, key, prefix), key, "left")
     label = F.concat(_label(f"{prefix}_borough"), F.lit(" - "), _label(f"{prefix}_zone"))
-    return top_k(count_by(f, [label.alias(name)]), "trips", k, [name])
+    return top_k(_rollup(ids, [label.alias(name)]), "trips", k, [name])
 
 
 # R9
@@ -116,17 +140,18 @@ def top_dropoff_zones(star: Star, k: int = 15) -> DataFrame:
 
 # R11
 def borough_flows(star: Star, k: int = 25) -> DataFrame:
-    f = _with_zones(_fact(star), star, pickup=True, dropoff=True)
+    ids = _id_counts(_fact(star), ["pu_location_id", "do_location_id"], durations=True)
+    ids = _label_ids(ids, star, pickup=True, dropoff=True)
     keys = [_label("pu_borough").alias("pickup_borough"), _label("dz_borough").alias("dropoff_borough")]
-    out = count_and_mean(f, keys, "trip_duration_minutes")
-    return top_k(out, "trips", k, ["pickup_borough", "dropoff_borough"])
+    return top_k(_rollup(ids, keys, durations=True), "trips", k, ["pickup_borough", "dropoff_borough"])
 
 
 def _routes(star: Star) -> DataFrame:
     f = _fact(star).where(F.col("pu_location_id").isNotNull() & F.col("do_location_id").isNotNull())
-    f = _with_zones(f, star, pickup=True, dropoff=True)
+    ids = _label_ids(_id_counts(f, ["pu_location_id", "do_location_id"], durations=True), star,
+                     pickup=True, dropoff=True)
     keys = [_label("pu_zone").alias("pickup_zone"), _label("dz_zone").alias("dropoff_zone")]
-    return count_and_mean(f, keys, "trip_duration_minutes")
+    return _rollup(ids, keys, durations=True)
 
 
 # R12
@@ -143,8 +168,8 @@ def longest_common_routes(star: Star, k: int = 25, min_trips: int = 100) -> Data
 
 # R14
 def pickup_service_zone(star: Star) -> DataFrame:
-    f = _with_zones(_fact(star), star)
-    out = count_by(f, [_label("pu_service_zone").alias("pickup_service_zone")])
+    ids = _label_ids(_id_counts(_fact(star), ["pu_location_id"]), star)
+    out = _rollup(ids, [_label("pu_service_zone").alias("pickup_service_zone")])
     return sort_by_measure(out, "trips", ["pickup_service_zone"])
 
 
