@@ -87,7 +87,11 @@ def build_star(silver: DataFrame, zones: DataFrame, load_time: bool = True) -> d
 def cluster_fact(fact: DataFrame) -> DataFrame:
     """Physical layout of the fact (T4): rows of one date key together, sorted
     by (date key, hour, pickup id) inside each partition so Parquet row-group
-    min/max statistics can skip on all three."""
-    return fact.repartition("pickup_date_key").sortWithinPartitions(
+    min/max statistics can skip on all three.
+
+    ``rebalance`` rather than ``repartition``: AQE splits a date that holds a
+    large share of all trips into several advisory-sized tasks instead of
+    sending it to one, and merges small dates together."""
+    return fact.hint("rebalance", "pickup_date_key").sortWithinPartitions(
         "pickup_date_key", "pickup_hour", "pu_location_id"
     )

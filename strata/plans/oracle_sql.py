@@ -44,12 +44,23 @@ zones AS (
   FROM nation JOIN region ON n_regionkey = r_regionkey
 )"""
 
+SRC_ONE = """
+src AS (SELECT *, '{run}' AS run_id FROM raw)"""
+
+# Two overlapping runs: run-a = pickup days 1-20, run-b = days 11-30.
+SRC_TWO = """
+src AS (
+  SELECT *, 'run-a' AS run_id FROM raw WHERE day(pickup_datetime) <= 20
+  UNION ALL
+  SELECT *, 'run-b' AS run_id FROM raw WHERE day(pickup_datetime) >= 11
+)"""
+
 ENRICHED = """
 enriched AS (
   SELECT t.*,
     pz.borough AS pu_borough, pz.zone AS pu_zone, pz.service_zone AS pu_service_zone,
     dz.borough AS do_borough, dz.zone AS do_zone, dz.service_zone AS do_service_zone
-  FROM {src} t
+  FROM src t
   LEFT JOIN zones pz ON t.pu_location_id = pz.location_id
   LEFT JOIN zones dz ON t.do_location_id = dz.location_id
 )"""
@@ -65,7 +76,6 @@ derived AS (
     CAST(strftime(pickup_datetime, '%Y%m%d') AS INTEGER) AS pickup_date_key,
     (epoch(date_trunc('second', dropoff_datetime)) - epoch(date_trunc('second', pickup_datetime))) / 60.0
       AS trip_duration_minutes,
-    {run} AS run_id,
     sha256(concat_ws('||', dispatching_base_num, CAST(pickup_datetime AS VARCHAR),
       CAST(dropoff_datetime AS VARCHAR), CAST(pu_location_id AS VARCHAR),
       CAST(do_location_id AS VARCHAR), affiliated_base_number, source_file)) AS trip_id,
@@ -114,21 +124,23 @@ dim_zone AS (
 )"""
 
 
-def chain(*ctes: str, src: str = "raw", run: str = RUN_ID) -> str:
-    body = ",".join(c.format(src=src, run=f"'{run}'") for c in ctes)
+def chain(*ctes: str, run: str = RUN_ID) -> str:
+    body = ",".join(c.replace("{run}", run) for c in ctes)
     return "WITH" + body + "\n"
 
 
-PIPE_SILVER = (RAW, ZONES, ENRICHED, DERIVED, SILVER)
+PIPE_SILVER = (RAW, SRC_ONE, ZONES, ENRICHED, DERIVED, SILVER)
 PIPE_STAR = PIPE_SILVER + (FACT, DIM_DATE, DIM_ZONE)
+PIPE_SILVER_TWO = (RAW, SRC_TWO, ZONES, ENRICHED, DERIVED, SILVER)
+PIPE_STAR_TWO = PIPE_SILVER_TWO + (FACT, DIM_DATE, DIM_ZONE)
 
 
-def star_sql(select: str) -> str:
-    return chain(*PIPE_STAR) + select
+def star_sql(select: str, two_runs: bool = False) -> str:
+    return chain(*(PIPE_STAR_TWO if two_runs else PIPE_STAR)) + select
 
 
-def silver_sql(select: str, src: str = "raw", run: str = RUN_ID, extra: tuple = ()) -> str:
-    return chain(*extra, *PIPE_SILVER, src=src, run=run) + select
+def silver_sql(select: str, two_runs: bool = False) -> str:
+    return chain(*(PIPE_SILVER_TWO if two_runs else PIPE_SILVER)) + select
 
 
 def pct(n: str, d: str) -> str:

@@ -16,8 +16,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.contracts import IDENTIFIER_PATTERN, UNKNOWN
+from strata.contracts import UNKNOWN
 from strata.functions.columns import ratio_pct
+from strata.functions.identifiers import require_identifier
 from strata.operators.aggregates import count_by, summary_band, value_range
 from strata.operators.joins import role_dimension
 from strata.operators.ordering import sort_by, sort_by_measure, top_k
@@ -226,16 +227,6 @@ REPORTS = {
 
 
 # P14 -------------------------------------------------------------------------
-class BadIdentifier(ValueError):
-    pass
-
-
-def require_identifier(value: str, what: str = "identifier") -> str:
-    if not re.match(IDENTIFIER_PATTERN, value or ""):
-        raise BadIdentifier(f"{what} must be a simple SQL identifier, got: {value!r}")
-    return value
-
-
 def bound_query(spark: SparkSession, sql: str, **tables: str) -> DataFrame:
     """Run report SQL whose table names are parameters.
 
