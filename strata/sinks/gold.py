@@ -153,8 +153,9 @@ def publish_star(
     for a very large fact use ``publish_fact_partitions`` (rewrites only the
     date partitions a batch touches, not atomic across tables).
     """
-    current = read_star(spark, root)
-    v = (committed_version(spark, root) or 0) + 1
+    prev = committed_version(spark, root)
+    current = read_star(spark, root, prev) if prev is not None else None
+    v = (prev or 0) + 1
     for name, schema in STAR_TABLES.items():
         target = current[name] if current else _empty(spark, schema)
         merged = upsert(target, staged[name].select(*schema.names), STAR_KEYS[name])
