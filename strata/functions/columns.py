@@ -94,18 +94,36 @@ def sanitize(col: str | Column, disallowed: str = LABEL_DISALLOWED, repl: str =
     return F.regexp_replace(_c(col), disallowed, repl)
 
 
-def ratio_pct(numer: Column, denom: Column) -> Column:
-    """``round(100 * numer / denom, 2)`` as double, null when ``denom`` is 0.
+def half_up_ratio(numer: Column, denom: Column, factor: int = 1, scale: int = 2) -> Column:
+    """``round(factor * numer / denom, scale)`` for non-negative integers, as
+    double; null when ``denom`` is 0.
 
     Rounding is HALF_UP on the exact ratio, done in integer arithmetic
-    (``(20000*n + d) div (2*d)``), so it does not depend on how a double
-    product happens to round at a .xx5 boundary. The long numerator is made
-    an exact multiple of the divisor first, so the double quotient is an
-    integer up to rounding and ``round`` recovers it exactly.
+    (``(2*f*10^s*n + d) div (2*d)``), so it cannot depend on how a double
+    quotient happens to fall at a .xx5 boundary (engines disagree there). The
+    long numerator is made an exact multiple of the divisor first, so the
+    double quotient is an integer up to rounding and ``round`` recovers it.
     """
     n = numer.cast("long")
     d = F.nullif(denom.cast("long"), F.lit(0))
-    a = n * 20000 + d
+    a = n * (2 * factor * 10**scale) + d
     b = d * 2
-    hundredths = F.round((a - F.pmod(a, b)) / b)
-    return (hundredths / F.lit(100.0)).cast("double")
+    units = F.round((a - F.pmod(a, b)) / b)
+    return (units / F.lit(float(10**scale))).cast("double")
+
+
+def ratio_pct(numer: Column, denom: Column) -> Column:
+    """``round(100 * numer / denom, 2)`` (HALF_UP, exact), null when ``denom`` is 0."""
+    return half_up_ratio(numer, denom, factor=100)
+
+
+def whole_seconds(minutes: str | Column) -> Column:
+    """Recover the integer seconds behind a whole-second duration in minutes
+    (``s / 60.0`` is within an ulp of ``s / 60``, so ``round(m * 60)`` is ``s``)."""
+    return F.round(_c(minutes) * 60).cast("long")
+
+
+def mean_minutes(sum_seconds: Column, count: Column, scale: int = 2) -> Column:
+    """Exact HALF_UP mean in minutes of whole-second durations, from the sum of
+    their seconds and their count (non-negative durations)."""
+    return half_up_ratio(sum_seconds, count * 60, scale=scale)

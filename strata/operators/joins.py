@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: per executor; real zone and date dimensions are hundreds to thousands.
 DEFAULT_BROADCAST_ROWS = 1_000_000
 
-_checked: "weakref.WeakKeyDictionary[DataFrame, bool]" = weakref.WeakKeyDictionary()
+_checked: "weakref.WeakKeyDictionary[DataFrame, dict[int, bool]]" = weakref.WeakKeyDictionary()
 
 
 class LookupFanOut(ValueError):
@@ -27,14 +27,15 @@ class LookupFanOut(ValueError):
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (checked once per frame)."""
+    """True when ``df`` has at most ``max_rows`` rows (checked once per frame
+    and bound)."""
     try:
-        return _checked[df]
+        return _checked[df][max_rows]
     except (KeyError, TypeError):
         pass
     ok = df.limit(max_rows + 1).count() <= max_rows
     try:
-        _checked[df] = ok
+        _checked.setdefault(df, {})[max_rows] = ok
     except TypeError:  # pragma: no cover - frame not weak-referenceable
         pass
     return ok

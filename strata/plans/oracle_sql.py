@@ -143,17 +143,29 @@ def silver_sql(select: str, two_runs: bool = False) -> str:
     return chain(*(PIPE_SILVER_TWO if two_runs else PIPE_SILVER)) + select
 
 
-def pct(n: str, d: str) -> str:
-    """HALF_UP percentage with 2 decimals on the exact ratio (see ratio_pct)."""
+def half_up(n: str, d: str, factor: int = 1) -> str:
+    """HALF_UP, 2 decimals, on the exact ratio factor*n/d (see half_up_ratio)."""
     return (
-        f"CAST((20000 * CAST({n} AS BIGINT) + CAST({d} AS BIGINT)) // NULLIF(2 * CAST({d} AS BIGINT), 0)"
-        f" AS DOUBLE) / 100.0"
+        f"CAST(({2 * factor * 100} * CAST({n} AS HUGEINT) + CAST({d} AS HUGEINT))"
+        f" // NULLIF(2 * CAST({d} AS HUGEINT), 0) AS DOUBLE) / 100.0"
     )
 
 
+def pct(n: str, d: str) -> str:
+    return half_up(n, d, factor=100)
+
+
+def mean_minutes(col: str = "trip_duration_minutes") -> str:
+    return half_up(f"sum(CAST(round({col} * 60) AS BIGINT))", f"60 * count({col})")
+
+
+MEAN = mean_minutes()
+MEAN_F = mean_minutes("f.trip_duration_minutes")
+
+
 REPORT_SQL = {
     "total_trips": "SELECT CAST(count(*) AS BIGINT) AS trips FROM fact",
-    "average_duration": "SELECT round(avg(trip_duration_minutes), 2) AS avg_minutes FROM fact",
+    "average_duration": f"SELECT {MEAN} AS avg_minutes FROM fact",
     "pickup_location_coverage": f"SELECT {pct('count(pu_location_id)', 'count(*)')} AS pickup_location_pct FROM fact",
     "dropoff_location_coverage": f"SELECT {pct('count(do_location_id)', 'count(*)')} AS dropoff_location_pct FROM fact",
     "daily_trip_volume": """
@@ -180,29 +192,29 @@ SELECT coalesce(z.borough, 'Unknown') || ' - ' || coalesce(z.zone, 'Unknown') AS
 FROM fact f LEFT JOIN dim_zone z ON f.do_location_id = z.location_id
 WHERE f.do_location_id IS NOT NULL
 GROUP BY 1 ORDER BY trips DESC, dropoff_zone NULLS FIRST LIMIT 15""",
-    "borough_flows": """
+    "borough_flows": f"""
 SELECT coalesce(pu.borough, 'Unknown') AS pickup_borough, coalesce(dz.borough, 'Unknown') AS dropoff_borough,
-  count(*) AS trips, round(avg(f.trip_duration_minutes), 2) AS avg_minutes
+  count(*) AS trips, {MEAN_F} AS avg_minutes
 FROM fact f
 LEFT JOIN dim_zone pu ON f.pu_location_id = pu.location_id
 LEFT JOIN dim_zone dz ON f.do_location_id = dz.location_id
 GROUP BY 1, 2 ORDER BY trips DESC, 1 NULLS FIRST, 2 NULLS FIRST LIMIT 25""",
-    "top_routes": """
+    "top_routes": f"""
 SELECT coalesce(pu.zone, 'Unknown') AS pickup_zone, coalesce(dz.zone, 'Unknown') AS dropoff_zone,
-  count(*) AS trips, round(avg(f.trip_duration_minutes), 2) AS avg_minutes
+  count(*) AS trips, {MEAN_F} AS avg_minutes
 FROM fact f
 LEFT JOIN dim_zone pu ON f.pu_location_id = pu.location_id
 LEFT JOIN dim_zone dz ON f.do_location_id = dz.location_id
 WHERE f.pu_location_id IS NOT NULL AND f.do_location_id IS NOT NULL
 GROUP BY 1, 2 ORDER BY trips DESC, 1 NULLS FIRST, 2 NULLS FIRST LIMIT 25""",
-    "longest_common_routes": """
+    "longest_common_routes": f"""
 SELECT coalesce(pu.zone, 'Unknown') AS pickup_zone, coalesce(dz.zone, 'Unknown') AS dropoff_zone,
-  count(*) AS trips, round(avg(f.trip_duration_minutes), 2) AS avg_minutes
+  count(*) AS trips, {MEAN_F} AS avg_minutes
 FROM fact f
 LEFT JOIN dim_zone pu ON f.pu_location_id = pu.location_id
 LEFT JOIN dim_zone dz ON f.do_location_id = dz.location_id
 WHERE f.pu_location_id IS NOT NULL AND f.do_location_id IS NOT NULL
-GROUP BY 1, 2 HAVING count(*) >= {min_trips}
+GROUP BY 1, 2 HAVING count(*) >= {{min_trips}}
 ORDER BY avg_minutes DESC NULLS LAST, 1 NULLS FIRST, 2 NULLS FIRST LIMIT 25""",
     "pickup_service_zone": """
 SELECT coalesce(z.service_zone, 'Unknown') AS pickup_service_zone, count(*) AS trips
@@ -217,8 +229,8 @@ FROM fact GROUP BY 1 ORDER BY trips DESC, 1""",
     "loaded_source_files": """
 SELECT source_file, count(*) AS trips FROM fact
 GROUP BY 1 ORDER BY trips DESC, source_file NULLS FIRST LIMIT 20""",
-    "duration_quality_band": """
-SELECT round(min(trip_duration_minutes), 2) AS min_minutes, round(avg(trip_duration_minutes), 2) AS avg_minutes,
+    "duration_quality_band": f"""
+SELECT round(min(trip_duration_minutes), 2) AS min_minutes, {MEAN} AS avg_minutes,
   round(max(trip_duration_minutes), 2) AS max_minutes FROM fact""",
     "location_completeness": f"""
 SELECT 'pickup_location_id' AS field_name, count(pu_location_id) AS non_null_rows, count(*) AS total_rows,

@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.contracts import UNKNOWN
-from strata.functions.columns import ratio_pct
+from strata.functions.columns import mean_minutes, ratio_pct, whole_seconds
 from strata.functions.identifiers import require_identifier
-from strata.operators.aggregates import count_by, summary_band, value_range
+from strata.operators.aggregates import count_by, value_range
 from strata.operators.joins import role_dimension
 from strata.operators.ordering import sort_by, sort_by_measure, top_k
 from strata.operators.sets import completeness_profile, table_counts
@@ -45,7 +45,7 @@ def _label(col: str) -> Column:
 def _id_counts(fact: DataFrame, keys: list[str], durations: bool = False) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("_n")]
     if durations:
-        aggs += [F.sum("trip_duration_minutes").alias("_s"),
+        aggs += [F.sum(whole_seconds("trip_duration_minutes")).alias("_s"),
                  F.count("trip_duration_minutes").alias("_c")]
     return fact.groupBy(*keys).agg(*aggs)
 
@@ -66,8 +66,7 @@ def _label_ids(ids: DataFrame, star: Star, pickup=True, dropoff=False) -> DataFr
 def _rollup(labelled: DataFrame, keys: list[Column], durations: bool = False) -> DataFrame:
     aggs = [F.sum("_n").alias("trips")]
     if durations:
-        mean = F.try_divide(F.sum("_s"), F.sum("_c").cast("double"))
-        aggs.append(F.round(mean, 2).alias("avg_minutes"))
+        aggs.append(mean_minutes(F.sum("_s"), F.sum("_c")).alias("avg_minutes"))
     return labelled.groupBy(*keys).agg(*aggs)
 
 
@@ -76,9 +75,16 @@ def total_trips(star: Star) -> DataFrame:
     return _fact(star).agg(F.count(F.lit(1)).alias("trips"))
 
 
+# Durations are whole seconds / 60 by construction (P7), so means are taken
+# exactly over integer seconds and rounded HALF_UP; a mean of exactly x.xx5
+# minutes always rounds up, whatever the float summation order.
+def _mean_minutes(col: str = "trip_duration_minutes") -> Column:
+    return mean_minutes(F.sum(whole_seconds(col)), F.count(col))
+
+
 # R2
 def average_duration(star: Star) -> DataFrame:
-    return _fact(star).agg(F.round(F.avg("trip_duration_minutes"), 2).alias("avg_minutes"))
+    return _fact(star).agg(_mean_minutes().alias("avg_minutes"))
 
 
 # R3
@@ -192,7 +198,12 @@ def loaded_source_files(star: Star, k: int = 20) -> DataFrame:
 
 # R18
 def duration_quality_band(star: Star) -> DataFrame:
-    return summary_band(_fact(star), "trip_duration_minutes")
+    f = _fact(star)
+    return f.agg(
+        F.round(F.min("trip_duration_minutes"), 2).alias("min_minutes"),
+        _mean_minutes().alias("avg_minutes"),
+        F.round(F.max("trip_duration_minutes"), 2).alias("max_minutes"),
+    )
 
 
 # R19
