@@ -42,8 +42,14 @@ def portable(df: DataFrame) -> DataFrame:
 
 def register(name: str):
     def deco(fn: Query) -> Query:
-        REGISTRY[name] = lambda spark, sf_dir: portable(fn(spark, sf_dir))
-        REGISTRY[name].__doc__ = fn.__doc__
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # trip_id hashes timestamps rendered as text: pin the zone (a
+            # runtime setting of the caller's session).
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return portable(fn(spark, sf_dir))
+
+        run.__doc__ = fn.__doc__
+        REGISTRY[name] = run
         return fn
 
     return deco

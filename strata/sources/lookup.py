@@ -31,7 +31,6 @@ def write_zone_csv(zones: DataFrame, path: str) -> None:
             F.col("zone").alias("Zone"),
             F.col("service_zone"),
         )
-        .coalesce(1)
         .write.mode("overwrite")
         .option("header", "true")
         .csv(path)
