@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.contracts import FACT, SILVER_PARTITIONS, TRIP_ALIASES
+from strata.contracts import FACT, SILVER_PARTITIONS
 from strata.operators import quality as Q
 from strata.operators.aggregates import batch_counts
 from strata.operators.contract import contract_report

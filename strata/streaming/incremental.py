@@ -61,12 +61,45 @@ def read_incremental(
         raise RuntimeError(str(err))
 
 
-def silver_batch_writer(zones: DataFrame, run_id: str, silver_path: str) -> Callable[[DataFrame, int], None]:
+def silver_batch_writer(
+    zones: DataFrame,
+    run_id: str,
+    silver_path: str,
+    *,
+    gate_ruleset=None,
+    quarantine_path: str | None = None,
+    min_score: float = 1.0,
+) -> Callable[[DataFrame, int], None]:
     """``on_batch`` that runs the Silver transform on a micro-batch and
-    writes it idempotently (replayed batch -> same partitions replaced)."""
+    writes it idempotently (replayed batch -> same partitions replaced).
+
+    With ``gate_ruleset`` the gate runs inside the batch, before anything is
+    written ("commit after gate"): a failing batch goes to quarantine instead
+    of Silver, and the checkpoint records it only after that decision. The
+    batch is persisted for the two passes (score, then write) and released.
+    """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        silver = to_silver(batch, zones, f"{run_id}-b{batch_id}")
+        batch_run = f"{run_id}-b{batch_id}"
+        silver = to_silver(batch, zones, batch_run)
+        if gate_ruleset is not None:
+            from strata.operators.quality import gate
+            from strata.sinks.gold import quarantine
+
+            silver = silver.persist()
+            try:
+                decision, _ = gate(silver, gate_ruleset, min_score, result_id=f"{batch_run}")
+                if not decision.passed:
+                    quarantine(silver, batch_run, decision.ruleset, decision.result_id,
+                               decision.score_text, quarantine_path or f"{silver_path}_quarantine")
+                    return
+                _write(silver)
+            finally:
+                silver.unpersist()
+            return
+        _write(silver)
+
+    def _write(silver: DataFrame) -> None:
         (
             silver.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")

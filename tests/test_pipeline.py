@@ -97,3 +97,24 @@ def test_incremental_waves_only_new_files(spark, work):
     raw.where(F.dayofmonth("Pickup_datetime") > 10).write.parquet(f"{landing}/w1")
     read_incremental(spark, landing, raw.schema, f"{work}/ckpt", on_batch)
     assert sum(seen) == raw.count() and len(seen) == len(n0) + 1
+
+
+def test_streaming_gate_inside_batch(spark, work):
+    from strata.rulesets import silver_ruleset
+    from strata.sources.silver import read_silver
+    from strata.streaming.incremental import read_incremental, silver_batch_writer
+
+    raw = sample.raw_trips(spark, SF001, lineage=False)
+    zones = sample.zone_lookup(spark, SF001)
+    landing = f"{work}/landing"
+    raw.write.parquet(f"{landing}/w0")
+    strict = silver_batch_writer(zones, "s", f"{work}/silver", gate_ruleset=silver_ruleset(inclusive=False),
+                                 quarantine_path=f"{work}/q")
+    read_incremental(spark, landing, raw.schema, f"{work}/ckpt", strict)
+    import os
+
+    assert not os.path.exists(f"{work}/silver")  # failing batch never reached Silver
+    assert spark.read.parquet(f"{work}/q/run_id=s-b0").count() > 0
+    ok = silver_batch_writer(zones, "s", f"{work}/silver2", gate_ruleset=silver_ruleset())
+    read_incremental(spark, landing, raw.schema, f"{work}/ckpt2", ok)
+    assert read_silver(spark, f"{work}/silver2").count() > 0
