@@ -30,6 +30,7 @@ class PipelineConfig:
     gate_scope: str = "table"  # "table" (whole Silver table) or "run"
     silver_inclusive: bool = True
     min_score: float = 1.0
+    fact_mode: str = "snapshot"  # or "partitions" (rewrite touched dates only)
 
 
 @dataclass
@@ -82,5 +83,6 @@ def run_pipeline(
             raise GateFailed(decision)
         return report
 
-    report.gold = load_gold(spark, silver, zones, run_id, cfg.stage_base, cfg.star_root)
+    report.gold = load_gold(spark, silver, zones, run_id, cfg.stage_base, cfg.star_root,
+                            fact_mode=cfg.fact_mode)
     return report

@@ -284,6 +284,16 @@ def published_fact(spark, sf_dir):
     return G.read_star(spark, root)["fact_fhvhv_trips"]
 
 
+@register("published_fact_partitions")
+def published_fact_partitions(spark, sf_dir):
+    """Same two publishes with the fact in date partitions: run-b rewrites
+    only days 11-30; days 1-10 of run-a are left untouched (K9 scale mode)."""
+    root = _work(spark, "publish_parts")
+    G.publish_star(spark, run_star(spark, sf_dir, "run-a"), root, fact_mode="partitions")
+    G.publish_star(spark, run_star(spark, sf_dir, "run-b"), root, fact_mode="partitions")
+    return G.read_star(spark, root)["fact_fhvhv_trips"]
+
+
 @register("publish_rollback")
 def publish_rollback(spark, sf_dir):
     """The second publish fails after two tables: readers still see the first

@@ -106,14 +106,22 @@ def create_star(spark: SparkSession, schema: str, root: str, fact_table: str = "
 
 
 # -- snapshot publish ----------------------------------------------------------
-def committed_version(spark: SparkSession, root: str) -> int | None:
-    """Highest committed version, or None before the first publish."""
+COMMIT_SCHEMA = "version INT, tables STRING, fact_mode STRING"
+FACT_DIR = "fact_fhvhv_trips"
+
+
+def _last_commit(spark: SparkSession, root: str):
     try:
-        log = spark.read.schema("version INT, tables STRING").json(f"{root.rstrip('/')}/{COMMITS}")
-        row = log.agg(F.max("version").alias("v")).first()
+        log = spark.read.schema(COMMIT_SCHEMA).json(f"{root.rstrip('/')}/{COMMITS}")
+        return log.orderBy(F.col("version").desc()).select("version", "fact_mode").first()
     except Exception:  # no commit log yet
         return None
-    return None if row is None or row["v"] is None else int(row["v"])
+
+
+def committed_version(spark: SparkSession, root: str) -> int | None:
+    """Highest committed version, or None before the first publish."""
+    row = _last_commit(spark, root)
+    return None if row is None or row["version"] is None else int(row["version"])
 
 
 def version_path(root: str, version: int, table: str) -> str:
@@ -121,13 +129,24 @@ def version_path(root: str, version: int, table: str) -> str:
 
 
 def read_star(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame] | None:
-    v = committed_version(spark, root) if version is None else version
-    if v is None:
+    row = _last_commit(spark, root)
+    if row is None:
         return None
-    return {
+    v = int(row["version"]) if version is None else version
+    star = {
         name: spark.read.schema(schema).parquet(version_path(root, v, name))
         for name, schema in STAR_TABLES.items()
+        if not (name == FACT_DIR and row["fact_mode"] == "partitions")
     }
+    if row["fact_mode"] == "partitions":
+        star[FACT_DIR] = read_partitioned_fact(spark, f"{root.rstrip('/')}/{FACT_DIR}")
+    return {name: star[name] for name in STAR_TABLES}
+
+
+def read_partitioned_fact(spark: SparkSession, path: str) -> DataFrame:
+    from strata.contracts import FACT
+
+    return spark.read.schema(FACT).parquet(path).select(*FACT.names)
 
 
 def _empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
@@ -139,51 +158,66 @@ def publish_star(
     staged: Mapping[str, DataFrame],
     root: str,
     *,
+    fact_mode: str = "snapshot",
     fail_after: str | None = None,
 ) -> int:
     """Upsert the staged star into the current version and commit it as the
     next version; returns the new version number.
 
-    The fact is clustered (``cluster_fact``): rebalanced on the date key and
-    sorted inside each file by (date key, hour, pickup id), so later date/hour
-    filters skip row groups. ``fail_after`` names a table after whose write
-    an error is raised (tests the rollback path).
-
-    Cost: a snapshot rewrites every table. That is cheap for the dimensions;
-    for a very large fact use ``publish_fact_partitions`` (rewrites only the
-    date partitions a batch touches, not atomic across tables).
+    ``fact_mode="snapshot"`` (default, atomic): every table, the fact too, is
+    rewritten under ``v=<n>/``; the fact is clustered (``cluster_fact``) so
+    later date/hour filters skip row groups. ``fact_mode="partitions"`` (for a
+    very large fact): the dimensions are snapshotted, the fact lives in one
+    date-partitioned directory and only the date partitions the batch touches
+    are rewritten (``publish_fact_partitions``); not atomic across tables.
+    ``fail_after`` names a table after whose write an error is raised (tests
+    the rollback path).
     """
-    prev = committed_version(spark, root)
+    last = _last_commit(spark, root)
+    prev = None if last is None else int(last["version"])
     current = read_star(spark, root, prev) if prev is not None else None
     v = (prev or 0) + 1
     for name, schema in STAR_TABLES.items():
-        target = current[name] if current else _empty(spark, schema)
-        merged = upsert(target, staged[name].select(*schema.names), STAR_KEYS[name])
-        writer = cluster_fact(merged) if name == "fact_fhvhv_trips" else merged
-        writer.write.mode("overwrite").parquet(version_path(root, v, name))
+        if name == FACT_DIR and fact_mode == "partitions":
+            publish_fact_partitions(spark, f"{root.rstrip('/')}/{FACT_DIR}", staged[name],
+                                    f"{root.rstrip('/')}/_merge/v={v}")
+        else:
+            target = current[name] if current else _empty(spark, schema)
+            merged = upsert(target, staged[name].select(*schema.names), STAR_KEYS[name])
+            writer = cluster_fact(merged) if name == FACT_DIR else merged
+            writer.write.mode("overwrite").parquet(version_path(root, v, name))
         if fail_after == name:
             raise RuntimeError(f"injected failure after writing {name} (version {v} not committed)")
-    spark.createDataFrame([(v, ",".join(STAR_TABLES))], "version INT, tables STRING").coalesce(1).write.mode(
+    spark.createDataFrame([(v, ",".join(STAR_TABLES), fact_mode)], COMMIT_SCHEMA).write.mode(
         "append"
     ).json(f"{root.rstrip('/')}/{COMMITS}")
     return v
 
 
-def publish_fact_partitions(target_path: str, target: DataFrame, staged: DataFrame) -> None:
-    """Scale mode for the fact: rewrite only the date partitions the batch
-    touches, in place (dynamic partition overwrite). Not atomic across the
-    three tables; use ``publish_star`` when that matters.
+def publish_fact_partitions(spark: SparkSession, fact_path: str, staged: DataFrame, merge_path: str) -> None:
+    """Rewrite only the date partitions the batch touches (dynamic partition
+    overwrite); untouched partitions are not read or written.
 
-    ``target`` must be read from a different location than ``target_path``
-    or be already materialised: Spark refuses to overwrite a path it reads.
+    Spark refuses to overwrite a path it is reading, so the merged partitions
+    are first written to ``merge_path`` (shared folder) and then moved into
+    place by a second, narrow write. Both writes carry only the touched dates.
     """
+    from strata.contracts import FACT
+
+    staged = staged.select(*FACT.names)
+    try:
+        target = read_partitioned_fact(spark, fact_path)  # raises when the path is absent
+    except Exception:
+        target = _empty(spark, FACT)
     merged = upsert_partitions(target, staged, "trip_id", FACT_PARTITION)
+    cluster_fact(merged).write.mode("overwrite").partitionBy(FACT_PARTITION).parquet(merge_path)
     (
-        cluster_fact(merged)
+        spark.read.schema(FACT).parquet(merge_path)
+        .sortWithinPartitions(*("pickup_date_key", "pickup_hour", "pu_location_id"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(FACT_PARTITION)
-        .parquet(target_path)
+        .parquet(fact_path)
     )
 
 
