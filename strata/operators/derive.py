@@ -14,7 +14,7 @@ from strata.contracts import (
 )
 from strata.functions.columns import calendar_columns, duration_minutes, sanitize, surrogate_key
 from strata.operators.filters import validity_predicate
-from strata.operators.joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast, role_dimension
+from strata.operators.joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast
 from strata.operators.normalize import cast_columns, normalize_columns
 from strata.sources.bronze import or_empty
 
@@ -59,13 +59,22 @@ def enrich_zones(
 ) -> DataFrame:
     """Pickup then drop-off role of the same lookup, both left joins.
 
-    The lookup is not de-duplicated (a repeated id repeats the trip), as in
-    the source pipeline; use ``joins.enrich(on_duplicate=...)`` to change that.
+    Both roles join the very same (size-checked) broadcast frame and only
+    rename columns after the join, so the two broadcast sides are one plan and
+    Spark ships the lookup once (``ReusedExchange``). The lookup is not
+    de-duplicated (a repeated id repeats the trip), as in the source pipeline;
+    use ``joins.enrich(on_duplicate=...)`` to change that.
     """
-    small = bounded_broadcast(zones, max_broadcast_rows)
-    pu = role_dimension(small, "location_id", "pu_location_id", "pu", ZONE_ROLE_COLUMNS)
-    do = role_dimension(small, "location_id", "do_location_id", "do", ZONE_ROLE_COLUMNS)
-    return trips.join(pu, "pu_location_id", "left").join(do, "do_location_id", "left")
+    small = bounded_broadcast(zones.select("location_id", *ZONE_ROLE_COLUMNS), max_broadcast_rows)
+    pz, dz, t = small.alias("pz"), small.alias("dz"), trips.alias("t")
+    joined = t.join(pz, F.col("t.pu_location_id") == F.col("pz.location_id"), "left").join(
+        dz, F.col("t.do_location_id") == F.col("dz.location_id"), "left"
+    )
+    return joined.select(
+        "t.*",
+        *[F.col(f"pz.{c}").alias(f"pu_{c}") for c in ZONE_ROLE_COLUMNS],
+        *[F.col(f"dz.{c}").alias(f"do_{c}") for c in ZONE_ROLE_COLUMNS],
+    )
 
 
 def enriched_trips(raw: DataFrame, zones: DataFrame, **kw) -> DataFrame:

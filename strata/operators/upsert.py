@@ -4,8 +4,18 @@ insert every staged row.
 Semantics kept on purpose: duplicate keys inside the staged batch are all
 inserted; a null key never matches, so null-key rows of both sides survive.
 (``MERGE INTO`` differs: it rejects several source rows matching one target
-row.) The anti join needs only key existence, so the staged keys are not
-de-duplicated first.
+row.)
+
+Skew: the anti join needs only key existence, so the staged keys are reduced
+to distinct keys first. That aggregate merges map-side, so a batch in which
+one trip is copied a million times (a re-delivered file) contributes one key,
+and the build side of the join is unique per key. A hot key on the target
+side is then a plain skewed partition of a left-anti join, which AQE's
+skew-join handling splits (``spark.sql.adaptive.skewJoin.enabled``) -- but
+only when both join inputs are plain shuffles. Large publishes therefore
+stage the distinct keys as Parquet first (``stage_keys``) and pass them in as
+``staged_keys``; an aggregate feeding the join directly would hide the skew
+from AQE.
 """
 
 from __future__ import annotations
@@ -19,20 +29,40 @@ def _keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def upsert(target: DataFrame, staged: DataFrame, key: str | Sequence[str]) -> DataFrame:
+def upsert(
+    target: DataFrame,
+    staged: DataFrame,
+    key: str | Sequence[str],
+    staged_keys: DataFrame | None = None,
+) -> DataFrame:
+    """``staged_keys``: the batch's distinct keys, already materialised (see
+    ``stage_keys``); computed lazily from ``staged`` when omitted."""
     keys = _keys(key)
-    kept = target.join(staged.select(*keys), keys, "left_anti")
+    delete = staged_keys if staged_keys is not None else staged.select(*keys).distinct()
+    kept = target.join(delete.select(*keys), keys, "left_anti")
     return kept.unionByName(staged.select(*target.columns))
 
 
+def stage_keys(staged: DataFrame, key: str | Sequence[str], path: str) -> DataFrame:
+    """Write the batch's distinct keys (the delete list) and read them back.
+
+    One map-side-merged aggregate; the read-back is a plain scan, so the anti
+    join sees two shuffles and AQE can split a hot target key, and the key
+    list is computed once however often it is used."""
+    keys = _keys(key)
+    staged.select(*keys).distinct().write.mode("overwrite").parquet(path)
+    return staged.sparkSession.read.parquet(path)
+
+
 def replaced_rows(target: DataFrame, staged: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Target rows an upsert would delete (a change count / audit trail)."""
     keys = _keys(key)
-    return target.join(staged.select(*keys), keys, "left_semi")
+    return target.join(staged.select(*keys).distinct(), keys, "left_semi")
 
 
 def upsert_partitions(
-    target: DataFrame, staged: DataFrame, key: str, partition: str
+    target: DataFrame, staged: DataFrame, key: str, partition: str,
+    staged_keys: DataFrame | None = None,
 ) -> DataFrame:
     """Upsert restricted to the partitions the batch touches.
 
@@ -44,7 +74,8 @@ def upsert_partitions(
     ``(partition, key)`` so it spreads even when one partition is hot. Write
     the result with dynamic partition overwrite; untouched partitions stay.
     """
-    touched = staged.select(partition).distinct()
+    delete = staged_keys if staged_keys is not None else staged.select(partition, key).distinct()
+    touched = delete.select(partition).distinct()
     current = target.join(touched, partition, "left_semi")
-    kept = current.join(staged.select(partition, key), [partition, key], "left_anti")
+    kept = current.join(delete.select(partition, key), [partition, key], "left_anti")
     return kept.unionByName(staged.select(*target.columns))

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from strata.contracts import FACT_PARTITION, STAR_KEYS, STAR_TABLES
 from strata.functions.identifiers import require_identifier
 from strata.operators.dims import cluster_fact
-from strata.operators.upsert import upsert, upsert_partitions
+from strata.operators.upsert import stage_keys, upsert, upsert_partitions
 
 COMMITS = "_commits"
 
@@ -183,7 +183,11 @@ def publish_star(
                                     f"{root.rstrip('/')}/_merge/v={v}")
         else:
             target = current[name] if current else _empty(spark, schema)
-            merged = upsert(target, staged[name].select(*schema.names), STAR_KEYS[name])
+            batch = staged[name].select(*schema.names)
+            keys = None
+            if name == FACT_DIR and current:  # the large table: staged delete list
+                keys = stage_keys(batch, STAR_KEYS[name], f"{root.rstrip('/')}/_merge/v={v}/{name}_keys")
+            merged = upsert(target, batch, STAR_KEYS[name], keys)
             writer = cluster_fact(merged) if name == FACT_DIR else merged
             writer.write.mode("overwrite").parquet(version_path(root, v, name))
         if fail_after == name:
@@ -209,7 +213,8 @@ def publish_fact_partitions(spark: SparkSession, fact_path: str, staged: DataFra
         target = read_partitioned_fact(spark, fact_path)  # raises when the path is absent
     except Exception:
         target = _empty(spark, FACT)
-    merged = upsert_partitions(target, staged, "trip_id", FACT_PARTITION)
+    keys = stage_keys(staged, [FACT_PARTITION, "trip_id"], f"{merge_path}_keys")
+    merged = upsert_partitions(target, staged, "trip_id", FACT_PARTITION, keys)
     cluster_fact(merged).write.mode("overwrite").partitionBy(FACT_PARTITION).parquet(merge_path)
     (
         spark.read.schema(FACT).parquet(merge_path)

@@ -66,3 +66,39 @@ def test_bounded_broadcast_falls_back_beyond_bound(spark):
         assert "BroadcastHashJoin" not in p
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_upsert_hot_key_is_split_by_aqe(spark, work):
+    """A trip copied into a third of the target: with the delete list staged,
+    the anti join is a plain shuffle join and AQE splits the hot partition."""
+    from pyspark.sql import functions as F
+
+    from strata.operators.upsert import stage_keys, upsert
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        tid = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string"))
+        target = spark.range(30000).select(tid.alias("trip_id"), F.col("id").alias("v")).repartition(8)
+        staged = spark.range(0, 30000, 7).select(tid.alias("trip_id"), F.col("id").alias("v"))
+        out = upsert(target, staged, "trip_id", stage_keys(staged, "trip_id", f"{work}/keys"))
+        ids = range(0, 30000, 7)
+        key = lambda i: "hot" if i % 3 == 0 else str(i)
+        deleted = {key(i) for i in ids}
+        kept = sum(1 for i in range(30000) if key(i) not in deleted)
+        assert out.count() == kept + len(ids)
+        out.collect()
+        assert "SortMergeJoin(skew=true)" in plan(out)
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
