@@ -16,14 +16,16 @@ current version while it writes the next one. Single writer assumed.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.contracts import FACT_PARTITION, STAR_KEYS, STAR_TABLES
 from strata.functions.identifiers import require_identifier
+from strata.operators.contract import contract_checks
 from strata.operators.dims import cluster_fact
 from strata.operators.upsert import stage_keys, upsert, upsert_partitions
 
@@ -35,15 +37,45 @@ def stage_path(base: str, run_id: str, table: str) -> str:
     return f"{base.rstrip('/')}/run_id={run_id}/{table}"
 
 
-def write_gold_stage(tables: Mapping[str, DataFrame], base: str, run_id: str) -> dict[str, str]:
+class ContractViolation(ValueError):
+    """Staged rows break a NOT NULL or VARCHAR(n) limit; nothing was published."""
+
+    def __init__(self, counts: dict[str, dict[str, int]]):
+        super().__init__(f"contract violations in staged tables: {counts}")
+        self.counts = counts
+
+
+def write_gold_stage(
+    tables: Mapping[str, DataFrame], base: str, run_id: str, *, enforce: bool = True
+) -> dict[str, str]:
     """Overwrite the run's staging directory of each table, columns in
-    contract order (positional loads stay correct)."""
-    paths = {}
+    contract order (positional loads stay correct).
+
+    With ``enforce`` the contract limits a warehouse applies at load (NOT NULL
+    keys, VARCHAR lengths) are counted by an ``Observation`` riding on each
+    staging write, so checking costs no extra scan; any violation raises
+    ``ContractViolation`` after staging and before anything is published.
+    """
+    paths, bad = {}, {}
     for name, df in tables.items():
-        cols = [f.name for f in STAR_TABLES[name].fields] if name in STAR_TABLES else df.columns
+        contract = STAR_TABLES.get(name)
+        out = df.select(*(contract.names if contract else df.columns))
+        obs = None
+        if enforce and contract is not None:
+            checks = contract_checks(contract)
+            if checks:
+                obs = Observation(f"contract_{name}_{uuid.uuid4().hex[:8]}")
+                out = out.observe(obs, *[F.count(F.when(~ok, F.lit(1))).alias(f"{col} {check}")
+                                         for col, check, _, ok in checks])
         path = stage_path(base, run_id, name)
-        df.select(*cols).write.mode("overwrite").parquet(path)
+        out.write.mode("overwrite").parquet(path)
         paths[name] = path
+        if obs is not None:
+            found = {k: int(v) for k, v in obs.get.items() if v}
+            if found:
+                bad[name] = found
+    if bad:
+        raise ContractViolation(bad)
     return paths
 
 

@@ -137,3 +137,15 @@ def test_partition_mode_rewrites_only_touched_dates(spark, work):
     fact = read_star(spark, root)["fact_fhvhv_trips"]
     runs = {r.source_run_id: r["count"] for r in fact.groupBy("source_run_id").count().collect()}
     assert set(runs) == {"run-a", "run-b"}
+
+
+def test_contract_violation_stops_publish(spark, work):
+    from strata.plans.registry import demo_silver
+    from strata.sinks.gold import ContractViolation
+
+    zones = sample.zone_lookup(spark, SF001)
+    long_zone = zones.withColumn("zone", F.when(F.col("location_id") == 3, F.lit("z" * 129)).otherwise(F.col("zone")))
+    with pytest.raises(ContractViolation) as err:
+        load_gold(spark, demo_silver(spark, SF001), long_zone, "run-0001", f"{work}/stage", f"{work}/star")
+    assert err.value.counts == {"dim_zone": {"zone max_length": 1}}
+    assert committed_version(spark, f"{work}/star") is None
