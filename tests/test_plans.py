@@ -102,3 +102,36 @@ def test_upsert_hot_key_is_split_by_aqe(spark, work):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_cluster_fact_splits_a_hot_date(spark):
+    """One date holds a third of the rows: rebalance spreads it over several
+    tasks instead of one (AQE splits skewed rebalance partitions)."""
+    from pyspark.sql import functions as F
+
+    from strata.operators.dims import cluster_fact
+
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+            "spark.sql.adaptive.rebalancePartitionsSmallPartitionFactor": "0.2"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        ids = spark.range(60000)
+        fact = ids.select(
+            F.when(F.col("id") % 3 == 0, F.lit(20240101)).otherwise(20240102 + F.col("id") % 20)
+            .cast("int").alias("pickup_date_key"),
+            (F.col("id") % 24).cast("short").alias("pickup_hour"),
+            (F.col("id") % 250).cast("int").alias("pu_location_id"),
+            F.col("id").alias("payload"),
+        )
+        out = cluster_fact(fact).withColumn("task", F.spark_partition_id())
+        hot_tasks = out.where("pickup_date_key = 20240101").select("task").distinct().count()
+        assert out.count() == 60000
+        assert hot_tasks > 1
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
