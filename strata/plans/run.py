@@ -10,13 +10,16 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strata.operators.derive import prepare_bronze
 from strata.operators.quality import GateDecision, GateFailed, gate
 from strata.plans.gold_job import GoldResult, load_gold
+from strata.plans.runlog import RunLogger
 from strata.plans.silver_job import SilverResult, bronze_to_silver
 from strata.rulesets import bronze_ruleset, silver_ruleset
 from strata.sinks.gold import quarantine, save_rule_results
+from strata.sources.catalog import refresh_partitions
 from strata.sources.silver import read_silver, scope_run
 
 
@@ -31,6 +34,8 @@ class PipelineConfig:
     silver_inclusive: bool = True
     min_score: float = 1.0
     fact_mode: str = "snapshot"  # or "partitions" (rewrite touched dates only)
+    run_log_path: str | None = None  # append one row per step (O1-O3 input)
+    silver_table: str | None = None  # catalog table over silver_path to refresh
 
 
 @dataclass
@@ -44,6 +49,11 @@ class RunReport:
     notes: list[str] = field(default_factory=list)
 
 
+def _stamped(outcomes: DataFrame, run_id: str) -> DataFrame:
+    """Outcome rows with the run and evaluation time (input of O4)."""
+    return outcomes.withColumns({"run_id": F.lit(run_id), "evaluated_at": F.current_timestamp()})
+
+
 def run_pipeline(
     spark: SparkSession,
     raw: DataFrame,
@@ -54,35 +64,49 @@ def run_pipeline(
     raise_on_fail: bool = True,
 ) -> RunReport:
     report = RunReport(run_id)
+    log = RunLogger(spark, cfg.run_log_path)
+    try:
+        return _run(spark, raw, zones, run_id, cfg, report, log, raise_on_fail)
+    finally:
+        log.flush()
+
 
+def _run(spark, raw, zones, run_id, cfg, report, log, raise_on_fail) -> RunReport:
     # Bronze gate: failure stops the run; nothing is quarantined.
-    decision, outcomes = gate(prepare_bronze(raw), bronze_ruleset(), cfg.min_score,
-                              result_id=f"bronze/{run_id}")
-    save_rule_results(outcomes, f"{cfg.results_path}/bronze")
-    report.bronze_gate = decision
-    if not decision.passed:
-        if raise_on_fail:
+    with log.step("bronze_gate"):
+        decision, outcomes = gate(prepare_bronze(raw), bronze_ruleset(), cfg.min_score,
+                                  result_id=f"bronze/{run_id}")
+        save_rule_results(_stamped(outcomes, run_id), f"{cfg.results_path}/layer=bronze")
+        report.bronze_gate = decision
+        if not decision.passed and raise_on_fail:
             raise GateFailed(decision)
+    if not decision.passed:
         return report
 
-    report.silver = bronze_to_silver(raw, zones, run_id, cfg.silver_path)
+    with log.step("bronze_to_silver"):
+        report.silver = bronze_to_silver(raw, zones, run_id, cfg.silver_path)
+        if cfg.silver_table:
+            refresh_partitions(spark, cfg.silver_table)
 
     # Silver gate, on the whole table (parity) or only this run.
-    silver = read_silver(spark, cfg.silver_path)
-    scope = silver if cfg.gate_scope == "table" else scope_run(silver, run_id)
-    decision, outcomes = gate(scope, silver_ruleset(inclusive=cfg.silver_inclusive), cfg.min_score,
-                              result_id=f"silver/{run_id}")
-    save_rule_results(outcomes, cfg.results_path)
-    report.silver_gate = decision
+    with log.step("silver_gate"):
+        silver = read_silver(spark, cfg.silver_path)
+        scope = silver if cfg.gate_scope == "table" else scope_run(silver, run_id)
+        decision, outcomes = gate(scope, silver_ruleset(inclusive=cfg.silver_inclusive), cfg.min_score,
+                                  result_id=f"silver/{run_id}")
+        save_rule_results(_stamped(outcomes, run_id), f"{cfg.results_path}/layer=silver")
+        report.silver_gate = decision
     if not decision.passed:
-        report.quarantined_to = quarantine(
-            scope_run(silver, run_id), run_id, decision.ruleset, decision.result_id,
-            decision.score_text, cfg.quarantine_path,
-        )
+        with log.step("quarantine"):
+            report.quarantined_to = quarantine(
+                scope_run(silver, run_id), run_id, decision.ruleset, decision.result_id,
+                decision.score_text, cfg.quarantine_path,
+            )
         if raise_on_fail:
             raise GateFailed(decision)
         return report
 
-    report.gold = load_gold(spark, silver, zones, run_id, cfg.stage_base, cfg.star_root,
-                            fact_mode=cfg.fact_mode)
+    with log.step("gold_load"):
+        report.gold = load_gold(spark, silver, zones, run_id, cfg.stage_base, cfg.star_root,
+                                fact_mode=cfg.fact_mode)
     return report

@@ -59,3 +59,68 @@ def rule_outcome_series(outcomes: DataFrame, ts: str = "evaluated_at", every: st
         F.count(F.when(~F.col("passed"), 1)).alias("rules_failed"),
     )
     return _flat(out, "ruleset", "rules_passed", "rules_failed")
+
+
+# -- writing the run log ------------------------------------------------------
+class RunLogger:
+    """Time pipeline steps and append one run-log row per step.
+
+    Each step runs under its own Spark job group, so the completed task count
+    is read from the public status tracker; bytes read are not exposed to
+    Python and stay null. The rows are a handful of per-step metadata values,
+    written with one small append at ``flush``.
+    """
+
+    def __init__(self, spark, path: str | None, pipeline: str = "trips"):
+        self.spark, self.path, self.pipeline = spark, path, pipeline
+        self.rows: list[tuple] = []
+
+    def step(self, job: str):
+        return _Step(self, job)
+
+    def flush(self) -> None:
+        if self.path and self.rows:
+            from strata.contracts import RUN_LOG
+
+            self.spark.createDataFrame(self.rows, RUN_LOG).write.mode("append").parquet(self.path)
+        self.rows = []
+
+
+class _Step:
+    def __init__(self, log: RunLogger, job: str):
+        self.log, self.job = log, job
+
+    def __enter__(self):
+        import datetime as dt
+        import time
+        import uuid
+
+        self.group = f"strata-{self.job}-{uuid.uuid4().hex[:8]}"
+        self.log.spark.sparkContext.setJobGroup(self.group, self.job)
+        self.ts = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        self.t0 = time.perf_counter()
+        return self
+
+    def __exit__(self, exc_type, exc, tb):
+        import time
+
+        from strata.operators.quality import GateFailed
+
+        elapsed = int((time.perf_counter() - self.t0) * 1000)
+        sc = self.log.spark.sparkContext
+        tracker = sc.statusTracker()
+        tasks = 0
+        for jid in tracker.getJobIdsForGroup(self.group):
+            info = tracker.getJobInfo(jid)
+            for sid in info.stageIds if info else []:
+                stage = tracker.getStageInfo(sid)
+                tasks += stage.numCompletedTasks if stage else 0
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        if exc_type is None:
+            status = "SUCCEEDED"
+        elif issubclass(exc_type, GateFailed):
+            status = "GATE_FAILED"
+        else:
+            status = "FAILED"
+        self.log.rows.append((self.ts, self.log.pipeline, self.job, status, elapsed, tasks, None))
+        return False

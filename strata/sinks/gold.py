@@ -260,5 +260,7 @@ def publish_fact_partitions(spark: SparkSession, fact_path: str, staged: DataFra
 
 # -- rule results ----------------------------------------------------------------
 def save_rule_results(outcomes: DataFrame, path: str) -> None:
-    """Append outcome rows, one directory per ruleset."""
+    """Append outcome rows, one directory per ruleset. The pipeline writes
+    ``<results>/layer=bronze`` and ``<results>/layer=silver`` so the whole
+    store reads back as one table partitioned by (layer, ruleset)."""
     outcomes.write.mode("append").partitionBy("ruleset").parquet(path)

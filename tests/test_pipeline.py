@@ -14,7 +14,7 @@ from tests.conftest import SF001
 
 def cfg(work, **kw):
     return PipelineConfig(f"{work}/silver", f"{work}/stage", f"{work}/star", f"{work}/quarantine",
-                          f"{work}/dq", **kw)
+                          f"{work}/dq", run_log_path=f"{work}/runlog", **kw)
 
 
 def clean_raw(spark):
@@ -149,3 +149,23 @@ def test_contract_violation_stops_publish(spark, work):
         load_gold(spark, demo_silver(spark, SF001), long_zone, "run-0001", f"{work}/stage", f"{work}/star")
     assert err.value.counts == {"dim_zone": {"zone max_length": 1}}
     assert committed_version(spark, f"{work}/star") is None
+
+
+def test_run_log_and_stamped_outcomes_feed_rollups(spark, work):
+    from strata.plans import runlog
+
+    zones = sample.zone_lookup(spark, SF001)
+    run_pipeline(spark, clean_raw(spark), zones, "r1", cfg(work))
+    with pytest.raises(GateFailed):
+        run_pipeline(spark, clean_raw(spark), zones, "r2", cfg(work, silver_inclusive=False, gate_scope="run"))
+    log = spark.read.parquet(f"{work}/runlog")
+    steps = {(r.job, r.status) for r in log.collect()}
+    assert ("gold_load", "SUCCEEDED") in steps and ("silver_gate", "SUCCEEDED") in steps
+    assert ("quarantine", "SUCCEEDED") in steps
+    assert log.where("job = 'bronze_to_silver'").first().tasks > 0
+    health = runlog.execution_health(log).agg(F.sum("started").alias("n")).first().n
+    assert health == log.count()
+    outcomes = spark.read.parquet(f"{work}/dq")
+    series = runlog.rule_outcome_series(outcomes, every="1 hour").collect()
+    assert sum(r.rules_failed for r in series) == 1  # the strict range rule of r2
+    assert sum(r.rules_passed for r in series) == 3 + 3 + 11 + 10  # bronze x2, silver r1, r2
