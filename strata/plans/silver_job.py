@@ -36,12 +36,14 @@ def silver_plan(raw: DataFrame, zones: DataFrame, run_id: str, **kw) -> tuple[Da
     return silver, pre, post
 
 
-def bronze_to_silver(raw: DataFrame, zones: DataFrame, run_id: str, silver_path: str, **kw) -> SilverResult:
+def bronze_to_silver(raw: DataFrame, zones: DataFrame, run_id: str, silver_path: str, *,
+                     compact: bool = False, **kw) -> SilverResult:
     """Transform and append one run to Silver in a single Spark action.
 
-    An empty result writes nothing (no empty partition directories)."""
+    An empty result writes nothing (no empty partition directories);
+    ``compact`` packs many small inputs into fewer files (see write_silver)."""
     silver, pre, post = silver_plan(raw, zones, run_id, **kw)
-    write_silver(silver, silver_path)
+    write_silver(silver, silver_path, compact=compact)
     pre_m, post_m = pre.get, post.get
     rows = int(post_m.get("rows_written", 0) or 0)
     return SilverResult(rows > 0, int(pre_m.get("rows_read", 0) or 0),

@@ -9,12 +9,19 @@ from pyspark.sql import DataFrame
 from strata.contracts import SILVER_PARTITIONS
 
 
-def write_silver(df: DataFrame, path: str, partitions=SILVER_PARTITIONS) -> None:
+def write_silver(df: DataFrame, path: str, partitions=SILVER_PARTITIONS, *, compact: bool = False) -> None:
     """Append, Hive-partitioned by (year, month, run).
 
-    Written straight from the map side: each task writes one file per
-    partition value it holds, with no shuffle. A batch with no rows creates no
-    partition directory, so an empty run leaves the table unchanged."""
+    Default: written straight from the map side, each task writing one file
+    per partition value it holds, with no shuffle; with input splits of
+    ~128 MB the files come out near that size. ``compact=True`` is for input
+    made of many small files (e.g. micro-batches): a ``rebalance`` hint on the
+    partition columns lets AQE pack rows into advisory-sized files (and split
+    a hot month across tasks) at the price of one shuffle of the batch.
+    A batch with no rows creates no partition directory, so an empty run
+    leaves the table unchanged."""
+    if compact:
+        df = df.hint("rebalance", *partitions)
     df.write.mode("append").partitionBy(*partitions).parquet(path)
 
 

@@ -135,3 +135,17 @@ def test_cluster_fact_splits_a_hot_date(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_compact_silver_write_packs_small_inputs(spark, work):
+    import glob
+
+    from strata.sinks.silver import write_silver
+    from strata.sources.silver import read_silver
+
+    silver = demo_silver(spark, SF001).repartition(20)
+    write_silver(silver, f"{work}/loose")
+    write_silver(silver, f"{work}/packed", compact=True)
+    files = lambda d: len(glob.glob(f"{work}/{d}/*/*/*/*.parquet".replace("file:", "")))
+    assert files("packed") < files("loose")
+    assert read_silver(spark, f"{work}/packed").count() == read_silver(spark, f"{work}/loose").count()
