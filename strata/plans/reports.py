@@ -238,14 +238,20 @@ REPORTS = {
 
 
 # P14 -------------------------------------------------------------------------
-def bound_query(spark: SparkSession, sql: str, **tables: str) -> DataFrame:
-    """Run report SQL whose table names are parameters.
-
-    ``{{name}}`` placeholders become ``IDENTIFIER(:name)`` markers bound by
-    Spark itself (no string splicing of values); each bound name must be a
-    plain identifier or a dotted pair of them."""
-    for name, value in tables.items():
+def bound_query(spark: SparkSession, sql: str, **names: str) -> DataFrame:
+    """Run report SQL whose schema or table names are parameters.
+
+    ``{{name}}.table`` becomes ``IDENTIFIER(:name || '.table')`` and a bare
+    ``{{name}}`` becomes ``IDENTIFIER(:name)``; Spark binds the values itself
+    (no splicing of values into the text). Each bound value must be a plain
+    identifier or a dotted pair of them."""
+    for name, value in names.items():
         for part in value.split("."):
             require_identifier(part, name)
-    text = re.sub(r"\{\{\s*(\w+)\s*\}\}", lambda m: f"IDENTIFIER(:{m.group(1)})", sql)
-    return spark.sql(text, args=dict(tables))
+
+    def qualified(m: re.Match) -> str:
+        return f"IDENTIFIER(:{m.group(1)} || '.{require_identifier(m.group(2), 'table')}')"
+
+    text = re.sub(r"\{\{\s*(\w+)\s*\}\}\.(\w+)", qualified, sql)
+    text = re.sub(r"\{\{\s*(\w+)\s*\}\}", lambda m: f"IDENTIFIER(:{m.group(1)})", text)
+    return spark.sql(text, args=dict(names))

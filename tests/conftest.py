@@ -17,7 +17,8 @@ def spark():
 
     ckpt = tempfile.mkdtemp(prefix="strata-test-ckpt-")
     spark = build_session(
-        "local[4]", "strata-tests", shuffle_partitions=8, conf={"spark.checkpoint.dir": ckpt}
+        "local[4]", "strata-tests", shuffle_partitions=8,
+        conf={"spark.checkpoint.dir": ckpt, "spark.sql.warehouse.dir": f"{ckpt}/warehouse"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     yield spark

@@ -179,3 +179,19 @@ def test_identifier_guard():
     for bad in ("1abc", "a-b", "a;drop", ""):
         with pytest.raises(BadIdentifier):
             require_identifier(bad)
+
+
+def test_bound_query_schema_placeholder(spark, work):
+    from tests.conftest import SF001
+    from strata.plans.registry import demo_star
+    from strata.plans.reports import bound_query, pickup_hour_volume
+
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS card_test LOCATION '{work}/card_test'")
+    star = demo_star(spark, SF001)
+    star["fact_fhvhv_trips"].drop("load_timestamp").write.mode("overwrite").saveAsTable("card_test.fact_fhvhv_trips")
+    card = ("select pickup_hour, count(*)::bigint as trips from {{schema}}.fact_fhvhv_trips "
+            "group by 1 order by 1")
+    got = [tuple(r) for r in bound_query(spark, card, schema="card_test").collect()]
+    assert got == [tuple(r) for r in pickup_hour_volume(star).collect()]
+    with pytest.raises(BadIdentifier):
+        bound_query(spark, card, schema="x; drop table y")
