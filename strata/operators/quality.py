@@ -156,6 +156,25 @@ def evaluate_by(df: DataFrame, ruleset: Ruleset, by: Sequence[str]) -> DataFrame
     return wide.select(*by, F.inline(_outcome_structs(ruleset)))
 
 
+# -- additive evaluation ----------------------------------------------------
+# Every metric above is a ratio or comparison of COUNTS, and counts add up.
+# So the per-group counting columns ("partials") of disjoint parts of a table
+# can be stored and summed later: the outcome over the union equals the
+# outcome from the summed partials, exactly (same integers, same division).
+def partial_counts(df: DataFrame, ruleset: Ruleset, by: Sequence[str] = ()) -> DataFrame:
+    """The ruleset's counting columns, per group of ``by`` (one aggregate)."""
+    if by:
+        return df.groupBy(*by).agg(*_partials(ruleset))
+    return df.agg(*_partials(ruleset))
+
+
+def outcomes_from_partials(partials: DataFrame, ruleset: Ruleset) -> DataFrame:
+    """Outcome rows from stored partial counts of any number of parts."""
+    names = [c for c in partials.columns if c.startswith("_r")]
+    summed = partials.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names])
+    return summed.select(F.inline(_outcome_structs(ruleset)))
+
+
 def score(outcomes: DataFrame, by: Sequence[str] = ("ruleset",)) -> DataFrame:
     """Share of passed rules per ruleset (1.0 = every rule passed)."""
     passed = F.col("passed").cast("int")
@@ -215,10 +234,12 @@ class GateDecision:
         return repr(float(self.score))
 
 
-def gate(df: DataFrame, ruleset: Ruleset, min_score: float = 1.0, result_id: str | None = None) -> tuple[GateDecision, DataFrame]:
+def gate(df: DataFrame, ruleset: Ruleset, min_score: float = 1.0, result_id: str | None = None,
+         *, outcomes: DataFrame | None = None) -> tuple[GateDecision, DataFrame]:
     """Evaluate and decide. The only value brought to the driver is the one
-    score row; the outcomes frame is returned for storage."""
-    outcomes = evaluate(df, ruleset)
+    score row; the outcomes frame is returned for storage. Pass ``outcomes``
+    (e.g. from ``outcomes_from_partials``) to decide on precomputed ones."""
+    outcomes = evaluate(df, ruleset) if outcomes is None else outcomes
     row = score(outcomes).first()
     decision = GateDecision(
         ruleset.name,

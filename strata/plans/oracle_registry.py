@@ -172,6 +172,7 @@ ORACLE["dq_between"] = _derived(outcomes_sql(_adhoc(_Q.column_values("trip_durat
 ORACLE["dq_bronze"] = O.chain(O.RAW) + outcomes_sql(bronze_ruleset(), "raw")
 ORACLE["dq_silver"] = O.silver_sql(outcomes_sql(silver_ruleset(), "silver"))
 ORACLE["dq_silver_by_run"] = O.silver_sql(outcomes_sql(silver_ruleset(), "silver", group="run_id"), two_runs=True)
+ORACLE["dq_silver_incremental"] = O.silver_sql(outcomes_sql(silver_ruleset(), "silver"), two_runs=True)
 _BOTH = outcomes_sql(bronze_ruleset(), "raw") + "\nUNION ALL\n" + outcomes_sql(silver_ruleset(), "silver")
 ORACLE["dq_score"] = O.silver_sql(_score_sql(_BOTH))
 ORACLE["dq_rule_counts"] = O.silver_sql(

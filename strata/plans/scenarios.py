@@ -364,6 +364,20 @@ def dq_silver_by_run(spark, sf_dir):
     return Q.evaluate_by(silver, silver_ruleset(), ["run_id"])
 
 
+@register("dq_silver_incremental")
+def dq_silver_incremental(spark, sf_dir):
+    """Table-scope Silver outcomes from stored per-run counts: each run is
+    scanned once when it lands; the table outcome sums the stored counts."""
+    from strata.plans.run import table_outcomes_incremental
+
+    path = _work(spark, "partials")
+    silver = read_silver(spark, _two_run_silver_path(spark, sf_dir))
+    out = None
+    for run in RUNS:
+        out = table_outcomes_incremental(spark, scope_run(silver, run), silver_ruleset(), path)
+    return out
+
+
 def _both_outcomes(spark, sf_dir) -> DataFrame:
     return dq_bronze(spark, sf_dir).unionByName(dq_silver(spark, sf_dir))
 
