@@ -149,3 +149,20 @@ def test_compact_silver_write_packs_small_inputs(spark, work):
     files = lambda d: len(glob.glob(f"{work}/{d}/*/*/*/*.parquet".replace("file:", "")))
     assert files("packed") < files("loose")
     assert read_silver(spark, f"{work}/packed").count() == read_silver(spark, f"{work}/loose").count()
+
+
+def test_gates_read_only_rule_columns(spark, work):
+    """The Bronze gate runs before the Silver job, so Bronze is scanned twice;
+    the gate's scan must carry only the columns its rules use."""
+    from strata.operators.derive import prepare_bronze
+    from strata.operators.quality import evaluate
+    from strata.rulesets import bronze_ruleset
+    from strata.sources.bronze import read_bronze
+
+    sample.raw_trips(spark, SF001, lineage=False).write.parquet(f"{work}/bronze")
+    p = plan(evaluate(prepare_bronze(read_bronze(spark, f"{work}/bronze", lineage=False)), bronze_ruleset()))
+    schema = [line for line in p.splitlines() if "ReadSchema" in line][0]
+    read = schema.split("ReadSchema: struct<")[1]
+    assert "Pickup_datetime" in read and "dropOff_datetime" in read
+    for unused in ("PUlocationID", "DOlocationID", "Affiliated_base_number", "SR_Flag", "dispatching_base_num"):
+        assert unused not in read
