@@ -160,8 +160,10 @@ def version_path(root: str, version: int, table: str) -> str:
     return f"{root.rstrip('/')}/v={version}/{table}"
 
 
-def read_star(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame] | None:
-    row = _last_commit(spark, root)
+def read_star(spark: SparkSession, root: str, version: int | None = None, *, commit=None) -> dict[str, DataFrame] | None:
+    """The committed star (latest version unless ``version``); ``commit`` is a
+    commit-log row already read by the caller (saves reading the log again)."""
+    row = commit if commit is not None else _last_commit(spark, root)
     if row is None:
         return None
     v = int(row["version"]) if version is None else version
@@ -207,7 +209,7 @@ def publish_star(
     """
     last = _last_commit(spark, root)
     prev = None if last is None else int(last["version"])
-    current = read_star(spark, root, prev) if prev is not None else None
+    current = read_star(spark, root, prev, commit=last) if prev is not None else None
     v = (prev or 0) + 1
     for name, schema in STAR_TABLES.items():
         if name == FACT_DIR and fact_mode == "partitions":

@@ -166,3 +166,21 @@ def test_gates_read_only_rule_columns(spark, work):
     assert "Pickup_datetime" in read and "dropOff_datetime" in read
     for unused in ("PUlocationID", "DOlocationID", "Affiliated_base_number", "SR_Flag", "dispatching_base_num"):
         assert unused not in read
+
+
+def test_reports_over_published_star_broadcast_dimensions(spark, work):
+    """Over a published star the dimension joins (against pre-aggregated fact
+    rows) are planned as broadcast hash joins from the small dimension files;
+    no sort-merge join, and the fact scan reads only the report's columns."""
+    from strata.sinks.gold import publish_star, read_star
+
+    publish_star(spark, demo_star(spark, SF001), f"{work}/star")
+    star = read_star(spark, f"{work}/star")
+    for report in (reports.top_routes, reports.borough_flows, reports.daily_trip_volume):
+        df = report(star)
+        df.collect()
+        p = plan(df)
+        assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p, report.__name__
+    p = plan(reports.top_routes(star))
+    fact_scan = [line for line in p.splitlines() if "ReadSchema" in line and "trip_duration_minutes" in line][0]
+    assert "trip_id" not in fact_scan and "source_file" not in fact_scan
