@@ -70,6 +70,20 @@ def table_outcomes_incremental(spark: SparkSession, run_rows: DataFrame, ruleset
     return outcomes_from_partials(spark.read.parquet(f"{path}/ruleset={ruleset.name}"), ruleset)
 
 
+def backfill_partials(silver: DataFrame, ruleset, path: str) -> None:
+    """Store the per-run counts of every run already in Silver (one grouped
+    aggregate over the table), before switching a table to
+    ``gate_scope="table_incremental"``. Safe to repeat: each run's row is
+    replaced."""
+    (
+        partial_counts(silver, ruleset, ["run_id"])
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run_id")
+        .parquet(f"{path}/ruleset={ruleset.name}")
+    )
+
+
 def _stamped(outcomes: DataFrame, run_id: str) -> DataFrame:
     """Outcome rows with the run and evaluation time (input of O4)."""
     return outcomes.withColumns({"run_id": F.lit(run_id), "evaluated_at": F.current_timestamp()})
