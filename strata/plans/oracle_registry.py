@@ -74,15 +74,13 @@ FROM {fact} WHERE pickup_date IS NOT NULL AND pickup_date_key IS NOT NULL"""
 
 def _two(select: str) -> str:
     """Two-run star plus per-run facts/dims (fa, fb, da, db)."""
-    return O.star_sql(
-        f"""
-, fa AS (SELECT * FROM fact WHERE source_run_id = 'run-a')
-, fb AS (SELECT * FROM fact WHERE source_run_id = 'run-b')
-, da AS ({_dim_date_of('fa')})
-, db AS ({_dim_date_of('fb')})
-{select}""",
-        two_runs=True,
-    ).replace("\n\n, fa AS", "\n, fa AS").replace("\n, fa AS", ", fa AS", 1)
+    extra = (
+        "fa AS (SELECT * FROM fact WHERE source_run_id = 'run-a')",
+        "fb AS (SELECT * FROM fact WHERE source_run_id = 'run-b')",
+        f"da AS ({_dim_date_of('fa')})",
+        f"db AS ({_dim_date_of('fb')})",
+    )
+    return O.star_sql(select, two_runs=True, extra=extra)
 
 
 def _derived(select: str) -> str:
@@ -144,9 +142,10 @@ ORACLE["contract_violations"] = _contract_sql()
 ORACLE["dq_results_store"] = O.silver_sql(
     outcomes_sql(bronze_ruleset(), "raw") + "\nUNION ALL\n" + outcomes_sql(silver_ruleset(), "silver"))
 ORACLE["upsert_dim_zone"] = O.star_sql("""
-, prior AS (SELECT location_id + 10 AS location_id, borough, zone || ' (prior)' AS zone, service_zone FROM dim_zone)
 SELECT * FROM prior p WHERE NOT EXISTS (SELECT 1 FROM dim_zone s WHERE s.location_id = p.location_id)
-UNION ALL SELECT * FROM dim_zone""").replace(")\n\n, prior AS", "), prior AS").replace("\n\n, prior", ", prior")
+UNION ALL SELECT * FROM dim_zone""", extra=(
+    "prior AS (SELECT location_id + 10 AS location_id, borough, zone || ' (prior)' AS zone, service_zone"
+    " FROM dim_zone)",))
 ORACLE["upsert_dim_date"] = _two("""
 SELECT * FROM da WHERE NOT EXISTS (SELECT 1 FROM db WHERE db.date_key = da.date_key)
 UNION ALL SELECT * FROM db""")

@@ -135,8 +135,10 @@ PIPE_SILVER_TWO = (RAW, SRC_TWO, ZONES, ENRICHED, DERIVED, SILVER)
 PIPE_STAR_TWO = PIPE_SILVER_TWO + (FACT, DIM_DATE, DIM_ZONE)
 
 
-def star_sql(select: str, two_runs: bool = False) -> str:
-    return chain(*(PIPE_STAR_TWO if two_runs else PIPE_STAR)) + select
+def star_sql(select: str, two_runs: bool = False, extra: tuple[str, ...] = ()) -> str:
+    """The star CTE chain (one or two runs), any ``extra`` CTEs ("name AS (...)")
+    after it, then ``select``."""
+    return chain(*(PIPE_STAR_TWO if two_runs else PIPE_STAR), *("\n" + e for e in extra)) + select
 
 
 def silver_sql(select: str, two_runs: bool = False) -> str:
