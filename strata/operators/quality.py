@@ -234,12 +234,24 @@ class GateDecision:
         return repr(float(self.score))
 
 
+def settled_counts(df: DataFrame, ruleset: Ruleset) -> DataFrame:
+    """Run the ruleset's single aggregate once and keep its one row of counts
+    as a local frame (a fixed number of longs, whatever the table size), so
+    score, stored outcomes and reports derived from it never rescan ``df``."""
+    counts = partial_counts(df, ruleset)
+    return df.sparkSession.createDataFrame([counts.first()], counts.schema)
+
+
 def gate(df: DataFrame, ruleset: Ruleset, min_score: float = 1.0, result_id: str | None = None,
          *, outcomes: DataFrame | None = None) -> tuple[GateDecision, DataFrame]:
-    """Evaluate and decide. The only value brought to the driver is the one
-    score row; the outcomes frame is returned for storage. Pass ``outcomes``
-    (e.g. from ``outcomes_from_partials``) to decide on precomputed ones."""
-    outcomes = evaluate(df, ruleset) if outcomes is None else outcomes
+    """Evaluate and decide with ONE scan of ``df``.
+
+    The ruleset's counts are computed once (``settled_counts``); the score and
+    the returned outcomes frame (for storage) both come from that one row, so
+    saving the outcomes does not scan the table again. Pass ``outcomes`` (e.g.
+    from ``outcomes_from_partials``) to decide on precomputed ones."""
+    if outcomes is None:
+        outcomes = outcomes_from_partials(settled_counts(df, ruleset), ruleset)
     row = score(outcomes).first()
     decision = GateDecision(
         ruleset.name,

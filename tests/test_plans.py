@@ -184,3 +184,18 @@ def test_reports_over_published_star_broadcast_dimensions(spark, work):
     p = plan(reports.top_routes(star))
     fact_scan = [line for line in p.splitlines() if "ReadSchema" in line and "trip_duration_minutes" in line][0]
     assert "trip_id" not in fact_scan and "source_file" not in fact_scan
+
+
+def test_gate_scans_the_table_once(spark):
+    """The outcomes a gate returns (and the pipeline stores) come from the one
+    settled row of counts: no file scan left in their plan."""
+    from strata.operators.quality import evaluate, gate
+    from strata.rulesets import silver_ruleset
+
+    silver = demo_silver(spark, SF001)
+    decision, outcomes = gate(silver, silver_ruleset())
+    p = plan(outcomes)
+    assert "FileScan" not in p and "Scan parquet" not in p
+    want = sorted(map(tuple, evaluate(silver, silver_ruleset()).collect()))
+    assert sorted(map(tuple, outcomes.collect())) == want
+    assert decision.total_rules == 11 and decision.passed
