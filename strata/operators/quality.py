@@ -18,6 +18,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.functions.literals import literal_frame
+
 
 def _n(name: str) -> str:
     return f"`{name}`"
@@ -239,7 +241,7 @@ def settled_counts(df: DataFrame, ruleset: Ruleset) -> DataFrame:
     as a local frame (a fixed number of longs, whatever the table size), so
     score, stored outcomes and reports derived from it never rescan ``df``."""
     counts = partial_counts(df, ruleset)
-    return df.sparkSession.createDataFrame([counts.first()], counts.schema)
+    return literal_frame(df.sparkSession, [tuple(counts.first())], counts.schema)
 
 
 def gate(df: DataFrame, ruleset: Ruleset, min_score: float = 1.0, result_id: str | None = None,

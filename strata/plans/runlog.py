@@ -82,7 +82,9 @@ class RunLogger:
         if self.path and self.rows:
             from strata.contracts import RUN_LOG
 
-            self.spark.createDataFrame(self.rows, RUN_LOG).write.mode("append").parquet(self.path)
+            from strata.functions.literals import literal_frame
+
+            literal_frame(self.spark, self.rows, RUN_LOG).write.mode("append").parquet(self.path)
         self.rows = []
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from strata.contracts import FACT_PARTITION, STAR_KEYS, STAR_TABLES
 from strata.functions.identifiers import require_identifier
+from strata.functions.literals import empty_frame, literal_frame
 from strata.operators.contract import contract_checks
 from strata.operators.dims import cluster_fact
 from strata.operators.upsert import stage_keys, upsert, upsert_partitions
@@ -139,6 +140,11 @@ def create_star(spark: SparkSession, schema: str, root: str, fact_table: str = "
 
 # -- snapshot publish ----------------------------------------------------------
 COMMIT_SCHEMA = "version INT, tables STRING, fact_mode STRING"
+_COMMIT_TYPE = T.StructType([
+    T.StructField("version", T.IntegerType()),
+    T.StructField("tables", T.StringType()),
+    T.StructField("fact_mode", T.StringType()),
+])
 FACT_DIR = "fact_fhvhv_trips"
 
 
@@ -184,7 +190,7 @@ def read_partitioned_fact(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    return empty_frame(spark, schema)
 
 
 def publish_star(
@@ -226,7 +232,7 @@ def publish_star(
             writer.write.mode("overwrite").parquet(version_path(root, v, name))
         if fail_after == name:
             raise RuntimeError(f"injected failure after writing {name} (version {v} not committed)")
-    spark.createDataFrame([(v, ",".join(STAR_TABLES), fact_mode)], COMMIT_SCHEMA).write.mode(
+    literal_frame(spark, [(v, ",".join(STAR_TABLES), fact_mode)], _COMMIT_TYPE).write.mode(
         "append"
     ).json(f"{root.rstrip('/')}/{COMMITS}")
     return v

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.contracts import BRONZE
+from strata.functions.literals import empty_frame
 
 
 def read_bronze(
@@ -46,4 +47,4 @@ def or_empty(df: DataFrame, schema: T.StructType = BRONZE) -> DataFrame:
     with the fixed Bronze schema so later steps still resolve (S3)."""
     if df.columns:
         return df
-    return df.sparkSession.createDataFrame([], schema)
+    return empty_frame(df.sparkSession, schema)
