@@ -1,39 +1,32 @@
-"""Small literal frames built inside the JVM.
+"""Small local frames (one row of rule counts, a commit-log entry, a run-log
+entry, an empty frame of a schema).
 
 ``spark.createDataFrame`` on a Python list goes through an RDD of pickled rows,
-which needs Python worker processes to run. The frames here (one row of rule
-counts, a commit-log entry, a run-log entry, an empty frame of a schema) are
-instead a literal projection over ``range``: a pure JVM plan.
+which needs Python worker processes to run. Rows passed as a pandas frame go
+through Arrow into a local relation instead (``LocalTableScan``, no Python
+worker). The values are data, not literals in the plan, so plans built on top
+keep the same generated code from run to run and hit the codegen cache.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def literal_frame(spark: SparkSession, rows: Iterable[Sequence], schema: T.StructType) -> DataFrame:
-    """A frame of ``rows`` (tuples in ``schema`` order) with exactly ``schema``'s types."""
-    rows = list(rows)
+    """A frame of ``rows`` (tuples in ``schema`` order) with ``schema``'s types."""
+    rows = [tuple(r) for r in rows]
     if not rows:
         return empty_frame(spark, schema)
-    structs = [
-        F.struct(*[_lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)])
-        for row in rows
-    ]
-    return spark.range(1).select(F.inline(F.array(*structs)))
-
-
-def _lit(v):
-    # A naive datetime is passed as text so its wall-clock value survives
-    # whatever the machine's local zone (F.lit would read it as local time).
-    if isinstance(v, dt.datetime):
-        return F.lit(v.strftime("%Y-%m-%d %H:%M:%S.%f"))
-    return F.lit(v)
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    # object dtype keeps None as null (not NaN) and Python ints exact
+    data = pd.DataFrame(rows, columns=schema.names, dtype=object)
+    return spark.createDataFrame(data, schema)
 
 
 def empty_frame(spark: SparkSession, schema: T.StructType) -> DataFrame:

@@ -249,12 +249,20 @@ def gate(df: DataFrame, ruleset: Ruleset, min_score: float = 1.0, result_id: str
     """Evaluate and decide with ONE scan of ``df``.
 
     The ruleset's counts are computed once (``settled_counts``); the score and
-    the returned outcomes frame (for storage) both come from that one row, so
-    saving the outcomes does not scan the table again. Pass ``outcomes`` (e.g.
-    from ``outcomes_from_partials``) to decide on precomputed ones."""
+    the returned outcomes frame (for storage) both come from that one row, by
+    plain projections (no shuffle), so saving the outcomes does not scan the
+    table again. Pass ``outcomes`` (e.g. from ``outcomes_from_partials``) to
+    decide on precomputed ones."""
     if outcomes is None:
-        outcomes = outcomes_from_partials(settled_counts(df, ruleset), ruleset)
-    row = score(outcomes).first()
+        settled = settled_counts(df, ruleset)
+        structs = _outcome_structs(ruleset)
+        outcomes = settled.select(F.inline(structs))
+        passed = F.aggregate(structs, F.lit(0), lambda acc, x: acc + x["passed"].cast("int"))
+        row = settled.select(passed.alias("passed_rules"), F.size(structs).alias("total_rules")).first()
+        row = {"passed_rules": row["passed_rules"], "total_rules": row["total_rules"],
+               "score": row["passed_rules"] / row["total_rules"] if row["total_rules"] else 0.0}
+    else:
+        row = score(outcomes).first()
     decision = GateDecision(
         ruleset.name,
         float(row["score"]) if row else 0.0,
