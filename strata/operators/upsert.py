@@ -50,8 +50,10 @@ def stage_keys(staged: DataFrame, key: str | Sequence[str], path: str) -> DataFr
     join sees two shuffles and AQE can split a hot target key, and the key
     list is computed once however often it is used."""
     keys = _keys(key)
-    staged.select(*keys).distinct().write.mode("overwrite").parquet(path)
-    return staged.sparkSession.read.parquet(path)
+    delete = staged.select(*keys).distinct()
+    delete.write.mode("overwrite").parquet(path)
+    # read back with the known schema: no footer-inference job
+    return staged.sparkSession.read.schema(delete.schema).parquet(path)
 
 
 def replaced_rows(target: DataFrame, staged: DataFrame, key: str | Sequence[str]) -> DataFrame:

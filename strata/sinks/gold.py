@@ -151,7 +151,8 @@ FACT_DIR = "fact_fhvhv_trips"
 def _last_commit(spark: SparkSession, root: str):
     try:
         log = spark.read.schema(COMMIT_SCHEMA).json(f"{root.rstrip('/')}/{COMMITS}")
-        return log.orderBy(F.col("version").desc()).select("version", "fact_mode").first()
+        row = log.agg(F.max_by(F.struct("version", "fact_mode"), "version").alias("c")).first()
+        return None if row is None or row["c"] is None else row["c"]
     except Exception:  # no commit log yet
         return None
 
