@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation
@@ -20,20 +21,21 @@ class SilverResult:
     rows_written: int
 
 
-def silver_plan(raw: DataFrame, zones: DataFrame, run_id: str, **kw) -> tuple[DataFrame, Observation, Observation]:
-    """Lazy Silver frame with two observations attached: Bronze-side counts
-    (rows read after enrichment, unresolved zones) and the final count. Both
-    are filled by the single write action."""
+def silver_plan(raw: DataFrame, zones: DataFrame, run_id: str, **kw) -> tuple[DataFrame, Observation]:
+    """Lazy Silver frame with ONE observation attached, on the derived rows
+    just before the validity filter: rows read (after enrichment, as the
+    source counts them), unresolved zones, and rows kept (a conditional count
+    of the filter's own predicate). Filled by the single write action."""
     lo, hi = kw.pop("lo", 0.0), kw.pop("hi", 1440.0)
     enriched = enriched_trips(raw, zones, **{k: v for k, v in kw.items() if k == "max_broadcast_rows"})
-    enriched, pre = observe_counts(
-        enriched, {"rows_read": None, "unresolved": unresolved_predicate()}, "bronze_read"
+    derived = silver_columns(enriched, run_id, null_token=kw.get("null_token"))
+    keep = validity_predicate(lo, hi)
+    derived, obs = observe_counts(
+        derived,
+        {"rows_read": None, "unresolved": unresolved_predicate(), "rows_written": keep},
+        f"silver_batch_{uuid.uuid4().hex[:8]}",
     )
-    silver = silver_columns(enriched, run_id, null_token=kw.get("null_token")).filter(
-        validity_predicate(lo, hi)
-    )
-    silver, post = observe_counts(silver, {"rows_written": None}, "silver_written")
-    return silver, pre, post
+    return derived.filter(keep), obs
 
 
 def bronze_to_silver(raw: DataFrame, zones: DataFrame, run_id: str, silver_path: str, *,
@@ -42,9 +44,8 @@ def bronze_to_silver(raw: DataFrame, zones: DataFrame, run_id: str, silver_path:
 
     An empty result writes nothing (no empty partition directories);
     ``compact`` packs many small inputs into fewer files (see write_silver)."""
-    silver, pre, post = silver_plan(raw, zones, run_id, **kw)
+    silver, obs = silver_plan(raw, zones, run_id, **kw)
     write_silver(silver, silver_path, compact=compact)
-    pre_m, post_m = pre.get, post.get
-    rows = int(post_m.get("rows_written", 0) or 0)
-    return SilverResult(rows > 0, int(pre_m.get("rows_read", 0) or 0),
-                        int(pre_m.get("unresolved", 0) or 0), rows)
+    m = obs.get
+    rows = int(m.get("rows_written", 0) or 0)
+    return SilverResult(rows > 0, int(m.get("rows_read", 0) or 0), int(m.get("unresolved", 0) or 0), rows)

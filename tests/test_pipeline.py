@@ -209,3 +209,16 @@ def test_backfill_then_incremental_matches_full_table(spark, work):
     got = table_outcomes_incremental(spark, scope_run(silver, "run-b"), silver_ruleset(), f"{work}/partials")
     want = evaluate(silver, silver_ruleset())
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_observed_silver_metrics_equal_batch_metrics(spark, work):
+    """The counts riding on the Silver write equal the oracle-checked
+    batch_metrics aggregate over the same batch."""
+    from strata.plans.scenarios import batch_metrics
+    from strata.plans.silver_job import bronze_to_silver
+
+    res = bronze_to_silver(sample.raw_trips(spark, SF001), sample.zone_lookup(spark, SF001), "run-0001",
+                           f"{work}/silver")
+    want = batch_metrics(spark, SF001).first()
+    assert (res.rows_read, res.unresolved, res.rows_written) == (want.rows_read, want.unresolved, want.rows_written)
+    assert res.written
