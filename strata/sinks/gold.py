@@ -19,11 +19,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.contracts import FACT_PARTITION, STAR_KEYS, STAR_TABLES
+from strata.contracts import FACT, FACT_PARTITION, STAR_KEYS, STAR_TABLES
 from strata.functions.identifiers import require_identifier
 from strata.functions.literals import empty_frame, literal_frame
 from strata.operators.contract import contract_checks
@@ -153,7 +154,7 @@ def _last_commit(spark: SparkSession, root: str):
         log = spark.read.schema(COMMIT_SCHEMA).json(f"{root.rstrip('/')}/{COMMITS}")
         row = log.agg(F.max_by(F.struct("version", "fact_mode"), "version").alias("c")).first()
         return None if row is None or row["c"] is None else row["c"]
-    except Exception:  # no commit log yet
+    except AnalysisException:  # no commit log yet
         return None
 
 
@@ -185,8 +186,6 @@ def read_star(spark: SparkSession, root: str, version: int | None = None, *, com
 
 
 def read_partitioned_fact(spark: SparkSession, path: str) -> DataFrame:
-    from strata.contracts import FACT
-
     return spark.read.schema(FACT).parquet(path).select(*FACT.names)
 
 
@@ -247,12 +246,10 @@ def publish_fact_partitions(spark: SparkSession, fact_path: str, staged: DataFra
     are first written to ``merge_path`` (shared folder) and then moved into
     place by a second, narrow write. Both writes carry only the touched dates.
     """
-    from strata.contracts import FACT
-
     staged = staged.select(*FACT.names)
     try:
-        target = read_partitioned_fact(spark, fact_path)  # raises when the path is absent
-    except Exception:
+        target = read_partitioned_fact(spark, fact_path)
+    except AnalysisException:  # first publish: no fact directory yet
         target = _empty(spark, FACT)
     keys = stage_keys(staged, [FACT_PARTITION, "trip_id"], f"{merge_path}_keys")
     merged = upsert_partitions(target, staged, "trip_id", FACT_PARTITION, keys)
