@@ -241,8 +241,9 @@ ORACLE["execution_time"] = RUNS_CTE + """
 SELECT bucket_start, bucket_start + INTERVAL 5 MINUTE AS bucket_end, avg(elapsed_ms) AS avg_elapsed_ms,
   max(elapsed_ms) AS max_elapsed_ms FROM b GROUP BY bucket_start"""
 ORACLE["job_metrics"] = RUNS_CTE + """
-SELECT bucket_start, bucket_start + INTERVAL 5 MINUTE AS bucket_end, job, sum(elapsed_ms) AS elapsed_ms,
-  sum(tasks) AS completed_tasks, sum(bytes_read) AS bytes_read FROM b GROUP BY bucket_start, job"""
+SELECT bucket_start, bucket_start + INTERVAL 5 MINUTE AS bucket_end, job, CAST(sum(elapsed_ms) AS BIGINT) AS elapsed_ms,
+  CAST(sum(tasks) AS BIGINT) AS completed_tasks, CAST(sum(bytes_read) AS BIGINT) AS bytes_read
+FROM b GROUP BY bucket_start, job"""
 ORACLE["rule_outcome_series"] = O.silver_sql(f"""
 SELECT CAST(pickup_date AS TIMESTAMP) + to_hours(pickup_hour) AS bucket_start,
   CAST(pickup_date AS TIMESTAMP) + to_hours(pickup_hour + 1) AS bucket_end, ruleset,

@@ -46,10 +46,18 @@ def test_entry_smoke(spark):
     assert df.count() >= 0
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "double": "DOUBLE",
+                 "string": "VARCHAR", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF001)
     got = sorted([tuple(_norm(x) for x in r) for r in df.collect()], key=_key)
+    rel = duck.sql(E.oracle_sql()[name])
+    types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    for f in df.schema.fields:  # same column types as the oracle
+        assert SPARK_TO_DUCK.get(f.dataType.simpleString()) == types[f.name], (name, f.name)
     res = duck.execute(E.oracle_sql()[name])
     cols = [d[0] for d in res.description]
     assert sorted(cols) == sorted(df.columns)
