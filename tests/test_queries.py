@@ -75,3 +75,18 @@ def test_plan_has_no_python_udf_or_cross_join(spark, name):
     plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     for word in BANNED:
         assert word not in plan, f"{name}: {word}"
+
+
+RUN_LOG_QUERIES = {"execution_health", "execution_time", "job_metrics"}
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_events_scan_is_pruned(spark, name):
+    """Only the run-log queries use events.props; every other query's scan of
+    events must leave that column out (column pruning reaches the scan)."""
+    plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "events.parquet" in line]
+    for line in scans:
+        schema = line.split("ReadSchema: ")[-1]
+        if name not in RUN_LOG_QUERIES:
+            assert "props" not in schema, name
