@@ -154,6 +154,7 @@ SELECT * FROM fa WHERE NOT EXISTS (SELECT 1 FROM fb WHERE fb.trip_id = fa.trip_i
 UNION ALL SELECT * FROM fb""")
 ORACLE["published_fact"] = ORACLE["upsert_fact"]
 ORACLE["published_fact_partitions"] = ORACLE["upsert_fact"]
+ORACLE["published_fact_by_date"] = ORACLE["upsert_fact"]
 ORACLE["upsert_replaced_rows"] = _two("""
 SELECT * FROM fa WHERE EXISTS (SELECT 1 FROM fb WHERE fb.trip_id = fa.trip_id)""")
 ORACLE["publish_rollback"] = _two("""

@@ -36,7 +36,7 @@ class PipelineConfig:
     gate_scope: str = "table"
     silver_inclusive: bool = True
     min_score: float = 1.0
-    fact_mode: str = "snapshot"  # or "partitions" (rewrite touched dates only)
+    fact_mode: str = "snapshot"  # or "snapshot_by_date" / "partitions" (see publish_star)
     run_log_path: str | None = None  # append one row per step (O1-O3 input)
     silver_table: str | None = None  # catalog table over silver_path to refresh
 

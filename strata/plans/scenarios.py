@@ -294,6 +294,16 @@ def published_fact_partitions(spark, sf_dir):
     return G.read_star(spark, root)["fact_fhvhv_trips"]
 
 
+@register("published_fact_by_date")
+def published_fact_by_date(spark, sf_dir):
+    """Two atomic snapshots where the second copies days 1-10 of run-a without
+    a shuffle and merges only the dates run-b touches (K9)."""
+    root = _work(spark, "publish_by_date")
+    G.publish_star(spark, run_star(spark, sf_dir, "run-a"), root, fact_mode="snapshot_by_date")
+    G.publish_star(spark, run_star(spark, sf_dir, "run-b"), root, fact_mode="snapshot_by_date")
+    return G.read_star(spark, root)["fact_fhvhv_trips"]
+
+
 @register("publish_rollback")
 def publish_rollback(spark, sf_dir):
     """The second publish fails after two tables: readers still see the first

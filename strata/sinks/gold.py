@@ -29,6 +29,7 @@ from strata.functions.identifiers import require_identifier
 from strata.functions.literals import empty_frame, literal_frame
 from strata.operators.contract import contract_checks
 from strata.operators.dims import cluster_fact
+from strata.operators.joins import bounded_broadcast
 from strata.operators.upsert import stage_keys, upsert, upsert_partitions
 
 COMMITS = "_commits"
@@ -206,7 +207,9 @@ def publish_star(
 
     ``fact_mode="snapshot"`` (default, atomic): every table, the fact too, is
     rewritten under ``v=<n>/``; the fact is clustered (``cluster_fact``) so
-    later date/hour filters skip row groups. ``fact_mode="partitions"`` (for a
+    later date/hour filters skip row groups. ``"snapshot_by_date"`` (atomic
+    too): untouched dates are copied without a shuffle, only touched dates are
+    merged and re-clustered (relies on trip_id falling in its pickup date). ``fact_mode="partitions"`` (for a
     very large fact): the dimensions are snapshotted, the fact lives in one
     date-partitioned directory and only the date partitions the batch touches
     are rewritten (``publish_fact_partitions``); not atomic across tables.
@@ -224,11 +227,15 @@ def publish_star(
         else:
             target = current[name] if current else _empty(spark, schema)
             batch = staged[name].select(*schema.names)
-            keys = None
-            if name == FACT_DIR and current:  # the large table: staged delete list
-                keys = stage_keys(batch, STAR_KEYS[name], f"{root.rstrip('/')}/_merge/v={v}/{name}_keys")
-            merged = upsert(target, batch, STAR_KEYS[name], keys)
-            writer = cluster_fact(merged) if name == FACT_DIR else merged
+            merge_dir = f"{root.rstrip('/')}/_merge/v={v}/{name}_keys"
+            if name == FACT_DIR and current and fact_mode == "snapshot_by_date":
+                writer = _snapshot_fact_by_date(target, batch, merge_dir)
+            else:
+                keys = None
+                if name == FACT_DIR and current:  # the large table: staged delete list
+                    keys = stage_keys(batch, STAR_KEYS[name], merge_dir)
+                merged = upsert(target, batch, STAR_KEYS[name], keys)
+                writer = cluster_fact(merged) if name == FACT_DIR else merged
             writer.write.mode("overwrite").parquet(version_path(root, v, name))
         if fail_after == name:
             raise RuntimeError(f"injected failure after writing {name} (version {v} not committed)")
@@ -238,6 +245,23 @@ def publish_star(
     return v
 
 
+def _snapshot_fact_by_date(target: DataFrame, batch: DataFrame, keys_path: str) -> DataFrame:
+    """Next fact snapshot without shuffling untouched dates.
+
+    Relies on the same property as partition mode: a trip_id always falls in
+    its pickup date, so target rows of dates the batch does not touch cannot
+    be replaced. Those rows are copied by a narrow plan (broadcast anti join
+    on the batch's few dates, size-checked), keeping their clustered order;
+    only the touched dates go through the anti join on (date, trip_id) and
+    are re-clustered."""
+    keys = stage_keys(batch, [FACT_PARTITION, "trip_id"], keys_path)
+    dates = bounded_broadcast(keys.select(FACT_PARTITION).distinct(), 1_000_000)
+    untouched = target.join(dates, FACT_PARTITION, "left_anti")
+    affected = target.join(dates, FACT_PARTITION, "left_semi")
+    merged = affected.join(keys, [FACT_PARTITION, "trip_id"], "left_anti").unionByName(batch)
+    return untouched.select(*FACT.names).unionByName(cluster_fact(merged.select(*FACT.names)))
+
+
 def publish_fact_partitions(spark: SparkSession, fact_path: str, staged: DataFrame, merge_path: str) -> None:
     """Rewrite only the date partitions the batch touches (dynamic partition
     overwrite); untouched partitions are not read or written.
