@@ -21,7 +21,7 @@ from strata.operators.upsert import stage_keys, upsert, upsert_partitions  # noq
 from strata.plans import reports  # noqa: E402
 from strata.rulesets import bronze_ruleset, silver_ruleset  # noqa: E402
 from strata.session import build_session, shared_dir  # noqa: E402
-from strata.sinks.gold import publish_star, read_star  # noqa: E402
+from strata.sinks.gold import _snapshot_fact_by_date, publish_star, read_star  # noqa: E402
 from strata.sinks.silver import write_silver  # noqa: E402
 from strata.sources import sample  # noqa: E402
 from strata.sources.bronze import read_bronze  # noqa: E402
@@ -105,6 +105,10 @@ def main() -> None:
         ("Fact upsert, snapshot mode, staged delete list",
          "Anti join of two plain shuffles, so AQE may split a hot trip_id.",
          upsert(fact, staged, "trip_id", stage_keys(staged, "trip_id", f"{work}/keys")), True),
+        ("Fact snapshot by date (fact_mode=snapshot_by_date)",
+         "Untouched dates: scan -> broadcast anti join on the batch's dates, no shuffle; touched "
+         "dates: anti join on (date, trip_id) against the staged delete list, then re-clustered.",
+         _snapshot_fact_by_date(fact, staged, f"{work}/keys_by_date"), True),
         ("Fact upsert, partition mode",
          "Only touched date partitions are read (static + dynamic partition pruning).",
          upsert_partitions(parts, staged, "trip_id", "pickup_date_key"), True),
