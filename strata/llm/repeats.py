@@ -144,6 +144,8 @@ def repeated(docs: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame]:
     docs = docs.select("did", "th", "text")
     cores = docs.mapInArrow(_scan(unit, True), "core long")
     shared = cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
+    # Written first: a join of two exchanges is one that skew handling can split.
+    shared = common.materialize(shared, "cores")
     runs = docs.mapInArrow(_scan(unit, False), "core long, did long, at long, dd long").join(shared, "core")
     work = common.materialize(docs.join(_lists(runs), ["did", "th"]), "work")
     texts = work.select("did", "th", "text")
@@ -155,6 +157,7 @@ def repeated(docs: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame]:
         hulls = named.groupBy("core", "h1", "h2").agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "at", "dd")).alias("witness")
         )
+        hulls = common.materialize(hulls, f"hulls-{block}")
         twice = hulls.filter("n > 1").select("core", "h1", "h2")
         done.append(named.join(twice, ["core", "h1", "h2"]).select("did", "at", "dd"))
         if block > 1:
