@@ -13,13 +13,17 @@
 Components, not pairs, are wanted, so a bucket never emits all its pairs: each round
 compares its members with one leader, merges what is verified, and goes on only with
 buckets that still hold two or more components and with the pairs across those.
-The leader has then met all the others and leaves.  Once the pairs left are no more
-than a small multiple of the bucket rows they are compared all at once.
+The leader has then met all the others and leaves.  Where buckets stay large, the
+shingles that a set shares with any other candidate are counted: a pair cannot have
+more in common than either shares at all, and this exact bound, a condition of the
+join, lets through only pairs that may reach the threshold.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +38,9 @@ SHINGLE_WORDS = 4
 PERCENT = 80  # linked if 100 * intersection >= PERCENT * union
 BANDS, VALUES = 40, 6
 BATCH = 24  # signature values compared between two looks at the posterior
-MISS = 1e-7
-ROWS_FACTOR = 4  # remaining pairs per bucket row that are compared at once
+MISS = 1e-5
+ROWS_FACTOR = 4  # remaining pairs per bucket row up to which they are joined
+BLOCK = 512  # members of a large bucket that one task compares with as many others
 
 U = np.uint64
 _RANDOM = np.random.default_rng(20240607)
@@ -100,31 +105,37 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _keys(signatures: np.ndarray) -> np.ndarray:
+    """Bucket of each signature in each band."""
+    sig = signatures.reshape(-1, BANDS, VALUES).astype(U)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U), sig.shape[:2])
+    for v in range(VALUES):
+        key = mix(key * U(65599) + sig[:, :, v])
+    return key
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint16).reshape(-1, BANDS, VALUES).astype(U)
-        key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U), sig.shape[:2])
-        for v in range(VALUES):
-            key = mix(key * U(65599) + sig[:, :, v])
+        key = _keys(np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint16))
         yield common.rows("bucket rep", key.reshape(-1), np.repeat(common.longs(batch["rep"]), BANDS))
 
 
 # --- sequential verification ---------------------------------------------------------
+@lru_cache(maxsize=None)
 def least_matches(share: float, miss: float) -> list[tuple[int, int]]:
     """(compared, matches) after each batch: with fewer matches the posterior
     probability of a similarity of ``share`` or more is below ``miss``."""
-    s = (np.arange(20_000) + 0.5) / 20_000
-    out = []
-    for n in range(BATCH, BANDS * VALUES + 1, BATCH):
-        for m in range(n + 1):
-            log = m * np.log(s) + (n - m) * np.log1p(-s)
-            like = np.exp(log - log.max())
-            if like[s >= share].sum() >= miss * like.sum():
-                out.append((n, m))
-                break
-    return out
+    s = (np.arange(2_000) + 0.5) / 2_000
+
+    def enough(n: int, m: int) -> bool:
+        log = m * np.log(s) + (n - m) * np.log1p(-s)
+        like = np.exp(log - log.max())
+        return bool(like[s >= share].sum() >= miss * like.sum())
+
+    counts = range(BATCH, BANDS * VALUES + 1, BATCH)
+    return [(n, bisect_left(range(n + 1), True, key=lambda m: enough(n, m))) for n in counts]
 
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,6 +209,121 @@ def _bucket_rows(active: DataFrame, labels: DataFrame | None) -> DataFrame:
     return common.materialize(rows.join(mixed, "bucket"), "rows")
 
 
+def _bounds(rows: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rep, size, shared): a set's size and how many of its shingles any other set
+    of ``rows`` has too.  Two sets have at most min(shared) in common, which bounds
+    their similarity before anything of them is compared.  A doc_id with several
+    sets gets no size, so nothing is concluded for it."""
+    wanted = rows.select("rep").distinct()
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(shingle_sets(*common.utf8(batch["text"])))
+            of = np.repeat(common.longs(batch["rep"]), [len(s) for s in sets])
+            if len(of):
+                yield common.rows("rep shingle", of, np.concatenate(sets))
+
+    each = texts.join(wanted, "rep").select("rep", "text").mapInArrow(shingles, "rep long, shingle long")
+    own = each.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).filter("rep = last")
+    own = own.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    known = reps.groupBy("rep").agg(F.count(F.lit(1)).alias("sets"), F.max("n").alias("n")).join(wanted, "rep")
+    out = known.join(own, "rep", "left").select(
+        "rep",
+        F.when(F.col("sets") == 1, F.col("n")).alias("size"),
+        (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"),
+    )
+    return common.materialize(out, "bounds")
+
+
+def _may_link(a: str, b: str):
+    """Whether sizes and shared counts allow the threshold (unknown counts as yes)."""
+    most = F.least(f"{a}_shared", f"{b}_shared")
+    return F.coalesce(100 * most >= PERCENT * (F.col(f"{a}_size") + F.col(f"{b}_size") - most), F.lit(True))
+
+
+def _side(bounds: DataFrame, name: str) -> DataFrame:
+    return bounds.toDF(name, f"{name}_size", f"{name}_shared")
+
+
+def _with_leaders(rows: DataFrame, bounds: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Pairs of each bucket's leader and its members of other components: the
+    smallest member, or with ``bounds`` the one that shares most of its set."""
+    order = F.struct("rep")
+    if bounds is not None:
+        rows = rows.join(bounds, "rep")
+        order = F.struct((-F.col("shared") / F.coalesce("size", F.lit(1))).alias("novel"), "rep")
+    leaders = rows.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "rep", "label")).alias("x"))
+    leaders = common.materialize(
+        leaders.select("bucket", F.col("x.rep").alias("leader"), F.col("x.label").alias("leader_label")), "leaders"
+    )
+    met = rows.join(leaders, "bucket").filter("label <> leader_label")
+    pairs = met.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    if bounds is not None:
+        pairs = pairs.join(_side(bounds, "a"), "a").join(_side(bounds, "b"), "b").filter(_may_link("a", "b"))
+    return pairs.select("a", "b"), leaders
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """All pairs of a bucket's members of different components."""
+    a = rows.select("bucket", F.col("rep").alias("a"), F.col("label").alias("la"))
+    b = rows.select("bucket", F.col("rep").alias("b"), F.col("label").alias("lb"))
+    return a.join(b, "bucket").filter("a < b and la <> lb").select("a", "b").distinct()
+
+
+def _compare_blocks(table: pa.Table) -> pa.Table:
+    """Pairs of two blocks of one bucket, or of one with itself, that pass the
+    size bound and every look at the posterior.  A pair is reported only in the
+    first of the bands that it shares."""
+    table = table.combine_chunks()
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, BANDS * VALUES)
+    rep, label, block = (table[c].to_numpy() for c in ("rep", "label", "block"))
+    size, shared = (table[c].to_numpy() for c in ("size", "shared"))
+    i, j = int(table["i"][0].as_py()), int(table["j"][0].as_py())
+    keys = _keys(sig)
+    band = int(np.flatnonzero(keys[0] == np.int64(table["bucket"][0].as_py()).astype(U))[0])
+    bounds = least_matches(PERCENT / 100, MISS)
+    right = np.flatnonzero(block == j)
+    out_a, out_b = [], []
+    for k in np.flatnonzero(block == i):
+        other = right[(rep[right] > rep[k]) if i == j else slice(None)]
+        other = other[label[other] != label[k]]
+        most = np.minimum(shared[other], shared[k])
+        known = (size[other] >= 0) & (size[k] >= 0)
+        other = other[~known | (100 * most >= PERCENT * (size[other] + size[k] - most))]
+        other = other[~(keys[other, :band] == keys[k, :band]).any(axis=1)]
+        matches, done = np.zeros(len(other), np.int64), 0
+        for n, least in bounds:
+            matches = matches + (sig[other, done:n] == sig[k, done:n]).sum(axis=1)
+            keep = matches >= least
+            other, matches, done = other[keep], matches[keep], n
+        out_a.append(np.full(len(other), rep[k]))
+        out_b.append(rep[other])
+    none = np.zeros(0, np.int64)
+    return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
+
+
+def _across_blocks(rows: DataFrame, bounds: DataFrame, reps: DataFrame) -> DataFrame:
+    """The likely pairs of large buckets.  A bucket is dealt to blocks, and a task
+    compares two blocks; what it may not rule out is all that it emits."""
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    sizes = common.materialize(sizes, "sizes")
+    sided = rows.join(sizes, "bucket").join(bounds, "rep").join(reps.select("rep", "sig"), "rep")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    dealt = sided.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(
+        "bucket",
+        F.least("block", "with").cast("long").alias("i"),
+        F.greatest("block", "with").cast("long").alias("j"),
+        F.col("block").cast("long").alias("block"),
+        "rep",
+        "label",
+        F.coalesce("size", F.lit(-1)).cast("long").alias("size"),
+        F.col("shared").cast("long").alias("shared"),
+        "sig",
+    )
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(_compare_blocks, "a long, b long").distinct()
+
+
 def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(sketches, reps, labels): of every document with a doc_id its set's digest,
     of every distinct set its representative, and the components of those that are
@@ -222,28 +348,30 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame |
         "texts",
     )
 
-    links = labels = None
+    links = labels = bounds = None
     rows = _bucket_rows(active, None)
     while not rows.isEmpty():
         sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
         sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("own"))
         left = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).alias("p"), F.sum("m").alias("m")).first()
-        all_at_once = left["p"] <= ROWS_FACTOR * left["m"]
-        if all_at_once:
-            a = rows.select("bucket", F.col("rep").alias("a"), F.col("label").alias("la"))
-            b = rows.select("bucket", F.col("rep").alias("b"), F.col("label").alias("lb"))
-            pairs = a.join(b, "bucket").filter("a < b and la <> lb").select("a", "b")
+        few = left["p"] <= ROWS_FACTOR * left["m"]
+        if not few and links is not None and bounds is None:
+            bounds = _bounds(rows, reps, texts)
+            leading = True  # one more round of leaders, now the most typical ones
+        elif not few and bounds is not None:
+            leading = False
+        else:
+            leading = not few
+        if leading:
+            pairs, leaders = _with_leaders(rows, bounds)
         else:
-            leaders = rows.groupBy("bucket").agg(F.min(F.struct("rep", "label")).alias("leader"))
-            leaders = common.materialize(leaders, "leaders")
-            met = rows.join(leaders, "bucket")
-            pairs = met.filter("label <> leader.label").select(F.col("leader.rep").alias("a"), F.col("rep").alias("b"))
-        new = verified(common.materialize(pairs.distinct(), "pairs"), reps, texts)
+            pairs = _across(rows) if few else _across_blocks(rows, bounds, reps)
+        new = verified(common.materialize(pairs, "pairs"), reps, texts)
         links = new if links is None else common.materialize(links.union(new), "links")
         labels = components(links, labels)
-        if all_at_once:
+        if not leading:
             break
-        rest = rows.join(leaders, "bucket").filter("rep <> leader.rep").select("bucket", "rep")
+        rest = rows.join(leaders, "bucket").filter("rep <> leader").select("bucket", "rep")
         rows = _bucket_rows(rest, labels)
     return sketches, reps, labels
 
