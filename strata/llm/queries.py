@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from strata.llm import (
     decontaminate,
     exact,
+    language,
     licenses,
+    minhash,
     packing,
     rlz,
     suffixes,
@@ -18,6 +20,7 @@ from strata.llm import (
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": rlz.query,
+    "op2_language_id": language.query,
     "op3_license_scan": licenses.query,
     "op4_token_matrices": packing.query_matrices,
     "op5_exact_dedup": exact.query,
@@ -25,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_best_fit_packing": packing.query,
     "op8_decontamination": decontaminate.query,
     "op9_suffix_dedup": suffixes.query,
+    "op10_near_dedup": minhash.query,
 }
 
 ORACLE: dict[str, str] = {
