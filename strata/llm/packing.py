@@ -31,6 +31,7 @@ from strata.llm import common, tokens
 
 ROW = 2048
 GROUP_BYTES = 4 << 20  # of text in a group of pieces, on average
+GIVERS = 24  # rows in turn without a step, after which the local search ends
 
 
 def tokenizer_path() -> str:
@@ -166,13 +167,15 @@ def empty_rows(rows: list[list[int]], lengths: np.ndarray, limit: int) -> list[l
     the search ends.  Steps, in this order: move a piece into the tightest gap;
     exchange one piece for a shorter one; one for two that are shorter together;
     two for one that is shorter than both together.  A row from which no step is
-    left is set aside.  It stops early at the least number of rows there can be.
+    left is set aside, and after ``GIVERS`` of them in turn the search ends, as it does
+    at the least number of rows there can be.
     """
     fill = np.array([int(lengths[r].sum()) for r in rows], np.int64)
     least = -(-int(lengths.sum()) // limit)
     alive = int((fill > 0).sum())
     aside = fill >= limit
-    while alive > least:
+    stuck = 0
+    while alive > least and stuck < GIVERS:
         open_rows = np.flatnonzero((fill > 0) & (fill < limit))
         givers = open_rows[~aside[open_rows]]
         if len(open_rows) < 2 or not len(givers):
@@ -182,7 +185,9 @@ def empty_rows(rows: list[list[int]], lengths: np.ndarray, limit: int) -> list[l
         step = _step(rows, fill, lengths, limit, giver, takers) if len(takers) else None
         if step is None:
             aside[giver] = True
+            stuck += 1
             continue
+        stuck = 0
         taker, given, taken = step
         for k in given:
             rows[giver].remove(k)

@@ -11,13 +11,15 @@ into the pieces that the tokenizer would cut them into, which lets "The", "the"
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
 
 from strata.llm.names import LIMIT, word_bounds, word_codes
 
-CACHE = 600_000  # words a worker remembers
+CACHE = 1_500_000  # words a worker remembers, as numbers
+PIECES = 300_000  # pieces of words that it remembers besides
 
 _MARKS = frozenset(".,;:!?|")
 
@@ -32,7 +34,38 @@ class WordIds:
 
     def __init__(self, path: str):
         self._tokenizer = Tokenizer.from_file(path)
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece
+        self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._known: dict[str, tuple[int, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self._codes, self._slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self._begin, self._flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def by_code(self, codes: np.ndarray, word) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all known words, first, number) for sorted distinct word codes;
+        ``word(k)`` is the text of the k-th, asked for only if it is new."""
+        if len(self._codes) > CACHE:
+            self._forget()
+        if len(self._codes):
+            at = np.minimum(np.searchsorted(self._codes, codes), len(self._codes) - 1)
+            new = np.flatnonzero(self._codes[at] != codes)
+        else:
+            new = np.arange(len(codes))
+        if len(new):
+            ids = self([word(k) for k in new])
+            ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1]))
+            slots = len(self._begin) - 1 + np.arange(len(new))
+            self._begin = np.concatenate((self._begin, self._begin[-1] + ends))
+            self._flat = np.concatenate((self._flat, flat))
+            where = np.searchsorted(self._codes, codes[new])
+            self._codes = np.insert(self._codes, where, codes[new])
+            self._slots = np.insert(self._slots, where, slots)
+        slot = self._slots[np.searchsorted(self._codes, codes)]
+        return self._flat, self._begin[slot], self._begin[slot + 1] - self._begin[slot]
 
     def _pieces(self, word: str) -> tuple[str, ...]:
         if max(word) < "ɐ":
@@ -43,17 +76,27 @@ class WordIds:
                 return (low[:-1], low[-1])
         return (word,)
 
+    def _together(self, plain: list[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of single pieces, encoded as one text and parted where pieces end."""
+        ids = self._tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids
+        cuts = np.flatnonzero(self._ends[ids]) + 1
+        if len(cuts) != len(plain):  # a tokenizer that cuts otherwise: one by one
+            return {p: tuple(self._tokenizer.encode(p, add_special_tokens=False).ids) for p in plain}
+        return {p: tuple(ids[x:y]) for p, x, y in zip(plain, [0, *cuts.tolist()], cuts.tolist())}
+
     def __call__(self, words: list[str]) -> list[tuple[int, ...]]:
         known = self._known
         cut = [self._pieces(w) for w in words]
         new = list({p for c in cut for p in c if p not in known})
-        if len(known) + len(new) > CACHE:
+        if len(known) + len(new) > PIECES:
             known.clear()
             new = list({p for c in cut for p in c})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for p, e in zip(some, self._tokenizer.encode_batch(some, add_special_tokens=False)):
-                known[p] = tuple(e.ids)
+        plain = [p for p in new if p in _MARKS or p.isalpha() and max(p) < "ɐ"]
+        for at in range(0, len(plain), 2_000):
+            known.update(self._together(plain[at : at + 2_000]))
+        for p in new:
+            if p not in known:
+                known[p] = tuple(self._tokenizer.encode(p, add_special_tokens=False).ids)
         return [known[c[0]] if len(c) == 1 else known[c[0]] + known[c[1]] for c in cut]
 
 
@@ -71,12 +114,10 @@ def encode(data: np.ndarray, ends: np.ndarray, path: str, after: int | None):
         raw, own = data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
         first, last, words = word_bounds(raw, own)
         codes = word_codes(raw, first, last)
-        _, one, which = np.unique(codes, return_index=True, return_inverse=True)
-        texts = [raw[first[k] : last[k]].tobytes().decode("utf-8", "replace") for k in one]
-        ids = lookup(texts)
-        size = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
-        begin = np.cumsum(size) - size
+        distinct, one, which = np.unique(codes, return_index=True, return_inverse=True)
+        flat, begin, size = lookup.by_code(
+            distinct, lambda k: raw[first[one[k]] : last[one[k]]].tobytes().decode("utf-8", "replace")
+        )
         n_ids = size[which]
         total = np.concatenate(([0], np.cumsum(n_ids)))
         out = flat[np.repeat(begin[which] - total[:-1], n_ids) + np.arange(int(total[-1]))]
