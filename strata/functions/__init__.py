@@ -1,6 +1,6 @@
 from strata.functions.columns import (
     calendar_columns,
-    canonical_name,
+    column_key,
     duration_minutes,
     lenient_cast,
     ratio_pct,
@@ -10,7 +10,7 @@ from strata.functions.columns import (
 
 __all__ = [
     "calendar_columns",
-    "canonical_name",
+    "column_key",
     "duration_minutes",
     "lenient_cast",
     "ratio_pct",

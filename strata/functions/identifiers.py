@@ -11,8 +11,12 @@ class BadIdentifier(ValueError):
     pass
 
 
-def require_identifier(value: str, what: str = "identifier") -> str:
-    """Return ``value`` if it is a plain SQL identifier, else raise."""
-    if not re.match(IDENTIFIER_PATTERN, value or ""):
-        raise BadIdentifier(f"{what} must be a simple SQL identifier, got: {value!r}")
-    return value
+_WHOLE = re.compile(IDENTIFIER_PATTERN.rstrip("$"))
+
+
+def plain_identifier(text: str, role: str = "identifier") -> str:
+    """``text`` itself when all of it, a trailing newline included, may stand
+    unquoted in SQL."""
+    if text and _WHOLE.fullmatch(text):
+        return text
+    raise BadIdentifier(f"not usable unquoted as {role}: {text!r}")

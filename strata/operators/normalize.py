@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.functions.columns import canonical_name, lenient_cast
+from strata.functions.columns import column_key, lenient_cast
 
 
 class ColumnNameClash(ValueError):
@@ -20,7 +20,7 @@ def normalize_columns(df: DataFrame, aliases: Mapping[str, str] | None = None) -
     Fails early when two columns collapse to one name (a plain rename would
     succeed and only break later with an ambiguous reference).
     """
-    names = [canonical_name(c, aliases) for c in df.columns]
+    names = [column_key(c, aliases) for c in df.columns]
     seen: dict[str, str] = {}
     for original, new in zip(df.columns, names):
         if new in seen:

@@ -78,6 +78,7 @@ def upsert_partitions(
     """
     delete = staged_keys if staged_keys is not None else staged.select(partition, key).distinct()
     touched = delete.select(partition).distinct()
-    current = target.join(touched, partition, "left_semi")
+    same = target[partition].eqNullSafe(touched[partition])  # the null partition is rewritten too
+    current = target.join(touched, same, "left_semi")
     kept = current.join(delete.select(partition, key), [partition, key], "left_anti")
     return kept.unionByName(staged.select(*target.columns))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from strata.contracts import UNKNOWN
 from strata.functions.columns import mean_minutes, ratio_pct, whole_seconds
-from strata.functions.identifiers import require_identifier
+from strata.functions.identifiers import plain_identifier
 from strata.operators.aggregates import count_by, value_range
 from strata.operators.joins import role_dimension
 from strata.operators.ordering import sort_by, sort_by_measure, top_k
@@ -247,10 +247,10 @@ def bound_query(spark: SparkSession, sql: str, **names: str) -> DataFrame:
     identifier or a dotted pair of them."""
     for name, value in names.items():
         for part in value.split("."):
-            require_identifier(part, name)
+            plain_identifier(part, name)
 
     def qualified(m: re.Match) -> str:
-        return f"IDENTIFIER(:{m.group(1)} || '.{require_identifier(m.group(2), 'table')}')"
+        return f"IDENTIFIER(:{m.group(1)} || '.{plain_identifier(m.group(2), 'table')}')"
 
     text = re.sub(r"\{\{\s*(\w+)\s*\}\}\.(\w+)", qualified, sql)
     text = re.sub(r"\{\{\s*(\w+)\s*\}\}", lambda m: f"IDENTIFIER(:{m.group(1)})", text)

@@ -52,14 +52,17 @@ class RunReport:
     notes: list[str] = field(default_factory=list)
 
 
-def table_outcomes_incremental(spark: SparkSession, run_rows: DataFrame, ruleset, path: str) -> DataFrame:
+def table_outcomes_incremental(
+    spark: SparkSession, run_rows: DataFrame, ruleset, path: str, table: DataFrame | None = None
+) -> DataFrame:
     """Table-scope outcomes while scanning only the new run.
 
     The run's partial counts (one row per run id) are written with dynamic
     partition overwrite, so a re-gated or replayed run replaces its own row;
     the table's outcomes are then computed from the sum over all stored runs.
     Exact as long as Silver runs are only appended or replaced whole, which is
-    how this pipeline writes them."""
+    how this pipeline writes them. Given the ``table``, runs in it that have no
+    stored counts yet are counted first, so none is left out of the score."""
     (
         partial_counts(run_rows, ruleset, ["run_id"])
         .write.mode("overwrite")
@@ -67,7 +70,13 @@ def table_outcomes_incremental(spark: SparkSession, run_rows: DataFrame, ruleset
         .partitionBy("run_id")
         .parquet(f"{path}/ruleset={ruleset.name}")
     )
-    return outcomes_from_partials(spark.read.parquet(f"{path}/ruleset={ruleset.name}"), ruleset)
+    stored = f"{path}/ruleset={ruleset.name}"
+    if table is not None:
+        known = spark.read.parquet(stored).select(F.col("run_id").cast("string").alias("run_id")).distinct()
+        gap = table.select("run_id").distinct().join(known, "run_id", "left_anti")
+        if not gap.isEmpty():
+            backfill_partials(table.join(gap, "run_id", "left_semi"), ruleset, path)
+    return outcomes_from_partials(spark.read.parquet(stored), ruleset)
 
 
 def backfill_partials(silver: DataFrame, ruleset, path: str) -> None:
@@ -130,7 +139,8 @@ def _run(spark, raw, zones, run_id, cfg, report, log, raise_on_fail) -> RunRepor
         scope = silver if cfg.gate_scope == "table" else scope_run(silver, run_id)
         precomputed = None
         if cfg.gate_scope == "table_incremental":
-            precomputed = table_outcomes_incremental(spark, scope, rules, f"{cfg.results_path}/partials")
+            precomputed = table_outcomes_incremental(
+                spark, scope, rules, f"{cfg.results_path.rstrip('/')}_partials", silver)
         decision, outcomes = gate(scope, rules, cfg.min_score, result_id=f"silver/{run_id}",
                                   outcomes=precomputed)
         save_rule_results(_stamped(outcomes, run_id), f"{cfg.results_path}/layer=silver")

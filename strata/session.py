@@ -78,6 +78,8 @@ def shared_dir(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     """
     base = _configured_checkpoint_dir(spark)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="strata-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.contracts import FACT, FACT_PARTITION, STAR_KEYS, STAR_TABLES
-from strata.functions.identifiers import require_identifier
+from strata.functions.identifiers import plain_identifier
 from strata.functions.literals import empty_frame, literal_frame
 from strata.operators.contract import contract_checks
 from strata.operators.dims import cluster_fact
@@ -120,8 +120,8 @@ def create_star(spark: SparkSession, schema: str, root: str, fact_table: str = "
     """Idempotent ``CREATE SCHEMA/TABLE IF NOT EXISTS`` for the three star
     tables and their staging twins (no NOT NULL on staging), Parquet at
     ``<root>/<table>``; the fact is partitioned by its date key."""
-    require_identifier(schema, "schema")
-    require_identifier(fact_table, "fact_table")
+    plain_identifier(schema, "schema")
+    plain_identifier(fact_table, "fact_table")
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema} LOCATION '{root.rstrip('/')}/_db'")
     made = []
     for name, contract in STAR_TABLES.items():
@@ -155,8 +155,10 @@ def _last_commit(spark: SparkSession, root: str):
         log = spark.read.schema(COMMIT_SCHEMA).json(f"{root.rstrip('/')}/{COMMITS}")
         row = log.agg(F.max_by(F.struct("version", "fact_mode"), "version").alias("c")).first()
         return None if row is None or row["c"] is None else row["c"]
-    except AnalysisException:  # no commit log yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None  # no commit log yet
 
 
 def committed_version(spark: SparkSession, root: str) -> int | None:
@@ -219,6 +221,11 @@ def publish_star(
     last = _last_commit(spark, root)
     prev = None if last is None else int(last["version"])
     current = read_star(spark, root, prev, commit=last) if prev is not None else None
+    if last is not None and (last["fact_mode"] == "partitions") != (fact_mode == "partitions"):
+        raise ValueError(
+            f"the fact at {root} was published with fact_mode={last['fact_mode']!r}; going on with"
+            f" {fact_mode!r} would start it empty. Publish to a new root to change the layout."
+        )
     v = (prev or 0) + 1
     for name, schema in STAR_TABLES.items():
         if name == FACT_DIR and fact_mode == "partitions":
@@ -273,8 +280,10 @@ def publish_fact_partitions(spark: SparkSession, fact_path: str, staged: DataFra
     staged = staged.select(*FACT.names)
     try:
         target = read_partitioned_fact(spark, fact_path)
-    except AnalysisException:  # first publish: no fact directory yet
-        target = _empty(spark, FACT)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        target = _empty(spark, FACT)  # first publish: no fact directory yet
     keys = stage_keys(staged, [FACT_PARTITION, "trip_id"], f"{merge_path}_keys")
     merged = upsert_partitions(target, staged, "trip_id", FACT_PARTITION, keys)
     cluster_fact(merged).write.mode("overwrite").partitionBy(FACT_PARTITION).parquet(merge_path)

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from strata.functions.identifiers import require_identifier
+from strata.functions.identifiers import plain_identifier
 
 
 def register_table(
@@ -27,7 +27,7 @@ def register_table(
     """``CREATE TABLE IF NOT EXISTS ... USING parquet PARTITIONED BY ...
     LOCATION``, then partition discovery; returns ``spark.table(name)``."""
     for part in name.split("."):
-        require_identifier(part, "table name")
+        plain_identifier(part, "table name")
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     part = f" PARTITIONED BY ({', '.join(partitions)})" if partitions else ""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet{part} LOCATION '{path}'")

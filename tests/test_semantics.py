@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.contracts import BRONZE, DIM_ZONE, TRIP_ALIASES
-from strata.functions.columns import canonical_name, surrogate_key
-from strata.functions.identifiers import BadIdentifier, require_identifier
+from strata.functions.columns import column_key, surrogate_key
+from strata.functions.identifiers import BadIdentifier, plain_identifier
 from strata.operators.contract import contract_report, enforce_contract
 from strata.operators.derive import prepare_bronze, to_silver
 from strata.operators.dims import build_dim_zone
@@ -95,7 +95,7 @@ def test_raw_names_normalised(spark):
                                "Affiliated_base_number string")
     assert normalize_columns(df, TRIP_ALIASES).columns == [
         "pu_location_id", "do_location_id", "dropoff_datetime", "sr_flag", "affiliated_base_number"]
-    assert canonical_name("drop off datetime", TRIP_ALIASES) == "dropoff_datetime"
+    assert column_key("drop off datetime", TRIP_ALIASES) == "dropoff_datetime"
 
 
 def test_raw_name_clash_raises(spark):
@@ -175,10 +175,10 @@ def test_overlong_zone_violates_contract(spark):
 
 
 def test_identifier_guard():
-    assert require_identifier("gold_1") == "gold_1"
+    assert plain_identifier("gold_1") == "gold_1"
     for bad in ("1abc", "a-b", "a;drop", ""):
         with pytest.raises(BadIdentifier):
-            require_identifier(bad)
+            plain_identifier(bad)
 
 
 def test_bound_query_schema_placeholder(spark, work):
