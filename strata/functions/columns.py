@@ -105,15 +105,12 @@ def half_up_ratio(numer: Column, denom: Column, factor: int = 1, scale: int = 2)
     Rounding is HALF_UP on the exact ratio, done in integer arithmetic
     (``(2*f*10^s*n + d) div (2*d)``), so it cannot depend on how a double
     quotient happens to fall at a .xx5 boundary (engines disagree there). The
-    long numerator is made an exact multiple of the divisor first, so the
-    double quotient is an integer up to rounding and ``round`` recovers it.
+    products are decimals, so no sum that a long can hold overflows in them.
     """
-    n = numer.cast("long")
-    d = F.nullif(denom.cast("long"), F.lit(0))
-    a = n * (2 * factor * 10**scale) + d
-    b = d * 2
-    units = F.round((a - F.pmod(a, b)) / b)
-    return (units / F.lit(float(10**scale))).cast("double")
+    n = numer.cast("decimal(20,0)")
+    d = F.nullif(denom.cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+    units = F.call_function("div", n * F.lit(2 * factor * 10**scale) + d, d * F.lit(2))
+    return units.cast("double") / F.lit(float(10**scale))
 
 
 def ratio_pct(numer: Column, denom: Column) -> Column:

@@ -1,8 +1,8 @@
 """Lookup joins (J1-J4, P5) and the size-checked broadcast they use.
 
-A lookup is broadcast only after its row count has been proven to be under a
-bound; the proof is ``limit(bound + 1).count()``, which stops reading as soon
-as the bound is exceeded, so it is cheap even when the answer is "too big".
+A lookup is broadcast only after its rows and bytes have been counted and found
+under their bounds; the count is one aggregate that is merged inside each task,
+so nothing of the lookup itself is moved for it.
 Beyond the bound the join is left to the planner (sort-merge join, with AQE
 free to switch strategy from runtime sizes).
 """
@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import weakref
 from collections.abc import Iterable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 #: Default ceiling for a broadcast lookup. 1M narrow rows is a few tens of MB
 #: per executor; real zone and date dimensions are hundreds to thousands.
 DEFAULT_BROADCAST_ROWS = 1_000_000
+#: Ceiling for the values of a broadcast lookup, whatever its number of rows.
+MAX_BROADCAST_BYTES = 64 << 20
 
 _checked: "weakref.WeakKeyDictionary[DataFrame, dict[int, bool]]" = weakref.WeakKeyDictionary()
 
@@ -27,13 +31,15 @@ class LookupFanOut(ValueError):
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (checked once per frame
-    and bound)."""
+    """True when ``df`` has at most ``max_rows`` rows, of at most
+    ``MAX_BROADCAST_BYTES`` together (checked once per frame and bound)."""
     try:
         return _checked[df][max_rows]
     except (KeyError, TypeError):
         pass
-    ok = df.limit(max_rows + 1).count() <= max_rows
+    values = [F.coalesce(F.octet_length(df[f"`{c}`"].cast("string")), F.lit(0)) + 8 for c in df.columns]
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(reduce(add, values).cast("long")).alias("bytes")).first()
+    ok = size["n"] <= max_rows and (size["bytes"] or 0) <= MAX_BROADCAST_BYTES
     try:
         _checked.setdefault(df, {})[max_rows] = ok
     except TypeError:  # pragma: no cover - frame not weak-referenceable

@@ -22,7 +22,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -62,23 +63,40 @@ def replaced_rows(target: DataFrame, staged: DataFrame, key: str | Sequence[str]
     return target.join(staged.select(*keys).distinct(), keys, "left_semi")
 
 
+def partition_values(staged_keys: DataFrame, partition: str) -> list:
+    """The distinct partition values of a batch, null included. For partitions of
+    days only: their number is bounded by the calendar, not by the rows."""
+    return [r[0] for r in staged_keys.select(partition).distinct().collect()]
+
+
+def in_partitions(partition: str, values: Sequence) -> Column:
+    """Whether a row lies in one of the partitions (never null)."""
+    inside = F.col(partition).isin([v for v in values if v is not None])
+    return F.coalesce(inside, F.lit(None in values))
+
+
 def upsert_partitions(
     target: DataFrame, staged: DataFrame, key: str, partition: str,
-    staged_keys: DataFrame | None = None,
+    staged_keys: DataFrame | None = None, touched_values: Sequence | None = None,
 ) -> DataFrame:
     """Upsert restricted to the partitions the batch touches.
 
     Valid when equal keys always fall in the same partition value (for the
     fact: ``trip_id`` hashes the pickup time and ``pickup_date_key`` derives
-    from it). Only the touched target partitions are read (the semi join on
-    the batch's distinct partition values becomes a partition filter through
-    dynamic partition pruning), and the anti join runs on
-    ``(partition, key)`` so it spreads even when one partition is hot. Write
-    the result with dynamic partition overwrite; untouched partitions stay.
+    from it). Given ``touched_values`` (the batch's partition values; for days a
+    list that the calendar bounds, see ``partition_values``) the target is read
+    through a static partition filter, so untouched partitions are not even
+    listed by a task; without it a semi join picks the touched rows. The anti
+    join runs on ``(partition, key)`` so it spreads even when one partition is
+    hot. Write the result with dynamic partition overwrite; untouched partitions
+    stay.
     """
     delete = staged_keys if staged_keys is not None else staged.select(partition, key).distinct()
-    touched = delete.select(partition).distinct()
-    same = target[partition].eqNullSafe(touched[partition])  # the null partition is rewritten too
-    current = target.join(touched, same, "left_semi")
+    if touched_values is not None:
+        current = target.filter(in_partitions(partition, touched_values))
+    else:
+        touched = delete.select(partition).distinct()
+        same = target[partition].eqNullSafe(touched[partition])  # the null partition is rewritten too
+        current = target.join(touched, same, "left_semi")
     kept = current.join(delete.select(partition, key), [partition, key], "left_anti")
     return kept.unionByName(staged.select(*target.columns))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from strata.operators.derive import prepare_bronze
 from strata.operators.quality import GateDecision, GateFailed, gate, outcomes_from_partials, partial_counts
 from strata.plans.gold_job import GoldResult, load_gold
-from strata.plans.runlog import RunLogger
+from strata.plans.runlog import EXECUTION, RunLogger
 from strata.plans.silver_job import SilverResult, bronze_to_silver
 from strata.rulesets import bronze_ruleset, silver_ruleset
 from strata.sinks.gold import quarantine, save_rule_results
@@ -110,21 +110,27 @@ def run_pipeline(
     report = RunReport(run_id)
     log = RunLogger(spark, cfg.run_log_path)
     try:
-        return _run(spark, raw, zones, run_id, cfg, report, log, raise_on_fail)
+        with log.step(EXECUTION) as whole:
+            _run(spark, raw, zones, run_id, cfg, report, log, raise_on_fail)
+            if not (report.bronze_gate.passed and report.silver_gate and report.silver_gate.passed):
+                whole.fail()
+        return report
     finally:
         log.flush()
 
 
 def _run(spark, raw, zones, run_id, cfg, report, log, raise_on_fail) -> RunReport:
     # Bronze gate: failure stops the run; nothing is quarantined.
-    with log.step("bronze_gate"):
+    with log.step("bronze_gate") as step:
         decision, outcomes = gate(prepare_bronze(raw), bronze_ruleset(), cfg.min_score,
                                   result_id=f"bronze/{run_id}")
         save_rule_results(_stamped(outcomes, run_id), f"{cfg.results_path}/layer=bronze")
         report.bronze_gate = decision
-        if not decision.passed and raise_on_fail:
-            raise GateFailed(decision)
+        if not decision.passed:
+            step.fail()
     if not decision.passed:
+        if raise_on_fail:
+            raise GateFailed(decision)
         return report
 
     with log.step("bronze_to_silver"):
@@ -133,7 +139,7 @@ def _run(spark, raw, zones, run_id, cfg, report, log, raise_on_fail) -> RunRepor
             refresh_partitions(spark, cfg.silver_table)
 
     # Silver gate, on the whole table (parity) or only this run.
-    with log.step("silver_gate"):
+    with log.step("silver_gate") as step:
         silver = read_silver(spark, cfg.silver_path)
         rules = silver_ruleset(inclusive=cfg.silver_inclusive)
         scope = silver if cfg.gate_scope == "table" else scope_run(silver, run_id)
@@ -145,6 +151,8 @@ def _run(spark, raw, zones, run_id, cfg, report, log, raise_on_fail) -> RunRepor
                                   outcomes=precomputed)
         save_rule_results(_stamped(outcomes, run_id), f"{cfg.results_path}/layer=silver")
         report.silver_gate = decision
+        if not decision.passed:
+            step.fail()
     if not decision.passed:
         with log.step("quarantine"):
             report.quarantined_to = quarantine(

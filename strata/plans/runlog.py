@@ -62,8 +62,17 @@ def rule_outcome_series(outcomes: DataFrame, ts: str = "evaluated_at", every: st
 
 
 # -- writing the run log ------------------------------------------------------
+EXECUTION = "execution"  # job name of the row that stands for a whole run
+
+
+def executions(log: DataFrame) -> DataFrame:
+    """The rows of whole runs, leaving out their steps (input of O1 and O2)."""
+    return log.filter(F.col("job") == EXECUTION)
+
+
 class RunLogger:
-    """Time pipeline steps and append one run-log row per step.
+    """Time a run and its steps and append one run-log row for each. A step whose
+    gate failed is FAILED, and so is the run it stopped, raised or not.
 
     Each step runs under its own Spark job group, so the completed task count
     is read from the public status tracker; bytes read are not exposed to
@@ -90,7 +99,12 @@ class RunLogger:
 
 class _Step:
     def __init__(self, log: RunLogger, job: str):
-        self.log, self.job = log, job
+        self.log, self.job, self.failed = log, job, False
+        self.first = len(log.rows)
+
+    def fail(self) -> None:
+        """Log the step as failed although it ends without an exception."""
+        self.failed = True
 
     def __enter__(self):
         import datetime as dt
@@ -106,8 +120,6 @@ class _Step:
     def __exit__(self, exc_type, exc, tb):
         import time
 
-        from strata.operators.quality import GateFailed
-
         elapsed = int((time.perf_counter() - self.t0) * 1000)
         sc = self.log.spark.sparkContext
         tracker = sc.statusTracker()
@@ -118,11 +130,8 @@ class _Step:
                 stage = tracker.getStageInfo(sid)
                 tasks += stage.numCompletedTasks if stage else 0
         sc.setLocalProperty("spark.jobGroup.id", None)
-        if exc_type is None:
-            status = "SUCCEEDED"
-        elif issubclass(exc_type, GateFailed):
-            status = "GATE_FAILED"
-        else:
-            status = "FAILED"
+        if self.job == EXECUTION:
+            tasks += sum(r[5] for r in self.log.rows[self.first :])
+        status = "SUCCEEDED" if exc_type is None and not self.failed else "FAILED"
         self.log.rows.append((self.ts, self.log.pipeline, self.job, status, elapsed, tasks, None))
         return False

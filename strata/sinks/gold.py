@@ -29,8 +29,7 @@ from strata.functions.identifiers import plain_identifier
 from strata.functions.literals import empty_frame, literal_frame
 from strata.operators.contract import contract_checks
 from strata.operators.dims import cluster_fact
-from strata.operators.joins import bounded_broadcast
-from strata.operators.upsert import stage_keys, upsert, upsert_partitions
+from strata.operators.upsert import in_partitions, partition_values, stage_keys, upsert, upsert_partitions
 
 COMMITS = "_commits"
 
@@ -150,9 +149,11 @@ _COMMIT_TYPE = T.StructType([
 FACT_DIR = "fact_fhvhv_trips"
 
 
-def _last_commit(spark: SparkSession, root: str):
+def _last_commit(spark: SparkSession, root: str, version: int | None = None):
+    """The latest commit row, or the row of ``version``; None if there is none."""
     try:
         log = spark.read.schema(COMMIT_SCHEMA).json(f"{root.rstrip('/')}/{COMMITS}")
+        log = log if version is None else log.filter(F.col("version") == version)
         row = log.agg(F.max_by(F.struct("version", "fact_mode"), "version").alias("c")).first()
         return None if row is None or row["c"] is None else row["c"]
     except AnalysisException as e:
@@ -172,12 +173,17 @@ def version_path(root: str, version: int, table: str) -> str:
 
 
 def read_star(spark: SparkSession, root: str, version: int | None = None, *, commit=None) -> dict[str, DataFrame] | None:
-    """The committed star (latest version unless ``version``); ``commit`` is a
-    commit-log row already read by the caller (saves reading the log again)."""
-    row = commit if commit is not None else _last_commit(spark, root)
+    """The committed star (latest version unless ``version``), None if there is
+    none; each version is read in the layout that its own commit names. In
+    partition mode only the latest fact exists, so asking for an older one is an
+    error. ``commit`` is a commit-log row already read by the caller (saves
+    reading the log again)."""
+    row = commit if commit is not None else _last_commit(spark, root, version)
     if row is None:
         return None
-    v = int(row["version"]) if version is None else version
+    v = int(row["version"])
+    if commit is None and row["fact_mode"] == "partitions" and v != committed_version(spark, root):
+        raise ValueError(f"version {v} of {root} has been replaced: partition mode keeps only the latest fact")
     star = {
         name: spark.read.schema(schema).parquet(version_path(root, v, name))
         for name, schema in STAR_TABLES.items()
@@ -257,21 +263,21 @@ def _snapshot_fact_by_date(target: DataFrame, batch: DataFrame, keys_path: str)
 
     Relies on the same property as partition mode: a trip_id always falls in
     its pickup date, so target rows of dates the batch does not touch cannot
-    be replaced. Those rows are copied by a narrow plan (broadcast anti join
-    on the batch's few dates, size-checked), keeping their clustered order;
-    only the touched dates go through the anti join on (date, trip_id) and
-    are re-clustered."""
+    be replaced. Those rows are copied by a narrow plan (a filter on the
+    batch's dates, pushed to the scan), keeping their clustered order; only the
+    touched dates go through the anti join on (date, trip_id) and are
+    re-clustered."""
     keys = stage_keys(batch, [FACT_PARTITION, "trip_id"], keys_path)
-    dates = bounded_broadcast(keys.select(FACT_PARTITION).distinct(), 1_000_000)
-    untouched = target.join(dates, FACT_PARTITION, "left_anti")
-    affected = target.join(dates, FACT_PARTITION, "left_semi")
+    touched = in_partitions(FACT_PARTITION, partition_values(keys, FACT_PARTITION))
+    untouched, affected = target.filter(~touched), target.filter(touched)
     merged = affected.join(keys, [FACT_PARTITION, "trip_id"], "left_anti").unionByName(batch)
     return untouched.select(*FACT.names).unionByName(cluster_fact(merged.select(*FACT.names)))
 
 
 def publish_fact_partitions(spark: SparkSession, fact_path: str, staged: DataFrame, merge_path: str) -> None:
     """Rewrite only the date partitions the batch touches (dynamic partition
-    overwrite); untouched partitions are not read or written.
+    overwrite); a static filter on the batch's dates keeps untouched partitions
+    from being read, and they are not written.
 
     Spark refuses to overwrite a path it is reading, so the merged partitions
     are first written to ``merge_path`` (shared folder) and then moved into
@@ -285,7 +291,8 @@ def publish_fact_partitions(spark: SparkSession, fact_path: str, staged: DataFra
             raise
         target = _empty(spark, FACT)  # first publish: no fact directory yet
     keys = stage_keys(staged, [FACT_PARTITION, "trip_id"], f"{merge_path}_keys")
-    merged = upsert_partitions(target, staged, "trip_id", FACT_PARTITION, keys)
+    days = partition_values(keys, FACT_PARTITION)
+    merged = upsert_partitions(target, staged, "trip_id", FACT_PARTITION, keys, days)
     cluster_fact(merged).write.mode("overwrite").partitionBy(FACT_PARTITION).parquet(merge_path)
     (
         spark.read.schema(FACT).parquet(merge_path)

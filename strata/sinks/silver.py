@@ -10,7 +10,11 @@ from strata.contracts import SILVER_PARTITIONS
 
 
 def write_silver(df: DataFrame, path: str, partitions=SILVER_PARTITIONS, *, compact: bool = False) -> None:
-    """Append, Hive-partitioned by (year, month, run).
+    """Write one run's rows, Hive-partitioned by (year, month, run).
+
+    Other runs are never touched. A run written again under its own id (a retry)
+    replaces its partitions instead of doubling them; a month that only the
+    earlier attempt had stays, so retry a run with the same source.
 
     Default: written straight from the map side, each task writing one file
     per partition value it holds, with no shuffle; with input splits of
@@ -22,7 +26,12 @@ def write_silver(df: DataFrame, path: str, partitions=SILVER_PARTITIONS, *, comp
     leaves the table unchanged."""
     if compact:
         df = df.hint("rebalance", *partitions)
-    df.write.mode("append").partitionBy(*partitions).parquet(path)
+    (
+        df.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*partitions)
+        .parquet(path)
+    )
 
 
 def write_if_any(df: DataFrame, writer: Callable[[DataFrame], None]) -> bool:
