@@ -174,7 +174,7 @@ def empty_rows(rows: list[list[int]], lengths: np.ndarray, limit: int) -> list[l
     least = -(-int(lengths.sum()) // limit)
     alive = int((fill > 0).sum())
     aside = fill >= limit
-    stuck = 0
+    stuck, sums = 0, _Sums(rows, lengths)
     while alive > least and stuck < GIVERS:
         open_rows = np.flatnonzero((fill > 0) & (fill < limit))
         givers = open_rows[~aside[open_rows]]
@@ -182,7 +182,7 @@ def empty_rows(rows: list[list[int]], lengths: np.ndarray, limit: int) -> list[l
             break
         giver = int(givers[np.argmin(fill[givers])])
         takers = open_rows[(open_rows != giver) & (fill[open_rows] >= fill[giver])]
-        step = _step(rows, fill, lengths, limit, giver, takers) if len(takers) else None
+        step = _step(rows, sums, fill, lengths, limit, giver, takers) if len(takers) else None
         if step is None:
             aside[giver] = True
             stuck += 1
@@ -195,6 +195,8 @@ def empty_rows(rows: list[list[int]], lengths: np.ndarray, limit: int) -> list[l
             rows[taker].remove(k)
         rows[giver] += taken
         rows[taker] += given
+        sums.changed(giver)
+        sums.changed(taker)
         delta = int(lengths[given].sum() - (lengths[taken].sum() if taken else 0))
         fill[giver] -= delta
         fill[taker] += delta
@@ -204,7 +206,54 @@ def empty_rows(rows: list[list[int]], lengths: np.ndarray, limit: int) -> list[l
     return [r for r in rows if r]
 
 
-def _step(rows, fill, lengths, limit, giver, takers):
+class _Sums:
+    """The distinct lengths of each row's pieces, alone and two together, in order,
+    with pieces that have them; kept until the row changes."""
+
+    def __init__(self, rows: list[list[int]], lengths: np.ndarray):
+        self._rows, self._lengths = rows, lengths
+        self._known: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def of(self, row: int, pieces: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if (row, pieces) not in self._known:
+            mine = np.array(self._rows[row])
+            a, b = (np.arange(len(mine)),) * 2 if pieces == 1 else np.triu_indices(len(mine), 1)
+            own = self._lengths[mine]
+            sums, at = np.unique(own[a] if pieces == 1 else own[a] + own[b], return_index=True)
+            self._known[row, pieces] = sums, mine[a[at]], mine[b[at]]
+        return self._known[row, pieces]
+
+    def changed(self, row: int) -> None:
+        self._known.pop((row, 1), None)
+        self._known.pop((row, 2), None)
+
+
+def _exchange(sums: _Sums, giver: int, give: int, takers: np.ndarray, take: int, gap: np.ndarray, limit: int):
+    """(delta, taker, pieces given, pieces taken) of the exchange of ``give`` pieces for
+    ``take`` that raises a taker's fill most; None if there is none.
+
+    Taker t can give up no less than the given length minus its gap.  One search over
+    the takers' sums, each shifted by its taker's number, finds the least such sum."""
+    own, one, two = sums.of(giver, give)
+    theirs = [sums.of(int(t), take) for t in takers]
+    end = np.cumsum([len(x[0]) for x in theirs])
+    if not len(own) or not end[-1]:
+        return None
+    shift = np.arange(len(takers)) * (2 * limit + 2)
+    flat = np.concatenate([x[0] for x in theirs]) + np.repeat(shift, np.diff(end, prepend=0))
+    at = np.searchsorted(flat, np.maximum(own[:, None] - gap[None, :], 0) + shift[None, :])
+    found = at < end[None, :]
+    delta = np.where(found, own[:, None] + shift[None, :] - flat[np.minimum(at, end[-1] - 1)], 0)
+    i, t = np.unravel_index(int(delta.argmax()), delta.shape)
+    if delta[i, t] <= 0:
+        return None
+    j = int(at[i, t] - (end[t - 1] if t else 0))
+    given = [int(one[i]), int(two[i])][:give]
+    taken = [int(theirs[t][1][j]), int(theirs[t][2][j])][:take]
+    return int(delta[i, t]), int(takers[t]), given, taken
+
+
+def _step(rows, sums, fill, lengths, limit, giver, takers):
     """(taker, pieces given, pieces taken) of the first kind of step that exists,
     with the largest delta of its kind; None if there is none."""
     mine = np.array(rows[giver])
@@ -215,36 +264,11 @@ def _step(rows, fill, lengths, limit, giver, takers):
         fits = np.flatnonzero(gap >= size[k])
         if len(fits):
             return int(takers[fits[np.argmin(gap[fits])]]), [int(mine[k])], []
-    theirs = np.concatenate([np.array(rows[t]) for t in takers])
-    owner = np.repeat(np.arange(len(takers)), [len(rows[t]) for t in takers])
-    other, room = lengths[theirs], gap[owner]
-    # one for one
-    delta = size[:, None] - other[None, :]
-    delta[(delta > room[None, :]) | (delta <= 0)] = 0
-    if delta.max(initial=0) > 0:
-        i, j = np.unravel_index(int(delta.argmax()), delta.shape)
-        return int(takers[owner[j]]), [int(mine[i])], [int(theirs[j])]
-    best = (0, None)
-    begin = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(takers)))))
-    pair_i, pair_j = np.triu_indices(len(mine), 1)
-    for t in range(len(takers)):
-        x = other[begin[t] : begin[t + 1]]
-        a, b = np.triu_indices(len(x), 1)
-        if len(a):  # one piece for two
-            delta = size[:, None] - (x[a] + x[b])[None, :]
-            delta[(delta > gap[t]) | (delta <= 0)] = 0
-            if delta.max() > best[0]:
-                i, j = np.unravel_index(int(delta.argmax()), delta.shape)
-                two = [int(theirs[begin[t] + a[j]]), int(theirs[begin[t] + b[j]])]
-                best = (int(delta.max()), (int(takers[t]), [int(mine[i])], two))
-        if len(pair_i):  # two pieces for one
-            delta = (size[pair_i] + size[pair_j])[:, None] - x[None, :]
-            delta[(delta > gap[t]) | (delta <= 0)] = 0
-            if delta.max(initial=0) > best[0]:
-                i, j = np.unravel_index(int(delta.argmax()), delta.shape)
-                two = [int(mine[pair_i[i]]), int(mine[pair_j[i]])]
-                best = (int(delta.max()), (int(takers[t]), two, [int(theirs[begin[t] + j])]))
-    return best[1]
+    best = _exchange(sums, giver, 1, takers, 1, gap, limit)
+    if best is None:
+        two = [_exchange(sums, giver, 1, takers, 2, gap, limit), _exchange(sums, giver, 2, takers, 1, gap, limit)]
+        best = max((x for x in two if x is not None), key=lambda x: x[0], default=None)
+    return None if best is None else best[1:]
 
 
 # --- operators -------------------------------------------------------------------
