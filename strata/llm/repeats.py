@@ -16,6 +16,10 @@ windows whose content starts at two or more places of the corpus.
    core, are cut into shorter runs and named again.  Cores grow to the whole
    window as runs shrink to one offset, where core, hull and window are the same.
 
+Rows of equal text are folded to one with a multiplicity first, whatever their
+doc_id: a run is listed once and counts as often as its text has rows, so rows of
+runs grow with the texts and never with the square of their copies.
+
 Only names, counts and positions are shuffled; texts move once, and again only
 those of documents that share a core.  Counting is a two-phase aggregate and the
 way back a plain join, so a passage that a third of all documents hold makes one
@@ -60,23 +64,23 @@ class Unit:
 
 
 def _scan(unit: Unit, only_cores: bool):
-    """Rows (core, did, at, dd) of every run; ``at`` is th << 40 | anchor and
-    ``dd`` is dhi << 16 | dlo."""
+    """Rows (core, did, at, dd) of every run, or (core, n) alone; ``at`` is
+    th << 40 | anchor and ``dd`` is dhi << 16 | dlo."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = common.utf8(batch["text"])
             codes_at, ends = unit.symbols(data, ends)
-            did, th = common.longs(batch["did"]), common.longs(batch["th"])
+            did, th, n = (common.longs(batch[c]) for c in ("did", "th", "n"))
             for doc, off, lo, hi, starts in pieces(ends, unit.window):
                 codes = codes_at(gather(lo, hi))
                 begin = np.cumsum(hi - lo) - (hi - lo)
                 a, first, last = sampled(codes, begin, starts, unit.window, unit.span, unit.gram)
                 core = Names(codes)(a, a + unit.window - unit.span + 1)
+                k = np.searchsorted(begin, a, "right") - 1
                 if only_cores:
-                    yield common.rows("core", core)
+                    yield common.rows("core n", core, n[doc[k]])
                     continue
-                k = np.searchsorted(begin, a, "right") - 1
                 at = (th[doc[k]] << 40) | (a - begin[k] + off[k])
                 yield common.rows("core did at dd", core, did[doc[k]], at, ((a - first) << 16) | (a - last))
 
@@ -85,14 +89,14 @@ def _scan(unit: Unit, only_cores: bool):
 
 def _named(unit: Unit, block: int):
     """Cut the runs listed beside each text into blocks of offsets and name them:
-    rows (core, h1, h2, did, at, dd)."""
+    rows (core, h1, h2, did, at, dd, n)."""
     window = unit.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = common.utf8(batch["text"])
             codes_at, ends = unit.symbols(data, ends)
-            did = common.longs(batch["did"])
+            did, copies = common.longs(batch["did"]), common.longs(batch["n"])
             at, n = common.lists(batch["at"])
             dd, _ = common.lists(batch["dd"])
             doc = np.repeat(np.arange(len(did)), np.diff(n))
@@ -104,7 +108,7 @@ def _named(unit: Unit, block: int):
             dlo, dhi = np.maximum(dlo[each], b0), np.minimum(dhi[each], b0 + block - 1)
             a = at & LOW40
             lo, hi = ends[doc] + a - dhi, ends[doc] + a - dlo + window
-            fits = (a >= dhi) & (hi <= ends[doc + 1])  # always, but for hash-equal repeats of a doc_id
+            fits = (a >= dhi) & (hi <= ends[doc + 1])  # always, but for texts of equal hashes
             order = np.flatnonzero(fits)
             order = order[np.argsort(lo[order], kind="stable")]
             begin = 0
@@ -118,44 +122,63 @@ def _named(unit: Unit, block: int):
                 core = lo[some] + dhi[some] - b0[some] - base
                 shape = mix(((dlo[some] << 16) | dhi[some]).astype(np.uint64))
                 yield common.rows(
-                    "core h1 h2 did at dd",
+                    "core h1 h2 did at dd n",
                     one(core, core - block + 1 + window),
                     one(lo[some] - base, hi[some] - base) ^ shape,
                     two(lo[some] - base, hi[some] - base) ^ shape,
                     did[doc[some]],
                     at[some],
                     (dhi[some] << 16) | dlo[some],
+                    copies[doc[some]],
                 )
 
     return run
 
 
 def _lists(runs: DataFrame) -> DataFrame:
-    """Runs by document.  A list is no longer than its document, a single row."""
+    """Runs by text.  A list is no longer than its text: texts are folded, so one row
+    listed each of its runs."""
     return runs.groupBy("did", F.shiftrightunsigned("at", 40).alias("th")).agg(
         F.collect_list("at").alias("at"), F.collect_list("dd").alias("dd")
     )
 
 
-def repeated(docs: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame]:
-    """(work, runs): the documents (did, th, text) that share a core with any
-    place, and per document of ``work`` the lists ``at`` and ``dd`` of the runs
-    whose windows all occur at least twice in the corpus."""
-    docs = docs.select("did", "th", "text")
-    cores = docs.mapInArrow(_scan(unit, True), "core long")
-    shared = cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
+def by_content(rows: DataFrame) -> DataFrame:
+    """:func:`common.keyed` rows under a key (did, th) of 88 bits of their text alone."""
+    th = F.hash("text").bitwiseAND(0xFFFFFF).cast("long")
+    return rows.withColumns({"did": F.xxhash64("text"), "th": th})
+
+
+def folded(rows: DataFrame) -> DataFrame:
+    """One row (did, th, text, n) per text of :func:`by_content` rows; n counts its
+    rows.  Only texts with copies are aggregated, each once a task before they move."""
+    rows = rows.select("did", "th", "text")
+    copied = rows.groupBy("did", "th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("did", "th")
+    copied = common.materialize(copied, "copied")
+    once = rows.join(copied, ["did", "th"], "left_anti").withColumn("n", F.lit(1).cast("long"))
+    more = rows.join(copied, ["did", "th"], "left_semi").groupBy("did", "th", "text").agg(F.count(F.lit(1)).alias("n"))
+    return once.unionByName(common.materialize(more, "copies"))
+
+
+def repeated(rows: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame]:
+    """(work, runs): of :func:`by_content` rows the texts (did, th, text, n), each once,
+    that share a core with any place, and per text of ``work`` the lists ``at`` and
+    ``dd`` of the runs whose windows all occur at least twice in the corpus."""
+    docs = folded(rows)
+    cores = docs.mapInArrow(_scan(unit, True), "core long, n long")
+    shared = cores.groupBy("core").agg(F.sum("n").alias("n")).filter("n > 1").select("core")
     # Written first: a join of two exchanges is one that skew handling can split.
     shared = common.materialize(shared, "cores")
     runs = docs.mapInArrow(_scan(unit, False), "core long, did long, at long, dd long").join(shared, "core")
     work = common.materialize(docs.join(_lists(runs), ["did", "th"]), "work")
-    texts = work.select("did", "th", "text")
+    texts = work.select("did", "th", "text", "n")
 
     todo, done = work, []
-    schema = "core long, h1 long, h2 long, did long, at long, dd long"
+    schema = "core long, h1 long, h2 long, did long, at long, dd long, n long"
     for block in (unit.span, *unit.blocks):
         named = common.materialize(todo.mapInArrow(_named(unit, block), schema), f"runs-{block}")
         hulls = named.groupBy("core", "h1", "h2").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "at", "dd")).alias("witness")
+            F.sum("n").alias("n"), F.min(F.struct("did", "at", "dd")).alias("witness")
         )
         hulls = common.materialize(hulls, f"hulls-{block}")
         twice = hulls.filter("n > 1").select("core", "h1", "h2")

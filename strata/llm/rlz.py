@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from strata.llm import common
 from strata.llm.names import word_bounds
-from strata.llm.repeats import Unit, covered, repeated
+from strata.llm.repeats import Unit, by_content, covered, repeated
 
 WINDOW_WORDS = 35
 
@@ -80,15 +80,12 @@ def duplicate_factors(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     place, so all of them lose their words.
     """
     common.prepare(docs.sparkSession)
-    rows = common.keyed(docs)
+    rows = by_content(common.keyed(docs))
     texts, runs = repeated(rows, word_unit(window))
     found = texts.join(runs, ["did", "th"]).mapInArrow(
         _factors(window),
         "did long, th long, n_removed long, factor_start array<long>, factor_end array<long>, kept_sha256 string",
     )
-    found = found.groupBy("did", "th").agg(
-        *(F.first(c).alias(c) for c in ("n_removed", "factor_start", "factor_end", "kept_sha256"))
-    )
     joined = F.trim(F.regexp_replace("text", common.WHITE, " "))
     base = rows.select("doc_id", "did", "th", joined.alias("joined")).select(
         "doc_id",

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import common
-from strata.llm.repeats import Unit, covered, repeated
+from strata.llm.repeats import Unit, by_content, covered, repeated
 
 WINDOW_BYTES = 400
 
@@ -76,15 +76,12 @@ def duplicate_byte_spans(docs: DataFrame, window: int = WINDOW_BYTES) -> DataFra
     place, so all of them lose their bytes.  Matches never cross documents.
     """
     common.prepare(docs.sparkSession)
-    rows = common.keyed(docs)
+    rows = by_content(common.keyed(docs))
     texts, runs = repeated(rows, byte_unit(window))
     spans = texts.join(runs, ["did", "th"]).mapInArrow(
         _cut(window),
         "did long, th long, n_removed long, n_spans long, span_start array<long>, span_end array<long>, kept_sha256 string",
     )
-    spans = spans.groupBy("did", "th").agg(
-        *(F.first(c).alias(c) for c in ("n_removed", "n_spans", "span_start", "span_end", "kept_sha256"))
-    )
     base = rows.select(
         "doc_id", "did", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")
     )

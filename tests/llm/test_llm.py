@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strata.llm import decontaminate, exact, language, licenses, minhash, packing, rlz, suffixes, toxicity
+from strata.llm import common, decontaminate, exact, language, licenses, minhash, packing, rlz, suffixes, toxicity
 
 SF001 = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -311,3 +311,23 @@ def test_pipeline(spark):
     docs = known
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), SF001).columns == known.columns, name
+
+
+@pytest.mark.parametrize("ids", [[None] * 24, [7] * 24, list(range(24))])
+def test_copies_list_each_run_once(spark, monkeypatch, ids):
+    """Rows of equal text, under no doc_id, one or many: runs are those of one text."""
+    written, plain = {}, common.materialize
+
+    def counted(df, name):
+        out = plain(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(common, "materialize", counted)
+    rows = [(i, PASSAGE) for i in ids] + [(100, "some other words"), (101, f"unlike {PASSAGE[:-9]}")]
+    got = rlz.duplicate_factors(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    words = [WORDS.findall(t) for _, t in rows]
+    want = Counter((i, int(hit.sum())) for (i, _), hit in zip(rows, window_marks(words, 35)))
+    assert Counter((r["doc_id"], r["n_removed"]) for r in got) == want
+    assert written["work"] == 2
+    assert all(n <= 2 * len(PASSAGE.split()) for name, n in written.items() if name.startswith("runs-"))
