@@ -11,9 +11,10 @@ Four kinds of evidence meet in one posterior per page:
   corpus's.  A page's own contribution is taken out of each level first, so no
   evidence counts twice.
 
-The trigram model is fitted on a bounded sample of labelled documents (``SAMPLE``
-a language, ``SAMPLE_CHARS``, ``LANGUAGES``); all pages are scored whole and all
-counts are over all pages, as two-phase aggregates.
+The trigram model knows every labelled language and is fitted on a bounded sample of
+each one's documents (``SAMPLE``, ``SAMPLE_CHARS``); all pages are scored whole and all
+counts are over all pages, as two-phase aggregates.  Posteriors are arrays in the order
+of the languages.
 """
 
 from __future__ import annotations
@@ -25,14 +26,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm import common
 
 SAMPLE = 300  # labelled documents of a language that the trigram model is fitted on
-SAMPLE_CHARS = 10_000  # longer texts are left out of that sample, never cut
-LANGUAGES = 32  # languages told apart: those with most labelled documents
+SAMPLE_CHARS = 10_000  # longer texts are left out of that sample, never cut; a language without shorter has one
 BUCKETS = 1 << 14
 TEMPERATURE = 12.0
 SMOOTHING = 4.0  # pages that a level's parent counts for
@@ -64,47 +64,85 @@ def learn(docs: DataFrame) -> Model | None:
     """Fit the trigram model; None without labelled texts."""
     text = docs["text"].cast("string")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].alias("lang"), F.length(text).alias("n"))
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("n").between(1, SAMPLE_CHARS))
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    names = sorted(r["lang"] for r in top)
+    rows = rows.filter(F.col("lang").isNotNull() & (F.col("n") >= 1))
+    names = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     if not names:
         return None
-    picked = [
-        rows.filter(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("doc_id", "lang")
-        for name in names
-    ]
-    ids = picked[0]
-    for more in picked[1:]:
-        ids = ids.unionByName(more)  # SAMPLE * LANGUAGES rows at most
+    longer = F.col("n") > SAMPLE_CHARS
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(longer, F.xxhash64("doc_id"), "doc_id"))
+    ids = rows.withColumn("rank", rank).filter((F.col("rank") <= SAMPLE) & (~longer | (F.col("rank") == 1)))
+    ids = ids.select("doc_id", "lang")  # SAMPLE rows a language at most
     sample = (
         docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].alias("lang"), text.alias("text"))
-        .filter(F.length("text").between(1, SAMPLE_CHARS))
+        .filter(F.length("text") >= 1)
         .join(F.broadcast(ids), ["doc_id", "lang"])
         .select("lang", "text")
-        .collect()
     )
+    found = sample.mapInArrow(_counted(names), "k long, bucket long, n long")
+    found = found.groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full((BUCKETS, len(names)), 0.5)
-    for r in sample:
-        counts[:, names.index(r["lang"])] += np.bincount(_trigrams(r["text"]), minlength=BUCKETS)
+    counts[found["bucket"].to_numpy(), found["k"].to_numpy()] += found["n"].to_numpy()
     return Model(tuple(names), np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 
+def _counted(names: list[str]):
+    """Rows (k, bucket, n): the trigrams of the texts of language k."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = {name: k for k, name in enumerate(names)}
+        for batch in batches:
+            for name, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
+                n = np.bincount(_trigrams(text), minlength=BUCKETS)
+                at = np.flatnonzero(n)
+                yield common.rows("k bucket n", np.full(len(at), of[name]), at, n[at])
+
+    return run
+
+
 def _text_posterior(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros((batch.num_rows, len(model.languages)))
             for k, page in enumerate(batch["html"].to_pylist()):
-                at = _trigrams(visible(page))
+                n = np.bincount(_trigrams(visible(page)), minlength=BUCKETS)
+                at = np.flatnonzero(n)
                 if len(at):
-                    out[k] = model.weights[at].sum(axis=0, dtype=np.float64) / TEMPERATURE
+                    out[k] = n[at] @ model.weights[at].astype(np.float64) / TEMPERATURE
             out -= out.max(axis=1, keepdims=True) if len(out) else 0
             out = np.exp(out)
             out /= out.sum(axis=1, keepdims=True)
-            columns = [pa.array(out[:, k]) for k in range(len(model.languages))]
-            yield pa.RecordBatch.from_arrays(
-                [batch[c] for c in ("page_id", "declared", "host", "site", "suffix")] + columns,
-                names=["page_id", "declared", "host", "site", "suffix"] + [f"t{k}" for k in range(len(columns))],
+            ends = pa.array(np.arange(len(out) + 1) * out.shape[1], pa.int32())
+            t = pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
+            kept = ("page_id", "declared", "host", "site", "suffix")
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), t], names=[*kept, "t"])
+
+    return run
+
+
+def _fused(languages: tuple[str, ...], whole: np.ndarray):
+    """The posterior of each page from its own values and the totals of its keys."""
+    shares = (whole + 1.0) / (whole + 1.0).sum()
+
+    def best(p: np.ndarray) -> list[pa.Array]:
+        at = p.argmax(axis=1)
+        sure = p[np.arange(len(p)), at] / p.sum(axis=1)
+        return [pa.array([languages[k] for k in at], pa.string()), pa.array(sure)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, d, x, s, h = (
+                batch[c].flatten().to_numpy(zero_copy_only=False).reshape(-1, len(languages)) for c in "tdxsh"
             )
+            prior = shares[None, :]
+            for level in (x, s, h):  # suffix, then site, then host lean on the level above
+                own = np.maximum(level - t, 0.0)
+                prior = (own + SMOOTHING * prior) / (own.sum(axis=1, keepdims=True) + SMOOTHING)
+            # P(declared | language), every language's own declarations smoothed by one page
+            told = (np.maximum(d - t, 0.0) + SMOOTHING / len(languages)) / (whole + SMOOTHING)
+            told[np.array([c == "" for c in batch["declared"].to_pylist()], bool)] = 1.0
+            columns = [batch["page_id"], *best(t * told * prior), *best(t), batch["declared"], batch["host"]]
+            names = ["page_id", "lang", "confidence", "text_lang", "text_confidence", "declared", "host"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -144,59 +182,23 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
             F.lit(0.0).alias("text_confidence"),
             *_address(pages)[:2],
         )
-    k = range(len(model.languages))
-    texts = [f"t{i}" for i in k]
     rows = pages.select(page_id, pages["html"].cast("string").alias("html"), *_address(pages))
-    kinds = "page_id long, declared string, host string, site string, suffix string, "
-    rows = rows.mapInArrow(_text_posterior(model), kinds + ", ".join(f"{t} double" for t in texts))
-    rows = common.materialize(rows, "evidence")
+    kinds = "page_id long, declared string, host string, site string, suffix string, t array<double>"
+    rows = common.materialize(rows.mapInArrow(_text_posterior(model), kinds), "evidence")
 
     def totals(name: str, *keys: str) -> DataFrame:
-        sums = [F.sum(t).alias(f"{name}{i}") for i, t in zip(k, texts)]
-        return common.materialize(rows.groupBy(*keys).agg(*sums), name)
+        each = rows.select(*keys, F.posexplode("t").alias("k", "v")).groupBy(*keys, "k").agg(F.sum("v").alias("v"))
+        sums = F.array_sort(F.collect_list(F.struct("k", "v")))
+        return common.materialize(each.groupBy(*keys).agg(sums.getField("v").alias(name)), name)
 
-    whole = totals("g")  # one row
-    everything = whole.first()
-    shares = [(everything[f"g{i}"] or 0.0) + 1.0 for i in k]
-    shares = [x / sum(shares) for x in shares]
+    whole = np.array(totals("g").first()["g"] or [0.0] * len(model.languages))  # one row
     fused = rows
     for name, key in (("d", "declared"), ("x", "suffix"), ("s", "site"), ("h", "host")):
         fused = fused.join(totals(name, key), key)
-
-    def without_own(name: str) -> list[Column]:
-        return [F.greatest(F.col(f"{name}{i}") - F.col(t), F.lit(0.0)) for i, t in zip(k, texts)]
-
-    prior: list[Column] = [F.lit(x) for x in shares]
-    for name in ("x", "s", "h"):  # suffix, then site, then host lean on the level above
-        own = without_own(name)
-        fused = fused.withColumn(f"{name}_n", sum(own[1:], own[0]))
-        fused = fused.withColumns(
-            {f"{name}_p{i}": (own[i] + SMOOTHING * prior[i]) / (F.col(f"{name}_n") + SMOOTHING) for i in k}
-        )
-        prior = [F.col(f"{name}_p{i}") for i in k]
-    # P(declared | language), every language's own declarations smoothed by one page
-    declared = [
-        (own + F.lit(SMOOTHING / len(model.languages))) / F.lit((everything[f"g{i}"] or 0.0) + SMOOTHING)
-        for i, own in zip(k, without_own("d"))
-    ]
-    declared = [F.when(F.col("declared") == "", F.lit(1.0)).otherwise(c) for c in declared]
-    fused = fused.withColumns({f"f{i}": F.col(t) * declared[i] * prior[i] for i, t in zip(k, texts)})
-    names = F.array(*map(F.lit, model.languages))
-
-    def best(columns: list[str]) -> tuple[Column, Column]:
-        most = F.greatest(*columns) if len(columns) > 1 else F.col(columns[0])
-        total = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
-        return F.get(names, F.array_position(F.array(*columns), most).cast("int") - 1), most / total
-
-    (lang, sure), (text_lang, text_sure) = best([f"f{i}" for i in k]), best(texts)
-    return fused.select(
-        "page_id",
-        lang.alias("lang"),
-        sure.alias("confidence"),
-        text_lang.alias("text_lang"),
-        text_sure.alias("text_confidence"),
-        "declared",
-        "host",
+    return fused.select("page_id", "declared", "host", *"tdxsh").mapInArrow(
+        _fused(model.languages, whole),
+        "page_id long, lang string, confidence double, text_lang string, text_confidence double,"
+        " declared string, host string",
     )
 
 

@@ -331,3 +331,17 @@ def test_copies_list_each_run_once(spark, monkeypatch, ids):
     assert Counter((r["doc_id"], r["n_removed"]) for r in got) == want
     assert written["work"] == 2
     assert all(n <= 2 * len(PASSAGE.split()) for name, n in written.items() if name.startswith("runs-"))
+
+
+def test_language_models_every_labelled_language(spark):
+    """Forty languages, the last the rarest and one of them with a long text only."""
+    own = {f"l{k:02d}": [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}q" for x in "aeiouxyz"] for k in range(40)}
+    known = [(100 * k + j, " ".join(w[j:] + w) * 3, lang) for k, (lang, w) in enumerate(own.items()) for j in range(1 + k % 5 + (k < 35))]
+    known = [(i, t * 200 if lang == "l35" else t, lang) for i, t, lang in known]
+    pages = [(k, None, f"<p>{' '.join(w * 20)}</p>") for k, w in enumerate(own.values())]
+    got = language.identify(
+        spark.createDataFrame(pages, "page_id long, url string, html string"),
+        spark.createDataFrame(known, "doc_id long, text string, lang string"),
+    ).collect()
+    assert {r["page_id"]: r["text_lang"] for r in got} == dict(enumerate(own))
+    assert {r["page_id"]: r["lang"] for r in got} == dict(enumerate(own))
