@@ -5,6 +5,8 @@ full rows and a rest, losing nothing.  Pieces are dealt by hash to groups of bou
 text, and a group is packed as a whole by one task: a group wastes a part of one
 row at most on top of what packing everything at once would waste, and groups of a
 few thousand pieces keep that below a thousandth.  Their number follows the input.
+Equal rows are told apart by their task and their turn among its equal rows, which
+does not depend on the order of rows, so a retried task deals alike.
 
 Two packers share this frame:
 
@@ -24,10 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import common, tokens
+from strata.llm.names import mix
 
 ROW = 2048
 GROUP_BYTES = 4 << 20  # of text in a group of pieces, on average
@@ -44,13 +48,23 @@ def _groups(docs: DataFrame) -> int:
     return max(1, -(-(total or 0) // GROUP_BYTES))
 
 
+def _dealt(did: np.ndarray, content: np.ndarray, task: np.uint64, seen: dict[int, int]) -> np.ndarray:
+    """A key of each row that differs between equal rows: their turns in a task differ."""
+    own = mix(did.astype(np.uint64) ^ mix(content.astype(np.uint64)))
+    turn = np.empty(len(own), np.uint64)
+    for k, x in enumerate(own.tolist()):
+        turn[k] = seen[x] = seen.get(x, 0) + 1
+    return mix(own ^ mix(turn << np.uint64(32) ^ task))
+
+
 def _pieces(path: str, row: int, after: int | None, groups: int, with_ids: bool):
     """Rows (g, doc_id, piece, start, length, ids_crc32[, ids]) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seen = np.uint64(TaskContext.get().partitionId() + 1), {}
         for batch in batches:
             data, ends = common.utf8(batch["text"])
-            doc_ids, did = batch["doc_id"], common.longs(batch["did"])
+            doc_ids, key = batch["doc_id"], _dealt(common.longs(batch["did"]), common.longs(batch["content"]), task, seen)
             for first, ids, offsets in tokens.encode(data, ends, path, after):
                 doc, piece, lo, hi = [], [], [], []
                 for k in range(len(offsets) - 1):
@@ -63,7 +77,7 @@ def _pieces(path: str, row: int, after: int | None, groups: int, with_ids: bool)
                     continue
                 doc, piece, lo, hi = (np.array(x, np.int64) for x in (doc, piece, lo, hi))
                 raw = [ids[x:y].astype("<u4").tobytes() for x, y in zip(lo, hi)]
-                mixed = (did[doc] ^ (piece * 0x9E3779B1)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                mixed = mix(key[doc] ^ (piece * 0x9E3779B1).astype(np.uint64))
                 group = ((mixed >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
                 columns = [
                     pa.array(group),
@@ -283,7 +297,7 @@ def local_search_packing(docs: DataFrame, row: int = ROW, after: int = 0, path:
     """
     common.prepare(docs.sparkSession)
     groups = _groups(docs)
-    pieces = common.keyed(docs).select("doc_id", "did", "text")
+    pieces = common.keyed(docs).select("doc_id", "did", F.xxhash64("text").alias("content"), "text")
     pieces = pieces.mapInArrow(_pieces(path or tokenizer_path(), row, after, groups, False), PIECE)
 
     def pack(table: pa.Table) -> pa.Table:
@@ -317,7 +331,7 @@ def packed_matrices(docs: DataFrame, row: int = ROW, after: int = 0, path: str |
     """
     common.prepare(docs.sparkSession)
     groups = _groups(docs)
-    pieces = common.keyed(docs).select("doc_id", "did", "text")
+    pieces = common.keyed(docs).select("doc_id", "did", F.xxhash64("text").alias("content"), "text")
     pieces = pieces.mapInArrow(_pieces(path or tokenizer_path(), row, after, groups, True), PIECE + ", ids binary")
 
     def pack(table: pa.Table) -> pa.Table:

@@ -345,3 +345,18 @@ def test_language_models_every_labelled_language(spark):
     ).collect()
     assert {r["page_id"]: r["text_lang"] for r in got} == dict(enumerate(own))
     assert {r["page_id"]: r["lang"] for r in got} == dict(enumerate(own))
+
+
+@pytest.mark.parametrize("ids", [[None] * 400, [7] * 400])
+def test_equal_rows_are_dealt_to_all_groups(spark, monkeypatch, ids):
+    """Copies under no doc_id or one: no group gets more than a few times its share."""
+    monkeypatch.setattr(packing, "GROUP_BYTES", 1000)
+    rows = spark.createDataFrame([(i, BASE[:100]) for i in ids], "doc_id long, text string").repartition(3)
+    got = packing.local_search_packing(rows).collect()
+    groups = Counter(r["sequence_id"] >> 24 for r in got)
+    assert len(got) == 400 and len(groups) > 30 and max(groups.values()) < 40
+    packed = packing.packed_matrices(rows).collect()
+    groups = Counter()
+    for r in packed:
+        groups[r["sequence_id"] >> 24] += len(r["doc_ids"])
+    assert sum(groups.values()) == 400 and len(groups) > 30 and max(groups.values()) < 40
