@@ -2,7 +2,8 @@
 Spark's own operators only.
 
 The units compared are every line, every paragraph (lines up to an empty one) of
-two lines or more, and the whole text if it has two paragraphs or more.  Texts are
+two lines or more, and the whole text if it has two paragraphs or more; where lines
+hold a comment mark alone, the paragraphs that those part are units too.  Texts are
 lower-cased and everything but letters and digits parts words.  Bigrams count as a
 bag: with a and b bigrams the coefficient is 2 * common / (a + b), so it can reach
 t only if t / (2 - t) * b <= a <= (2 - t) / t * b.  A unit's size, the number of
@@ -112,8 +113,12 @@ def license_units(docs: DataFrame) -> DataFrame:
     lines = F.split("text", "\n")
     parts = F.split("text", r"\n[ \t]*\n\s*")
     longer = F.filter(parts, lambda p: F.contains(F.trim(p), F.lit("\n")))
+    bare = r"\n[ \t]*(?:[#*;%]+|//+|--+)[ \t]*(?=\n)"  # a comment's empty line
+    inner = F.split(F.regexp_replace("text", bare, "\n"), r"\n[ \t]*\n\s*")
+    inner = F.filter(inner, lambda p: F.contains(F.trim(p), F.lit("\n")) & ~F.array_contains(parts, p))
+    inner = F.when(F.col("text").rlike(bare), inner).otherwise(F.array().cast("array<string>"))
     whole = F.when(F.size(parts) > 1, F.array("text")).otherwise(F.array().cast("array<string>"))
-    kinds = [("line", lines), ("paragraph", longer), ("text", whole)]
+    kinds = [("line", lines), ("paragraph", longer), ("paragraph", inner), ("text", whole)]
     units = F.concat(
         *(F.transform(c, lambda x, k=k: F.struct(F.lit(k).alias("unit"), x.alias("text"))) for k, c in kinds)
     )

@@ -360,3 +360,15 @@ def test_equal_rows_are_dealt_to_all_groups(spark, monkeypatch, ids):
     for r in packed:
         groups[r["sequence_id"] >> 24] += len(r["doc_ids"])
     assert sum(groups.values()) == 400 and len(groups) > 30 and max(groups.values()) < 40
+
+
+@pytest.mark.parametrize("mark", ["#", " *", "//"])
+def test_license_scan_parts_comments_at_bare_marks(spark, mark):
+    """A header whose empty lines hold the comment mark is parted into paragraphs."""
+    grant = licenses.TEMPLATES["GPL-3.0"][1].split()
+    lines = [" ".join(grant[k : k + 12]) for k in range(0, len(grant), 12)]
+    tail = "This program is distributed in the hope that it will be useful but without any warranty".split()
+    text = "\n".join(f"{mark} {x}".rstrip() for x in ["Copyright someone", "", *lines, "", " ".join(tail[:8]), " ".join(tail[8:]) * 9])
+    some = spark.createDataFrame([(1, text), (2, text.replace(f"\n{mark}\n", "\n\n"))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["license"], r["dice"], r["n_matches"]) for r in licenses.scan_licenses(some).collect()}
+    assert got[1] == got[2] == ("GPL-3.0", 1.0, 1)
