@@ -1,14 +1,10 @@
-"""Substring dedup by relative Lempel-Ziv parsing of documents against an index of
-reference blocks.
-
-Every document is also a reference.  Its blocks, the stretches of words around the
-positions that :mod:`strata.llm.repeats` samples by content, form one index that
-Spark partitions by block name, so a document meets every indexed block that could
-share a factor with it and no other.  A document is then factored greedily: blocks
-found in the index at another place are joined to their neighbours as long as the
-phrase goes on, and a phrase of ``window`` words or more is a duplicate factor.
-Where a factor ends, the blocks across its boundary are cut into shorter ones and
-looked up again, down to a single window, so that the spans are exact.
+"""Substring dedup of words: windows of words that occur more than once, joined to spans.
+
+Counting windows replaces relative Lempel-Ziv parsing: no greedy longest factor is
+looked up and no factor has a reference position.  :mod:`strata.llm.repeats` counts
+the names of runs of windows around positions sampled by content, cuts runs that
+this does not settle down to single windows, and the repeated windows of a document
+are joined here to disjoint spans, so that the spans are exact.
 """
 
 from __future__ import annotations
