@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strata.llm import (
+    align,
     decontaminate,
     exact,
     language,
     licenses,
     minhash,
     packing,
+    pivots,
     rlz,
     suffixes,
     toxicity,
@@ -29,9 +31,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": decontaminate.query,
     "op9_suffix_dedup": suffixes.query,
     "op10_near_dedup": minhash.query,
+    "op12_token_alignment": align.query,
+    "op13_embedding_dedup": pivots.query,
 }
 
 ORACLE: dict[str, str] = {
     "op5_exact_dedup": exact.ORACLE,
     "op8_decontamination": decontaminate.ORACLE,
+    "op13_embedding_dedup": pivots.ORACLE,
 }
