@@ -87,7 +87,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     _TABLES.append((spark, path))
     free_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` wrote and nothing reads any more."""
+    for table in tables:
+        entry = (table.sparkSession, table._written)
+        if entry in _TABLES:
+            _TABLES.remove(entry)
+            _delete(*entry)
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -105,9 +121,7 @@ def drop_tables() -> None:
     while _TABLES:
         spark, path = _TABLES.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session is gone; its owner cleans its folder
             return
 

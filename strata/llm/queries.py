@@ -18,6 +18,7 @@ from strata.llm import (
     rlz,
     suffixes,
     toxicity,
+    trie,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": decontaminate.query,
     "op9_suffix_dedup": suffixes.query,
     "op10_near_dedup": minhash.query,
+    "op11_conversation_trie": trie.query,
     "op12_token_alignment": align.query,
     "op13_embedding_dedup": pivots.query,
 }
@@ -38,5 +40,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op5_exact_dedup": exact.ORACLE,
     "op8_decontamination": decontaminate.ORACLE,
+    "op11_conversation_trie": trie.ORACLE,
     "op13_embedding_dedup": pivots.ORACLE,
 }
