@@ -27,6 +27,7 @@ def load_gold(
     star_root: str,
     *,
     fact_mode: str = "snapshot",
+    catalog: str | None = None,
     fail_after: str | None = None,
 ) -> GoldResult:
     """Stage and publish one run. An empty run returns before touching the
@@ -39,5 +40,6 @@ def load_gold(
     # Publish from the staged files, as the warehouse load does, so the star
     # is computed once and the upsert reads plain Parquet.
     staged = read_gold_stage(spark, stage_base, run_id)
-    version = publish_star(spark, staged, star_root, fact_mode=fact_mode, fail_after=fail_after)
+    version = publish_star(spark, staged, star_root, fact_mode=fact_mode, run_id=run_id, catalog=catalog,
+                           fail_after=fail_after)
     return GoldResult(True, version)

@@ -113,6 +113,16 @@ SELECT {BRONZE7}, CASE WHEN dispatching_base_num = 'click' THEN 'Y' ELSE 'N' END
 WHERE day(pickup_datetime) >= 16"""
 ORACLE["incremental_ingest"] = O.silver_sql(
     "SELECT * EXCLUDE (event_id, source_file, trip_id, run_id) FROM silver")
+ORACLE["incremental_published_fact"] = O.star_sql("SELECT * EXCLUDE (trip_id, source_file, source_run_id) FROM fact")
+ORACLE["bronze_spelling_drift"] = O.chain(O.RAW) + f"SELECT {BRONZE7} FROM raw"
+ORACLE["bronze_type_drift"] = ORACLE["bronze_spelling_drift"]
+ORACLE["two_manual_runs"] = O.silver_sql("SELECT * EXCLUDE (event_id, run_id), 'manual' AS run_id FROM silver")
+ORACLE["rerun_same_run_fact"] = O.star_sql("SELECT * FROM fact WHERE day(pickup_datetime) >= 11")
+ORACLE["catalog_drift_log"] = O.chain(O.RAW) + """
+SELECT DISTINCT 'partition' AS kind, 'd=' || day(pickup_datetime) AS name,
+  CASE WHEN day(pickup_datetime) = 1 THEN 'missing in files' ELSE 'added' END AS action
+FROM raw WHERE day(pickup_datetime) = 1 OR day(pickup_datetime) >= 16
+UNION ALL SELECT 'column', 'access_a_ride_flag', 'added'"""
 ORACLE["gold_stage"] = O.star_sql("SELECT * FROM fact")
 ORACLE["quarantine_batch"] = O.silver_sql(
     "SELECT * EXCLUDE (event_id), 'silver-fhvhv-quality' AS dq_ruleset_name, "
@@ -155,6 +165,12 @@ UNION ALL SELECT * FROM fb""")
 ORACLE["published_fact"] = ORACLE["upsert_fact"]
 ORACLE["published_fact_partitions"] = ORACLE["upsert_fact"]
 ORACLE["published_fact_by_date"] = ORACLE["upsert_fact"]
+ORACLE["expired_star_fact"] = ORACLE["upsert_fact"]
+ORACLE["published_card"] = _two("""
+SELECT day_name, pickup_hour, count(*) AS trips FROM (
+  SELECT * FROM fa WHERE NOT EXISTS (SELECT 1 FROM fb WHERE fb.trip_id = fa.trip_id)
+  UNION ALL SELECT * FROM fb
+) f JOIN (SELECT * FROM da UNION SELECT * FROM db) d ON f.pickup_date_key = d.date_key GROUP BY 1, 2""")
 ORACLE["upsert_replaced_rows"] = _two("""
 SELECT * FROM fa WHERE EXISTS (SELECT 1 FROM fb WHERE fb.trip_id = fa.trip_id)""")
 ORACLE["publish_rollback"] = _two("""

@@ -39,6 +39,7 @@ class PipelineConfig:
     fact_mode: str = "snapshot"  # or "snapshot_by_date" / "partitions" (see publish_star)
     run_log_path: str | None = None  # append one row per step (O1-O3 input)
     silver_table: str | None = None  # catalog table over silver_path to refresh
+    star_schema: str | None = None  # schema whose star tables follow each publish (create_star)
 
 
 @dataclass
@@ -62,7 +63,8 @@ def table_outcomes_incremental(
     the table's outcomes are then computed from the sum over all stored runs.
     Exact as long as Silver runs are only appended or replaced whole, which is
     how this pipeline writes them. Given the ``table``, runs in it that have no
-    stored counts yet are counted first, so none is left out of the score."""
+    stored counts yet are counted first, so none is left out of the score, and
+    stored counts of runs that are no longer in it are left out."""
     (
         partial_counts(run_rows, ruleset, ["run_id"])
         .write.mode("overwrite")
@@ -71,12 +73,17 @@ def table_outcomes_incremental(
         .parquet(f"{path}/ruleset={ruleset.name}")
     )
     stored = f"{path}/ruleset={ruleset.name}"
+    counts = spark.read.parquet(stored)
     if table is not None:
-        known = spark.read.parquet(stored).select(F.col("run_id").cast("string").alias("run_id")).distinct()
-        gap = table.select("run_id").distinct().join(known, "run_id", "left_anti")
+        runs = table.select("run_id").distinct()
+        known = counts.select(F.col("run_id").cast("string").alias("run_id")).distinct()
+        gap = runs.join(known, "run_id", "left_anti")
         if not gap.isEmpty():
             backfill_partials(table.join(gap, "run_id", "left_semi"), ruleset, path)
-    return outcomes_from_partials(spark.read.parquet(stored), ruleset)
+        # a run that has gone from the table no longer counts
+        counts = spark.read.parquet(stored).withColumn("run_id", F.col("run_id").cast("string"))
+        counts = counts.join(runs, "run_id", "left_semi")
+    return outcomes_from_partials(counts, ruleset)
 
 
 def backfill_partials(silver: DataFrame, ruleset, path: str) -> None:
@@ -165,5 +172,5 @@ def _run(spark, raw, zones, run_id, cfg, report, log, raise_on_fail) -> RunRepor
 
     with log.step("gold_load"):
         report.gold = load_gold(spark, silver, zones, run_id, cfg.stage_base, cfg.star_root,
-                                fact_mode=cfg.fact_mode)
+                                fact_mode=cfg.fact_mode, catalog=cfg.star_schema)
     return report

@@ -28,10 +28,14 @@ from strata.plans.registry import RUN_ID, _memo, demo_silver, demo_star, demo_zo
 from strata.rulesets import bronze_ruleset, silver_ruleset
 from strata.session import shared_dir
 from strata.sinks import gold as G
-from strata.sinks.silver import write_silver
+from strata.sinks import commits
+from strata.sinks.silver import WRITE, write_silver
 from strata.sources import sample
-from strata.sources.bronze import read_bronze
-from strata.sources.catalog import register_table
+from strata.plans.gold_job import load_gold
+from strata.plans.incremental_run import run_incremental
+from strata.plans.run import PipelineConfig
+from strata.sources.bronze import read_bronze, read_drifting_bronze
+from strata.sources.catalog import catalog_drift, register_table
 from strata.sources.lookup import read_zone_lookup, write_zone_csv
 from strata.sources.silver import read_silver, scope_run
 from strata.streaming.incremental import read_incremental, silver_batch_writer
@@ -148,8 +152,12 @@ def registered_silver(spark, sf_dir):
     """Silver registered in the catalog with partition discovery."""
     from strata.contracts import SILVER
 
+    from pyspark.sql import types as T
+
     name = "silver_" + _work(spark, "tbl").rsplit("/", 1)[-1][:12]
-    table = register_table(spark, name, _two_run_silver_path(spark, sf_dir), SILVER, SILVER_PARTITIONS)
+    layout = T.StructType([*SILVER.fields, T.StructField(WRITE, T.StringType())])
+    levels = (WRITE, *SILVER_PARTITIONS)
+    table = register_table(spark, name, _two_run_silver_path(spark, sf_dir), layout, levels)
     return table.groupBy("run_id").agg(F.count(F.lit(1)).alias("trips"))
 
 
@@ -187,6 +195,85 @@ def incremental_ingest(spark, sf_dir):
     return out.drop("source_file", "trip_id", "run_id")
 
 
+@register("incremental_published_fact")
+def incremental_published_fact(spark, sf_dir):
+    """The same waves taken all the way to Gold, each file once (S2). Path-derived
+    columns and the per-batch run id are left out."""
+    root = _work(spark, "incremental_gold")
+    cfg = PipelineConfig(f"{root}/silver", f"{root}/stage", f"{root}/star", f"{root}/quarantine", f"{root}/dq",
+                         fact_mode="snapshot_by_date")
+    for i, days in enumerate([(1, 10), None, (11, 31)]):
+        if days:
+            complete = raw_days(spark, sf_dir, *days).drop("source_file").filter("dropOff_datetime IS NOT NULL")
+            complete.write.parquet(f"{root}/landing/wave={i}")
+        run_incremental(spark, f"{root}/landing", demo_zones(spark, sf_dir), "inc", cfg,
+                        f"{root}/_checkpoint", f"{root}/ledger")
+    return G.read_star(spark, f"{root}/star")["fact_fhvhv_trips"].drop("trip_id", "source_file", "source_run_id")
+
+
+@register("bronze_spelling_drift")
+def bronze_spelling_drift(spark, sf_dir):
+    """Deliveries that spell their columns in three ways, read as one table."""
+    root = _work(spark, "spelling")
+    raw_days(spark, sf_dir, 1, 10).drop("source_file").write.parquet(f"{root}/2024/a")
+    raw_days(spark, sf_dir, 11, 20).drop("source_file").withColumnsRenamed({
+        "PUlocationID": "PULocationID", "DOlocationID": "do_location_id", "dropOff_datetime": "drop_off_datetime",
+    }).write.parquet(f"{root}/2024/b")
+    raw_days(spark, sf_dir, 21, None).drop("source_file").withColumnsRenamed({
+        "PUlocationID": "pu location id", "SR_Flag": "sr flag", "dropOff_datetime": "DropOff_DateTime",
+    }).write.parquet(f"{root}/2024/c")
+    return prepare_bronze(read_drifting_bronze(spark, root, lineage=False))
+
+
+@register("bronze_type_drift")
+def bronze_type_drift(spark, sf_dir):
+    """Deliveries whose ids and times have other types, read as one table."""
+    root = _work(spark, "types")
+    raw_days(spark, sf_dir, 1, 10).drop("source_file").write.parquet(f"{root}/2024/a")
+    raw_days(spark, sf_dir, 11, 20).drop("source_file").withColumns({
+        "PUlocationID": F.col("PUlocationID").cast("long"), "SR_Flag": F.col("SR_Flag").cast("string"),
+    }).write.parquet(f"{root}/2024/b")
+    raw_days(spark, sf_dir, 21, None).drop("source_file").withColumns({
+        "DOlocationID": F.col("DOlocationID").cast("double"), "Pickup_datetime": F.col("Pickup_datetime").cast("string"),
+    }).write.parquet(f"{root}/2024/c")
+    return prepare_bronze(read_drifting_bronze(spark, root, lineage=False))
+
+
+@register("two_manual_runs")
+def two_manual_runs(spark, sf_dir):
+    """Two hand-started runs over different files: the later one adds (K1)."""
+    path = _work(spark, "manual")
+    for days in ((1, 15), (16, None)):
+        write_silver(to_silver(raw_days(spark, sf_dir, *days), demo_zones(spark, sf_dir), "manual"), path)
+    return read_silver(spark, path)
+
+
+@register("rerun_same_run_fact")
+def rerun_same_run_fact(spark, sf_dir):
+    """A run written again from a corrected source replaces all that it had (K1)."""
+    root = _work(spark, "rerun")
+    for days in ((1, 20), (11, None)):
+        write_silver(to_silver(raw_days(spark, sf_dir, *days), demo_zones(spark, sf_dir), RUN_ID), f"{root}/silver")
+    load_gold(spark, f"{root}/silver", demo_zones(spark, sf_dir), RUN_ID, f"{root}/stage", f"{root}/star")
+    return G.read_star(spark, f"{root}/star")["fact_fhvhv_trips"]
+
+
+@register("catalog_drift_log")
+def catalog_drift_log(spark, sf_dir):
+    """Days arrive with a new column, one day's files vanish: both are found by
+    comparing the registered table with its folder (S7)."""
+    root = _work(spark, "catalog_drift")
+    name = "trips_" + root.rsplit("/", 1)[-1][:12]
+    old = raw_days(spark, sf_dir, 1, 15).withColumn("d", F.dayofmonth("Pickup_datetime"))
+    old.write.partitionBy("d").parquet(f"{root}/t")
+    register_table(spark, name, f"{root}/t", old.schema, ("d",))
+    commits.Folder(spark, f"{root}/t").delete("d=1")
+    new = raw_days(spark, sf_dir, 16, None).withColumn("d", F.dayofmonth("Pickup_datetime"))
+    new.withColumn(EXTRA_COLUMN, F.lit("Y")).write.mode("append").partitionBy("d").parquet(f"{root}/t")
+    catalog_drift(spark, name, f"{root}/t", f"{root}/log")
+    return spark.read.parquet(f"{root}/log").drop("table_name")
+
+
 # --- sinks -------------------------------------------------------------------
 @register("gold_stage")
 def gold_stage(spark, sf_dir):
@@ -305,6 +392,33 @@ def published_fact_by_date(spark, sf_dir):
     return G.read_star(spark, root)["fact_fhvhv_trips"]
 
 
+@register("published_card")
+def published_card(spark, sf_dir):
+    """A dashboard card's SQL on ``{{schema}}`` tables that follow two publishes."""
+    root = _work(spark, "card")
+    schema = "card_" + root.rsplit("/", 1)[-1][:12]
+    G.create_star(spark, schema, root)
+    for run in RUNS:
+        G.publish_star(spark, run_star(spark, sf_dir, run), root, fact_mode="snapshot_by_date", catalog=schema)
+    return reports.bound_query(
+        spark,
+        "SELECT d.day_name, f.pickup_hour, count(*) AS trips FROM {{schema}}.fact_fhvhv_trips f "
+        "JOIN {{schema}}.dim_date d ON f.pickup_date_key = d.date_key GROUP BY d.day_name, f.pickup_hour",
+        schema=schema,
+    )
+
+
+@register("expired_star_fact")
+def expired_star_fact(spark, sf_dir):
+    """Three publishes, then all but the newest version is deleted: it reads as
+    before (K9 retention)."""
+    root = _work(spark, "expired")
+    for run in ("run-a", "run-b", "run-b"):
+        G.publish_star(spark, run_star(spark, sf_dir, run), root, fact_mode="snapshot_by_date")
+    G.expire_star(spark, root, keep=1, grace_seconds=0)
+    return G.read_star(spark, root)["fact_fhvhv_trips"]
+
+
 @register("publish_rollback")
 def publish_rollback(spark, sf_dir):
     """The second publish fails after two tables: readers still see the first

@@ -1,17 +1,15 @@
 """Gold sinks: per-run staging (K3, K6), quarantine (K4), star DDL (K5),
-atomic snapshot publish (K9) and rule-result storage (K10).
+atomic publish (K9) and rule-result storage (K10).
 
 Every path is on the shared folder given by the caller (on a cluster: under
 ``spark.checkpoint.dir`` or a warehouse location), never a machine-local one.
 
-Publishing. Parquet has no multi-table transactions, so the star is
-versioned: each publish writes complete new table directories under
-``<root>/v=<n>/`` and only then appends one row to the commit log
-``<root>/_commits/`` (a Spark write, so it becomes visible at job commit).
-Readers resolve the highest committed version. A publish that fails half
-way leaves an uncommitted directory nobody reads; the previous version stays
-current. Writing new directories is also what lets the upsert read the
-current version while it writes the next one. Single writer assumed.
+Publishing. Parquet has no multi-table transactions, so the star is versioned by
+commits (``sinks.commits``): a publish writes new directories, one for each dimension
+and each date that it touches, and only then commits the list of all that are
+current. A publish that fails half way leaves directories that no commit lists;
+the previous version stays current, and ``expire_star`` removes them. Two publishers
+may run at once: the one that commits later merges its batch into the other's.
 """
 
 from __future__ import annotations
@@ -19,20 +17,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.contracts import FACT, FACT_PARTITION, STAR_KEYS, STAR_TABLES
 from strata.functions.identifiers import plain_identifier
-from strata.functions.literals import empty_frame, literal_frame
+from strata.functions.literals import empty_frame
 from strata.operators.contract import contract_checks
 from strata.operators.dims import cluster_fact
-from strata.operators.upsert import in_partitions, partition_values, stage_keys, upsert, upsert_partitions
-
-COMMITS = "_commits"
-
+from strata.operators.upsert import partition_values, stage_keys, upsert
+from strata.sinks import commits
 
 # -- staging -----------------------------------------------------------------
 def stage_path(base: str, run_id: str, table: str) -> str:
@@ -139,67 +134,39 @@ def create_star(spark: SparkSession, schema: str, root: str, fact_table: str = "
     return made
 
 
-# -- snapshot publish ----------------------------------------------------------
-COMMIT_SCHEMA = "version INT, tables STRING, fact_mode STRING"
-_COMMIT_TYPE = T.StructType([
-    T.StructField("version", T.IntegerType()),
-    T.StructField("tables", T.StringType()),
-    T.StructField("fact_mode", T.StringType()),
-])
+# -- publish -------------------------------------------------------------------
 FACT_DIR = "fact_fhvhv_trips"
-
-
-def _last_commit(spark: SparkSession, root: str, version: int | None = None):
-    """The latest commit row, or the row of ``version``; None if there is none."""
-    try:
-        log = spark.read.schema(COMMIT_SCHEMA).json(f"{root.rstrip('/')}/{COMMITS}")
-        log = log if version is None else log.filter(F.col("version") == version)
-        row = log.agg(F.max_by(F.struct("version", "fact_mode"), "version").alias("c")).first()
-        return None if row is None or row["c"] is None else row["c"]
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None  # no commit log yet
+WRITE = "w"  # partition level of one publish, below a date or a dimension
+NULL_PART = "__HIVE_DEFAULT_PARTITION__"  # fixed: how a null partition value is spelt
+FACT_MODES = ("snapshot", "snapshot_by_date", "partitions")
 
 
 def committed_version(spark: SparkSession, root: str) -> int | None:
     """Highest committed version, or None before the first publish."""
-    row = _last_commit(spark, root)
-    return None if row is None or row["version"] is None else int(row["version"])
+    known = commits.versions(spark, root)
+    return known[-1] if known else None
 
 
-def version_path(root: str, version: int, table: str) -> str:
-    return f"{root.rstrip('/')}/v={version}/{table}"
+def _read_dirs(spark: SparkSession, root: str, table: str, directories) -> DataFrame:
+    """The rows of some directories of a star table."""
+    schema, base = STAR_TABLES[table], root.rstrip("/")
+    paths = sorted(f"{base}/{d}" for d in directories)
+    if not paths:
+        return empty_frame(spark, schema)
+    reader = spark.read.schema(schema).option("basePath", f"{base}/{table}")
+    return reader.parquet(*paths).select(*schema.names)
 
 
-def read_star(spark: SparkSession, root: str, version: int | None = None, *, commit=None) -> dict[str, DataFrame] | None:
+def read_star(
+    spark: SparkSession, root: str, version: int | None = None, *, commit: commits.Commit | None = None
+) -> dict[str, DataFrame] | None:
     """The committed star (latest version unless ``version``), None if there is
-    none; each version is read in the layout that its own commit names. In
-    partition mode only the latest fact exists, so asking for an older one is an
-    error. ``commit`` is a commit-log row already read by the caller (saves
-    reading the log again)."""
-    row = commit if commit is not None else _last_commit(spark, root, version)
-    if row is None:
+    none. Any version that is kept can be read, whatever was published since.
+    ``commit`` is a commit already read by the caller (saves reading it again)."""
+    found = commit or commits.read_commit(spark, root, version)
+    if found is None:
         return None
-    v = int(row["version"])
-    if commit is None and row["fact_mode"] == "partitions" and v != committed_version(spark, root):
-        raise ValueError(f"version {v} of {root} has been replaced: partition mode keeps only the latest fact")
-    star = {
-        name: spark.read.schema(schema).parquet(version_path(root, v, name))
-        for name, schema in STAR_TABLES.items()
-        if not (name == FACT_DIR and row["fact_mode"] == "partitions")
-    }
-    if row["fact_mode"] == "partitions":
-        star[FACT_DIR] = read_partitioned_fact(spark, f"{root.rstrip('/')}/{FACT_DIR}")
-    return {name: star[name] for name in STAR_TABLES}
-
-
-def read_partitioned_fact(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FACT).parquet(path).select(*FACT.names)
-
-
-def _empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return empty_frame(spark, schema)
+    return {name: _read_dirs(spark, root, name, found.parts(name).values()) for name in STAR_TABLES}
 
 
 def publish_star(
@@ -208,100 +175,106 @@ def publish_star(
     root: str,
     *,
     fact_mode: str = "snapshot",
+    run_id: str | None = None,
+    catalog: str | None = None,
+    attempts: int = 3,
     fail_after: str | None = None,
 ) -> int:
     """Upsert the staged star into the current version and commit it as the
-    next version; returns the new version number.
-
-    ``fact_mode="snapshot"`` (default, atomic): every table, the fact too, is
-    rewritten under ``v=<n>/``; the fact is clustered (``cluster_fact``) so
-    later date/hour filters skip row groups. ``"snapshot_by_date"`` (atomic
-    too): untouched dates are copied without a shuffle, only touched dates are
-    merged and re-clustered (relies on trip_id falling in its pickup date). ``fact_mode="partitions"`` (for a
-    very large fact): the dimensions are snapshotted, the fact lives in one
-    date-partitioned directory and only the date partitions the batch touches
-    are rewritten (``publish_fact_partitions``); not atomic across tables.
-    ``fail_after`` names a table after whose write an error is raised (tests
-    the rollback path).
+    next version, all tables at once; returns the new version number.
+
+    All modes share one layout. Dimensions are written whole. The fact is kept by
+    date, and a publish writes only the dates that it touches; the others are listed
+    again in the commit. ``fact_mode`` says how the touched dates are found:
+    ``"snapshot"`` (default) looks for the staged trip_ids in the whole fact, reading
+    their column only, and so needs no assumption; ``"snapshot_by_date"`` and
+    ``"partitions"`` rely on a trip_id falling in its pickup date, so that only the
+    batch's own dates are read at all. Modes may change from one publish to the next.
+
+    If another writer commits first, the batch is merged anew into that version, up
+    to ``attempts`` times, then ``CommitConflict`` is raised: nothing is lost.
+    ``run_id`` is kept with the commit. ``catalog`` names a schema whose tables are
+    switched to the new version (see ``sync_star``). ``fail_after`` names a table
+    after whose write an error is raised (tests the rollback path).
     """
-    last = _last_commit(spark, root)
-    prev = None if last is None else int(last["version"])
-    current = read_star(spark, root, prev, commit=last) if prev is not None else None
-    if last is not None and (last["fact_mode"] == "partitions") != (fact_mode == "partitions"):
-        raise ValueError(
-            f"the fact at {root} was published with fact_mode={last['fact_mode']!r}; going on with"
-            f" {fact_mode!r} would start it empty. Publish to a new root to change the layout."
-        )
-    v = (prev or 0) + 1
+    if fact_mode not in FACT_MODES:
+        raise ValueError(f"fact_mode {fact_mode!r} is none of {FACT_MODES}")
+    for attempt in range(attempts):
+        base = commits.read_commit(spark, root)
+        entries = _merge_star(spark, staged, root, base, fact_mode, fail_after)
+        try:
+            made = commits.commit(spark, root, base, entries, run_id=run_id, mode=fact_mode)
+            break
+        except commits.CommitConflict:
+            folder, known = commits.Folder(spark, root), base.directories() if base else set()
+            for _, _, directory in entries:
+                if directory not in known:
+                    folder.delete(directory)
+            if attempt == attempts - 1:
+                raise
+    if catalog:
+        from strata.sources.catalog import sync_star
+
+        sync_star(spark, catalog, root, made)
+    return made.version
+
+
+def _merge_star(spark, staged, root, base, fact_mode, fail_after) -> list[commits.Entry]:
+    """Write what the batch changes; the entries of the version that results."""
+    root, write = root.rstrip("/"), commits.new_write()
+    entries: list[commits.Entry] = []
     for name, schema in STAR_TABLES.items():
-        if name == FACT_DIR and fact_mode == "partitions":
-            publish_fact_partitions(spark, f"{root.rstrip('/')}/{FACT_DIR}", staged[name],
-                                    f"{root.rstrip('/')}/_merge/v={v}")
+        batch = staged[name].select(*schema.names)
+        live = base.parts(name) if base else {}
+        if name == FACT_DIR:
+            entries += _merge_fact(spark, batch, root, live, fact_mode, write)
         else:
-            target = current[name] if current else _empty(spark, schema)
-            batch = staged[name].select(*schema.names)
-            merge_dir = f"{root.rstrip('/')}/_merge/v={v}/{name}_keys"
-            if name == FACT_DIR and current and fact_mode == "snapshot_by_date":
-                writer = _snapshot_fact_by_date(target, batch, merge_dir)
-            else:
-                keys = None
-                if name == FACT_DIR and current:  # the large table: staged delete list
-                    keys = stage_keys(batch, STAR_KEYS[name], merge_dir)
-                merged = upsert(target, batch, STAR_KEYS[name], keys)
-                writer = cluster_fact(merged) if name == FACT_DIR else merged
-            writer.write.mode("overwrite").parquet(version_path(root, v, name))
+            where = f"{name}/{WRITE}={write}"
+            upsert(_read_dirs(spark, root, name, live.values()), batch, STAR_KEYS[name]).write.parquet(f"{root}/{where}")
+            entries.append((name, None, where))
         if fail_after == name:
-            raise RuntimeError(f"injected failure after writing {name} (version {v} not committed)")
-    literal_frame(spark, [(v, ",".join(STAR_TABLES), fact_mode)], _COMMIT_TYPE).write.mode(
-        "append"
-    ).json(f"{root.rstrip('/')}/{COMMITS}")
-    return v
-
-
-def _snapshot_fact_by_date(target: DataFrame, batch: DataFrame, keys_path: str) -> DataFrame:
-    """Next fact snapshot without shuffling untouched dates.
-
-    Relies on the same property as partition mode: a trip_id always falls in
-    its pickup date, so target rows of dates the batch does not touch cannot
-    be replaced. Those rows are copied by a narrow plan (a filter on the
-    batch's dates, pushed to the scan), keeping their clustered order; only the
-    touched dates go through the anti join on (date, trip_id) and are
-    re-clustered."""
-    keys = stage_keys(batch, [FACT_PARTITION, "trip_id"], keys_path)
-    touched = in_partitions(FACT_PARTITION, partition_values(keys, FACT_PARTITION))
-    untouched, affected = target.filter(~touched), target.filter(touched)
-    merged = affected.join(keys, [FACT_PARTITION, "trip_id"], "left_anti").unionByName(batch)
-    return untouched.select(*FACT.names).unionByName(cluster_fact(merged.select(*FACT.names)))
-
-
-def publish_fact_partitions(spark: SparkSession, fact_path: str, staged: DataFrame, merge_path: str) -> None:
-    """Rewrite only the date partitions the batch touches (dynamic partition
-    overwrite); a static filter on the batch's dates keeps untouched partitions
-    from being read, and they are not written.
-
-    Spark refuses to overwrite a path it is reading, so the merged partitions
-    are first written to ``merge_path`` (shared folder) and then moved into
-    place by a second, narrow write. Both writes carry only the touched dates.
-    """
-    staged = staged.select(*FACT.names)
-    try:
-        target = read_partitioned_fact(spark, fact_path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        target = _empty(spark, FACT)  # first publish: no fact directory yet
-    keys = stage_keys(staged, [FACT_PARTITION, "trip_id"], f"{merge_path}_keys")
-    days = partition_values(keys, FACT_PARTITION)
-    merged = upsert_partitions(target, staged, "trip_id", FACT_PARTITION, keys, days)
-    cluster_fact(merged).write.mode("overwrite").partitionBy(FACT_PARTITION).parquet(merge_path)
-    (
-        spark.read.schema(FACT).parquet(merge_path)
-        .sortWithinPartitions(*("pickup_date_key", "pickup_hour", "pu_location_id"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(FACT_PARTITION)
-        .parquet(fact_path)
-    )
+            raise RuntimeError(f"injected failure after writing {name} (nothing committed)")
+    return entries
+
+
+def _part_of(day) -> str:
+    return NULL_PART if day is None else str(day)
+
+
+def touched_parts(fact: DataFrame, keys: DataFrame) -> set[str]:
+    """Dates of the fact that hold a staged trip_id: a semi join of the two columns."""
+    found = fact.select(FACT_PARTITION, "trip_id").join(keys.select("trip_id").distinct(), "trip_id", "left_semi")
+    return {_part_of(r[0]) for r in found.select(FACT_PARTITION).distinct().collect()}
+
+
+def _merge_fact(spark, batch, root, live, fact_mode, write) -> list[commits.Entry]:
+    """Rewrite the touched dates: their rows without the staged trip_ids, and the batch."""
+    scratch = f"{root}/_merge/{write}"
+    keys = stage_keys(batch, [FACT_PARTITION, "trip_id"], scratch)
+    touched = {_part_of(day) for day in partition_values(keys, FACT_PARTITION)}
+    on = [FACT_PARTITION, "trip_id"]
+    if fact_mode == "snapshot":
+        on = ["trip_id"]
+        if live:
+            touched |= touched_parts(_read_dirs(spark, root, FACT_DIR, live.values()), keys)
+    target = _read_dirs(spark, root, FACT_DIR, [d for part, d in live.items() if part in touched])
+    merged = upsert(target, batch, on, keys if len(on) > 1 else keys.select(*on).distinct())
+    cluster_fact(merged).withColumn(WRITE, F.lit(write)).write.mode("append").partitionBy(
+        FACT_PARTITION, WRITE
+    ).parquet(f"{root}/{FACT_DIR}")
+    folder = commits.Folder(spark, root)
+    folder.delete(f"_merge/{write}")
+    written = [name for name, _ in folder.matching(f"{FACT_DIR}/{FACT_PARTITION}=*/{WRITE}={write}")]
+    rewritten = [(FACT_DIR, name.split("/")[1].split("=", 1)[1], name) for name in written]
+    return [(FACT_DIR, part, d) for part, d in live.items() if part not in touched] + rewritten
+
+
+def expire_star(spark: SparkSession, root: str, *, keep: int = 2, grace_seconds: float = 86_400) -> list[str]:
+    """Delete versions but the newest ``keep`` and every directory that none of
+    those lists, merge scratch included (see ``commits.expire``)."""
+    dims = [f"{name}/{WRITE}=*" for name in STAR_TABLES if name != FACT_DIR]
+    patterns = [*dims, f"{FACT_DIR}/{FACT_PARTITION}=*/{WRITE}=*", "_merge/*", f"{commits.COMMITS}/.*"]
+    return commits.expire(spark, root, patterns, keep=keep, grace_seconds=grace_seconds)
 
 
 # -- rule results ----------------------------------------------------------------

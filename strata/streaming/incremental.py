@@ -8,9 +8,9 @@ where the ordinary batch operators run unchanged; no state store is used.
 
 Commit point: the checkpoint records a batch only after ``on_batch``
 returned, so a crash inside it replays the same files (at-least-once). Make
-``on_batch`` idempotent: ``silver_batch_writer`` overwrites exactly the run's
-own partitions (run id ``<run>-b<batch_id>``, dynamic partition overwrite),
-so a replay replaces instead of duplicating.
+``on_batch`` idempotent: ``silver_batch_writer`` commits the batch as a run of its own
+(run id ``<run>-b<batch_id>``), so a replay replaces instead of duplicating.
+``plans.incremental_run`` takes each batch on to Gold.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from strata.contracts import SILVER_PARTITIONS
 from strata.operators.derive import to_silver
+from strata.sinks.silver import write_silver
 
 
 def read_incremental(
@@ -100,11 +100,6 @@ def silver_batch_writer(
         _write(silver)
 
     def _write(silver: DataFrame) -> None:
-        (
-            silver.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*SILVER_PARTITIONS)
-            .parquet(silver_path)
-        )
+        write_silver(silver, silver_path)
 
     return on_batch

@@ -201,21 +201,14 @@ def test_gate_scans_the_table_once(spark):
     assert decision.total_rules == 11 and decision.passed
 
 
-def test_snapshot_by_date_copies_untouched_dates_without_shuffle(spark, work):
-    from pyspark.sql import functions as F
-
-    from strata.operators.upsert import upsert
+def test_publish_by_date_lists_untouched_dates_again(spark, work):
     from strata.plans.scenarios import run_star
-    from strata.sinks.gold import _snapshot_fact_by_date
-
-    a = run_star(spark, SF001, "run-a")["fact_fhvhv_trips"].drop("load_timestamp")
-    b = run_star(spark, SF001, "run-b")["fact_fhvhv_trips"].drop("load_timestamp")
-    a = a.withColumn("load_timestamp", F.lit(None).cast("timestamp"))
-    b = b.withColumn("load_timestamp", F.lit(None).cast("timestamp"))
-    out = _snapshot_fact_by_date(a, b, f"{work}/keys")
-    want = upsert(a, b, "trip_id")
-    assert out.exceptAll(want).count() == 0 and want.exceptAll(out).count() == 0
-    out.collect()
-    p = plan(out)
-    # the untouched branch: scan -> broadcast anti join on the batch's dates
-    assert "BroadcastHashJoin [pickup_date_key" in p and "LeftAnti" in p
+    from strata.sinks import commits
+    from strata.sinks.gold import FACT_DIR, publish_star
+
+    for run in ("run-a", "run-b"):
+        publish_star(spark, run_star(spark, SF001, run), f"{work}/star", fact_mode="snapshot_by_date")
+    one, two = (commits.read_commit(spark, f"{work}/star", v).parts(FACT_DIR) for v in (1, 2))
+    same = {d for d in one if one[d] == two[d]}
+    assert same and {int(d) % 100 for d in same} <= set(range(1, 11))
+    assert {int(d) % 100 for d in set(two) - same} <= set(range(11, 32))

@@ -9,9 +9,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from strata.plans.oracle_registry import ORACLE
+from strata.plans.registry import REGISTRY
 from tests.conftest import SF001
 
+# The corpus operators have their own tests (tests/llm), with Python workers allowed.
 TABLES = ["events", "nation", "region"]
+NAMES = sorted(REGISTRY)
 
 
 def _norm(v):
@@ -37,7 +41,8 @@ def duck():
 
 
 def test_contract_keys_match():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(REGISTRY) == set(ORACLE)
+    assert set(REGISTRY) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
 def test_entry_smoke(spark):
@@ -50,15 +55,15 @@ SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "
                  "string": "VARCHAR", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, duck, name):
-    df = E.queries()[name](spark, SF001)
+    df = REGISTRY[name](spark, SF001)
     got = sorted([tuple(_norm(x) for x in r) for r in df.collect()], key=_key)
-    rel = duck.sql(E.oracle_sql()[name])
+    rel = duck.sql(ORACLE[name])
     types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
     for f in df.schema.fields:  # same column types as the oracle
         assert SPARK_TO_DUCK.get(f.dataType.simpleString()) == types[f.name], (name, f.name)
-    res = duck.execute(E.oracle_sql()[name])
+    res = duck.execute(ORACLE[name])
     cols = [d[0] for d in res.description]
     assert sorted(cols) == sorted(df.columns)
     order = [cols.index(c) for c in df.columns]
@@ -70,9 +75,9 @@ BANNED = ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "CartesianProduct",
           "BroadcastNestedLoopJoin", "FlatMapGroupsInPandas")
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_plan_has_no_python_udf_or_cross_join(spark, name):
-    plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    plan = REGISTRY[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     for word in BANNED:
         assert word not in plan, f"{name}: {word}"
 
@@ -80,11 +85,11 @@ def test_plan_has_no_python_udf_or_cross_join(spark, name):
 RUN_LOG_QUERIES = {"execution_health", "execution_time", "job_metrics"}
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_events_scan_is_pruned(spark, name):
     """Only the run-log queries use events.props; every other query's scan of
     events must leave that column out (column pruning reaches the scan)."""
-    plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    plan = REGISTRY[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "events.parquet" in line]
     for line in scans:
         schema = line.split("ReadSchema: ")[-1]

@@ -17,11 +17,11 @@ from pyspark.sql import functions as F  # noqa: E402
 from strata.operators.derive import prepare_bronze, to_silver  # noqa: E402
 from strata.operators.dims import build_star, cluster_fact  # noqa: E402
 from strata.operators.quality import evaluate  # noqa: E402
-from strata.operators.upsert import stage_keys, upsert, upsert_partitions  # noqa: E402
+from strata.operators.upsert import stage_keys, upsert  # noqa: E402
 from strata.plans import reports  # noqa: E402
 from strata.rulesets import bronze_ruleset, silver_ruleset  # noqa: E402
 from strata.session import build_session, shared_dir  # noqa: E402
-from strata.sinks.gold import _snapshot_fact_by_date, publish_star, read_star  # noqa: E402
+from strata.sinks.gold import publish_star, read_star  # noqa: E402
 from strata.sinks.silver import write_silver  # noqa: E402
 from strata.sources import sample  # noqa: E402
 from strata.sources.bronze import read_bronze  # noqa: E402
@@ -87,8 +87,6 @@ def main() -> None:
     pub = read_star(spark, f"{work}/star")
     fact = pub["fact_fhvhv_trips"]
     staged = fact.where(F.col("pickup_date_key") >= 20240120)
-    fact.write.partitionBy("pickup_date_key").parquet(f"{work}/fact_parts")
-    parts = spark.read.parquet(f"{work}/fact_parts")
 
     sections = [
         ("Bronze -> Silver (the metered job writes this plan)",
@@ -105,13 +103,11 @@ def main() -> None:
         ("Fact upsert, snapshot mode, staged delete list",
          "Anti join of two plain shuffles, so AQE may split a hot trip_id.",
          upsert(fact, staged, "trip_id", stage_keys(staged, "trip_id", f"{work}/keys")), True),
-        ("Fact snapshot by date (fact_mode=snapshot_by_date)",
-         "Untouched dates: scan -> broadcast anti join on the batch's dates, no shuffle; touched "
-         "dates: anti join on (date, trip_id) against the staged delete list, then re-clustered.",
-         _snapshot_fact_by_date(fact, staged, f"{work}/keys_by_date"), True),
-        ("Fact upsert, partition mode",
-         "Only touched date partitions are read (static + dynamic partition pruning).",
-         upsert_partitions(parts, staged, "trip_id", "pickup_date_key"), True),
+        ("Fact upsert by date (fact_mode=snapshot_by_date)",
+         "Only the directories of the batch's dates are read; anti join on (date, trip_id) against "
+         "the staged delete list. All other dates are listed again in the commit.",
+         upsert(fact.where(F.col("pickup_date_key") >= 20240120), staged, ["pickup_date_key", "trip_id"],
+                stage_keys(staged, ["pickup_date_key", "trip_id"], f"{work}/keys_by_date")), True),
         ("Fact layout (cluster_fact)",
          "rebalance on the date key (AQE splits hot dates), sort inside partitions.",
          cluster_fact(fact), True),
