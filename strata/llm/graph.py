@@ -23,7 +23,7 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     if labels is not None:
         older = labels.select("node", F.col("label").alias("older"))
         now = now.join(older, "node", "full").select("node", F.least("label", "older").alias("label"))
-    now = common.materialize(now, "labels")
+    written = now = common.materialize(now, "labels")
     while True:
         of_other = now.select(F.col("node").alias("other"), F.col("label").alias("offer"))
         offers = both.join(of_other, "other").groupBy("node").agg(F.min("offer").alias("offer"))
@@ -35,6 +35,8 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
             "node", "old", F.least(F.col("label"), F.col("jump")).alias("label")
         )
         after = common.materialize(after, "labels")
-        now = after.select("node", "label")
+        common.discard(written)
+        written, now = after, after.select("node", "label")
         if after.filter("label < old").isEmpty():
+            common.discard(both)
             return now

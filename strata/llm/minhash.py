@@ -1,22 +1,20 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 1. Every text becomes its set of distinct word shingles (as 64-bit hashes), a 128-bit
-   digest of the set and a MinHash signature.  Documents with equal sets are one
-   class from here on; its representative has the smallest doc_id.
-2. Signatures are banded; classes that share a band are candidates.  With 40 bands
+   digest of the set and a MinHash signature.  Texts with equal sets are one node from
+   here on.
+2. Signatures are banded; nodes that share a band are candidates.  With 40 bands
    of 6 values a pair at the threshold is missed with probability 5e-6.
 3. A candidate's signatures are compared batch by batch.  After each batch the
    matches so far give the posterior of the similarity (uniform prior), and a pair
    is dropped as soon as the probability that it reaches the threshold falls below
    ``MISS``.  Survivors are verified exactly on their full sets.
 
-Components, not pairs, are wanted, so a bucket never emits all its pairs: each round
-compares its members with one leader, merges what is verified, and goes on only with
-buckets that still hold two or more components and with the pairs across those.
-The leader has then met all the others and leaves.  Where buckets stay large, the
-shingles that a set shares with any other candidate are counted: a pair cannot have
-more in common than either shares at all, and this exact bound, a condition of the
-join, lets through only pairs that may reach the threshold.
+Components, not pairs, are wanted, so a bucket never emits all its pairs.  In two
+rounds its members are compared with one leader each, which merges what is dense.
+Buckets that still hold several components are dealt to blocks; a task compares two
+blocks, verifies on the sets themselves, skips what it has already connected and emits
+a spanning forest of the links that it finds: fewer rows than it has members.
 """
 
 from __future__ import annotations
@@ -39,8 +37,9 @@ PERCENT = 80  # linked if 100 * intersection >= PERCENT * union
 BANDS, VALUES = 40, 6
 BATCH = 24  # signature values compared between two looks at the posterior
 MISS = 1e-5
-ROWS_FACTOR = 4  # remaining pairs per bucket row up to which they are joined
-BLOCK = 512  # members of a large bucket that one task compares with as many others
+LEADER_ROUNDS = 2
+BLOCK = 1024  # members of a large bucket that one task compares with as many others
+BLOCK_BYTES = 32 << 20  # of their sets, about
 
 U = np.uint64
 _RANDOM = np.random.default_rng(20240607)
@@ -84,25 +83,42 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, ends = common.utf8(batch["text"])
-        n, one, two, sig = [], [], [], []
-        for s in shingle_sets(data, ends):
-            n.append(len(s))
-            one.append(int(mix(s).sum(dtype=U)) if len(s) else 0)
-            two.append(int(mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U)) if len(s) else 0)
-            sig.append(signature(s).tobytes() if len(s) else b"")
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch["doc_id"],
-                pa.array(n, pa.int64()),
-                pa.array(np.array(one, U).view(np.int64)),
-                pa.array(np.array(two, U).view(np.int64)),
-                pa.array(sig, pa.binary()),
-            ],
-            names=["doc_id", "n", "d1", "d2", "sig"],
-        )
+def _digest(s: np.ndarray) -> tuple[int, int, int]:
+    if not len(s):
+        return 0, 0, 0
+    pair = (int(mix(x).sum(dtype=U)) for x in (s, s ^ U(0xA5A5A5A5A5A5A5A5)))
+    return len(s), *(v - (v >> 63 << 64) for v in pair)
+
+
+def _sketcher(size: int):
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = common.utf8(batch["text"])
+            digests, sig = [], []
+            for s in shingle_sets(data, ends, size):
+                digests.append(_digest(s))
+                sig.append(signature(s).tobytes() if len(s) else b"")
+            n, one, two = np.array(digests, np.int64).reshape(-1, 3).T
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["th"], pa.array(n), pa.array(one), pa.array(two), pa.array(sig, pa.binary())],
+                names=["doc_id", "th", "n", "d1", "d2", "sig"],
+            )
+
+    return sketch
+
+
+def _set_maker(size: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = common.utf8(batch["text"])
+            found = list(shingle_sets(data, ends, size))
+            n, one, two = np.array([_digest(s) for s in found], np.int64).reshape(-1, 3).T
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(n), pa.array(one), pa.array(two), pa.array([s.tobytes() for s in found], pa.binary())],
+                names=["rep", "n", "d1", "d2", "shingles"],
+            )
+
+    return sets
 
 
 def _keys(signatures: np.ndarray) -> np.ndarray:
@@ -119,7 +135,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         key = _keys(np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint16))
-        yield common.rows("bucket rep", key.reshape(-1), np.repeat(common.longs(batch["rep"]), BANDS))
+        yield common.rows("bucket sid", key.reshape(-1), np.repeat(common.longs(batch["sid"]), BANDS))
 
 
 # --- sequential verification ---------------------------------------------------------
@@ -155,254 +171,221 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["a"].take(keep), batch["b"].take(keep)], names=["a", "b"])
 
 
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep, last, mine = [], None, None
-        others = shingle_sets(*common.utf8(batch["tb"]))
-        leaders = batch["ta"]
-        for k, (a, other) in enumerate(zip(batch["a"].to_pylist(), others)):
-            text = leaders[k].as_py()
-            if (a, text) != last:
-                last = (a, text)
-                mine = next(shingle_sets(*common.utf8(pa.array([text], pa.string()))))
-            small, large = len(mine), len(other)
-            if 100 * min(small, large) < PERCENT * max(small, large):
-                continue
-            both = len(np.intersect1d(mine, other, assume_unique=True))
-            if both and 100 * both >= PERCENT * (small + large - both):
-                keep.append(k)
+        pairs = zip(batch["x"], batch["y"])
+        keep = [k for k, (x, y) in enumerate(pairs) if _linked(*(np.frombuffer(v.as_buffer(), U) for v in (x, y)))]
         keep = pa.array(keep, pa.int64())
         yield pa.RecordBatch.from_arrays([batch["a"].take(keep), batch["b"].take(keep)], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
-    one = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    two = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    one, two = (reps.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
     likely = (
         pairs.join(one, "a")
         .join(two, "b")
         .filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))  # sizes alone can rule it out
         .select("a", "b", "sa", "sb")
         .mapInArrow(_prune, "a long, b long")
-        .distinct()
     )
     likely = common.materialize(likely, "likely")
-    ta = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
-    tb = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-    found = likely.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
-    return common.materialize(found.distinct(), "links")
-
-
-def _bucket_rows(active: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(bucket, rep, label) of buckets that hold two or more components."""
-    if labels is None:
-        rows = active.withColumn("label", F.col("rep"))
-    else:
-        known = labels.select(F.col("node").alias("rep"), "label")
-        rows = active.join(known, "rep", "left").select(
-            "bucket", "rep", F.coalesce("label", "rep").alias("label")
-        )
-    rows = common.materialize(rows, "rows")
+    x, y = (sets.select(F.col("sid").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    found = likely.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
+    found = common.materialize(found, "links")
+    common.discard(likely)
+    return found
+
+
+def _unresolved(active: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(bucket, sid, label) of buckets that hold two or more components."""
+    rows = active.withColumn("label", F.col("sid"))
+    if labels is not None:
+        known = labels.select(F.col("node").alias("sid"), F.col("label").alias("known"))
+        rows = active.join(known, "sid", "left").select("bucket", "sid", F.coalesce("known", "sid").alias("label"))
     mixed = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y")
-    mixed = common.materialize(mixed.select("bucket"), "buckets")
-    return common.materialize(rows.join(mixed, "bucket"), "rows")
-
-
-def _bounds(rows: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """(rep, size, shared): a set's size and how many of its shingles any other set
-    of ``rows`` has too.  Two sets have at most min(shared) in common, which bounds
-    their similarity before anything of them is compared.  A doc_id with several
-    sets gets no size, so nothing is concluded for it."""
-    wanted = rows.select("rep").distinct()
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(shingle_sets(*common.utf8(batch["text"])))
-            of = np.repeat(common.longs(batch["rep"]), [len(s) for s in sets])
-            if len(of):
-                yield common.rows("rep shingle", of, np.concatenate(sets))
-
-    each = texts.join(wanted, "rep").select("rep", "text").mapInArrow(shingles, "rep long, shingle long")
-    own = each.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).filter("rep = last")
-    own = own.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
-    known = reps.groupBy("rep").agg(F.count(F.lit(1)).alias("sets"), F.max("n").alias("n")).join(wanted, "rep")
-    out = known.join(own, "rep", "left").select(
-        "rep",
-        F.when(F.col("sets") == 1, F.col("n")).alias("size"),
-        (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"),
-    )
-    return common.materialize(out, "bounds")
+    return common.materialize(rows.join(mixed.select("bucket"), "bucket"), "rows")
 
 
-def _may_link(a: str, b: str):
-    """Whether sizes and shared counts allow the threshold (unknown counts as yes)."""
-    most = F.least(f"{a}_shared", f"{b}_shared")
-    return F.coalesce(100 * most >= PERCENT * (F.col(f"{a}_size") + F.col(f"{b}_size") - most), F.lit(True))
-
-
-def _side(bounds: DataFrame, name: str) -> DataFrame:
-    return bounds.toDF(name, f"{name}_size", f"{name}_shared")
-
-
-def _with_leaders(rows: DataFrame, bounds: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each bucket's leader and its members of other components: the
-    smallest member, or with ``bounds`` the one that shares most of its set."""
-    order = F.struct("rep")
-    if bounds is not None:
-        rows = rows.join(bounds, "rep")
-        order = F.struct((-F.col("shared") / F.coalesce("size", F.lit(1))).alias("novel"), "rep")
-    leaders = rows.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "rep", "label")).alias("x"))
+def _with_leaders(rows: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of each bucket's leader and its members of other components, and the
+    rows without the leaders, which have now met all the others.  Every turn orders
+    the members in another way."""
+    first = F.struct(F.xxhash64(F.lit(turn), "sid").alias("o"), "sid", "label")
+    leaders = rows.groupBy("bucket").agg(F.min(first).alias("x"))
     leaders = common.materialize(
-        leaders.select("bucket", F.col("x.rep").alias("leader"), F.col("x.label").alias("leader_label")), "leaders"
+        leaders.select("bucket", F.col("x.sid").alias("leader"), F.col("x.label").alias("leader_label")), "leaders"
     )
-    met = rows.join(leaders, "bucket").filter("label <> leader_label")
-    pairs = met.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    if bounds is not None:
-        pairs = pairs.join(_side(bounds, "a"), "a").join(_side(bounds, "b"), "b").filter(_may_link("a", "b"))
-    return pairs.select("a", "b"), leaders
-
-
-def _across(rows: DataFrame) -> DataFrame:
-    """All pairs of a bucket's members of different components."""
-    a = rows.select("bucket", F.col("rep").alias("a"), F.col("label").alias("la"))
-    b = rows.select("bucket", F.col("rep").alias("b"), F.col("label").alias("lb"))
-    return a.join(b, "bucket").filter("a < b and la <> lb").select("a", "b").distinct()
+    met = rows.join(leaders, "bucket")
+    pairs = met.filter("label <> leader_label").select(
+        F.least("leader", "sid").alias("a"), F.greatest("leader", "sid").alias("b")
+    )
+    return pairs.distinct(), met.filter("sid <> leader").select("bucket", "sid")
 
 
-def _compare_blocks(table: pa.Table) -> pa.Table:
-    """Pairs of two blocks of one bucket, or of one with itself, that pass the
-    size bound and every look at the posterior.  A pair is reported only in the
-    first of the bands that it shares."""
+def _forest(table: pa.Table) -> pa.Table:
+    """Links between two blocks of one bucket, or within one, that connect components
+    not connected before.  A pair is looked at only in the first band that it shares."""
     table = table.combine_chunks()
     sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, BANDS * VALUES)
-    rep, label, block = (table[c].to_numpy() for c in ("rep", "label", "block"))
-    size, shared = (table[c].to_numpy() for c in ("size", "shared"))
+    sid, label, block, size = (table[c].to_numpy() for c in ("sid", "label", "block", "n"))
+    shingles = [np.frombuffer(v.as_buffer(), U) for v in table["shingles"]]
     i, j = int(table["i"][0].as_py()), int(table["j"][0].as_py())
     keys = _keys(sig)
     band = int(np.flatnonzero(keys[0] == np.int64(table["bucket"][0].as_py()).astype(U))[0])
     bounds = least_matches(PERCENT / 100, MISS)
+    component = label.copy()
     right = np.flatnonzero(block == j)
-    out_a, out_b = [], []
+    links: list[tuple[int, int]] = []
     for k in np.flatnonzero(block == i):
-        other = right[(rep[right] > rep[k]) if i == j else slice(None)]
-        other = other[label[other] != label[k]]
-        most = np.minimum(shared[other], shared[k])
-        known = (size[other] >= 0) & (size[k] >= 0)
-        other = other[~known | (100 * most >= PERCENT * (size[other] + size[k] - most))]
+        other = right[(sid[right] > sid[k]) if i == j else slice(None)]
+        other = other[component[other] != component[k]]
+        other = other[100 * np.minimum(size[other], size[k]) >= PERCENT * np.maximum(size[other], size[k])]
         other = other[~(keys[other, :band] == keys[k, :band]).any(axis=1)]
         matches, done = np.zeros(len(other), np.int64), 0
         for n, least in bounds:
             matches = matches + (sig[other, done:n] == sig[k, done:n]).sum(axis=1)
             keep = matches >= least
             other, matches, done = other[keep], matches[keep], n
-        out_a.append(np.full(len(other), rep[k]))
-        out_b.append(rep[other])
-    none = np.zeros(0, np.int64)
-    return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
-
-
-def _across_blocks(rows: DataFrame, bounds: DataFrame, reps: DataFrame) -> DataFrame:
-    """The likely pairs of large buckets.  A bucket is dealt to blocks, and a task
-    compares two blocks; what it may not rule out is all that it emits."""
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    sizes = common.materialize(sizes, "sizes")
-    sided = rows.join(sizes, "bucket").join(bounds, "rep").join(reps.select("rep", "sig"), "rep")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    dealt = sided.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        for o in other[np.argsort(-matches, kind="stable")]:
+            if component[o] != component[k] and _linked(shingles[k], shingles[o]):
+                links.append((int(sid[k]), int(sid[o])))
+                component[component == component[o]] = component[k]
+    a, b = np.array(links, np.int64).reshape(-1, 2).T
+    return pa.table({"a": a, "b": b})
+
+
+def _across_blocks(rows: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that connect what is left in each bucket."""
+    members = rows.join(reps.select("sid", "n", "sig"), "sid")
+    most = F.greatest(F.count(F.lit(1)) / BLOCK, 8 * F.sum("n") / BLOCK_BYTES)
+    sizes = rows.join(reps.select("sid", "n"), "sid").groupBy("bucket").agg(F.ceil(most).alias("blocks"))
+    sided = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    dealt = sided.join(sets, "sid").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
         "bucket",
         F.least("block", "with").cast("long").alias("i"),
         F.greatest("block", "with").cast("long").alias("j"),
         F.col("block").cast("long").alias("block"),
-        "rep",
-        "label",
-        F.coalesce("size", F.lit(-1)).cast("long").alias("size"),
-        F.col("shared").cast("long").alias("shared"),
-        "sig",
-    )
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(_compare_blocks, "a long, b long").distinct()
+        "sid", "label", "n", "sig", "shingles",
+    )
+    return common.materialize(dealt.groupBy("bucket", "i", "j").applyInArrow(_forest, "a long, b long"), "links")
 
 
-def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(sketches, reps, labels): of every document with a doc_id its set's digest,
-    of every distinct set its representative, and the components of those that are
-    linked with another set (None if there is none)."""
-    rows = common.keyed(docs).select("doc_id", "text")
+def near_components(docs: DataFrame, size: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(keys, reps, labels): of every row (doc_id, th, n, d1, d2), the hash of its text
+    and its set's size and digest; of every distinct set of rows with a doc_id (sid,
+    rep, n, d1, d2, sig), rep being its smallest doc_id; and (node, label), the smallest
+    sid of the component, of those sids that are linked with another (None if none is)."""
+    rows = common.keyed(docs).select("doc_id", F.xxhash64("text").alias("th"), "text")
     sketches = common.materialize(
-        rows.mapInArrow(_sketch, "doc_id long, n long, d1 long, d2 long, sig binary"), "sketches"
+        rows.mapInArrow(_sketcher(size), "doc_id long, th long, n long, d1 long, d2 long, sig binary"), "sketches"
     )
     reps = sketches.filter("doc_id is not null and n > 0").groupBy("d1", "d2", "n").agg(
         F.min("doc_id").alias("rep"), F.first("sig").alias("sig")
     )
-    reps = common.materialize(reps, "reps")
-    banded = reps.select("rep", "sig").mapInArrow(_bands, "bucket long, rep long")
-    shared = banded.groupBy("bucket").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x < y")
-    shared = common.materialize(shared.select("bucket"), "buckets")
-    active = common.materialize(banded.join(shared, "bucket").distinct(), "rows")
+    reps = common.materialize(reps.withColumn("sid", F.monotonically_increasing_id()), "reps")
+    keys = common.materialize(sketches.drop("sig"), "keys")
+    common.discard(sketches)
+    banded = reps.select("sid", "sig").mapInArrow(_bands, "bucket long, sid long")
+    shared = banded.groupBy("bucket").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).filter("x < y")
+    active = common.materialize(banded.join(shared.select("bucket"), "bucket").distinct(), "active")
     if active.isEmpty():
-        return sketches, reps, None
-    wanted = active.select("rep").distinct()
-    texts = common.materialize(
-        rows.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "text"),
-        "texts",
-    )
-
-    links = labels = bounds = None
-    rows = _bucket_rows(active, None)
-    while not rows.isEmpty():
-        sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-        sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        left = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).alias("p"), F.sum("m").alias("m")).first()
-        few = left["p"] <= ROWS_FACTOR * left["m"]
-        if not few and links is not None and bounds is None:
-            bounds = _bounds(rows, reps, texts)
-            leading = True  # one more round of leaders, now the most typical ones
-        elif not few and bounds is not None:
-            leading = False
-        else:
-            leading = not few
-        if leading:
-            pairs, leaders = _with_leaders(rows, bounds)
-        else:
-            pairs = _across(rows) if few else _across_blocks(rows, bounds, reps)
-        new = verified(common.materialize(pairs, "pairs"), reps, texts)
-        links = new if links is None else common.materialize(links.union(new), "links")
-        labels = components(links, labels)
-        if not leading:
+        return keys, reps, None
+    wanted = common.materialize(reps.join(active.select("sid").distinct(), "sid").drop("sig"), "wanted")
+    made = rows.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
+    made = made.mapInArrow(_set_maker(size), "rep long, n long, d1 long, d2 long, shingles binary")
+    sets = made.join(wanted, ["rep", "n", "d1", "d2"]).groupBy("sid").agg(F.first("shingles").alias("shingles"))
+    sets = common.materialize(sets, "sets")
+    common.discard(wanted)
+
+    labels = None
+    for turn in range(LEADER_ROUNDS + 1):
+        left = _unresolved(active, labels)
+        common.discard(active)
+        if left.isEmpty():
             break
-        rest = rows.join(leaders, "bucket").filter("rep <> leader").select("bucket", "rep")
-        rows = _bucket_rows(rest, labels)
-    return sketches, reps, labels
+        if turn == LEADER_ROUNDS:
+            links = _across_blocks(left, reps, sets)
+        else:
+            pairs, rest = _with_leaders(left, turn)
+            active = common.materialize(rest, "active")
+            links = verified(pairs, reps, sets)
+        if labels is not None:
+            links = links.union(labels.filter("node <> label").select("node", "label"))
+        labels = components(links)
+        common.discard(left)
+    common.discard(sets)
+    return keys, reps, labels
+
+
+def _known(keys: DataFrame, reps: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``keys`` with sid and label, both null where there is no set or no doc_id."""
+    sids = reps.select("d1", "d2", F.col("n").alias("m"), "sid")
+    same = (keys["d1"] == sids["d1"]) & (keys["d2"] == sids["d2"]) & (keys["n"] == sids["m"])
+    found = keys.join(sids, same & keys["doc_id"].isNotNull(), "left").select("doc_id", "th", "n", "sid")
+    if labels is None:
+        return found.withColumn("label", F.col("sid"))
+    named = labels.withColumnsRenamed({"node": "sid", "label": "found"})
+    return found.join(named, "sid", "left").select("doc_id", "th", "n", "sid", F.coalesce("found", "sid").alias("label"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id
     reachable over links, itself included) and kept (doc_id = component_id).
 
     Documents are linked if 100 * intersection >= 80 * union of their sets of
-    distinct four-word shingles.  Null, empty and blank texts have no shingles and
-    are linked with nothing.  Rows that share a doc_id are one node.  A row without
-    a doc_id is linked with nothing, has no component and is kept.  An empty table
-    gives no rows; other columns than doc_id and text are not read.
+    distinct shingles of ``size`` words (four unless given).  Null, empty and blank
+    texts have no shingles and are linked with nothing.  Rows that share a doc_id are
+    one node: what one of its texts is linked with, all are.  A row without a doc_id
+    is linked with nothing, has no component and is kept.  An empty table gives no
+    rows; other columns than doc_id and text are not read.
     """
     common.prepare(docs.sparkSession)
-    sketches, reps, labels = near_components(docs)
-    found = sketches.select("doc_id", "n", "d1", "d2").join(reps.drop("sig"), ["d1", "d2", "n"], "left")
-    if labels is None:
-        found = found.withColumn("label", F.col("rep"))
-    else:
-        found = found.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn(
+    known = common.materialize(_known(*near_components(docs, size)), "known")
+    nodes = known.filter("label is not null")
+    several = nodes.groupBy("doc_id").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y")
+    joined = nodes.join(several.select("doc_id", "x"), "doc_id").filter("label <> x").select(
+        F.col("label").alias("a"), F.col("x").alias("b")
+    )
+    joined = common.materialize(joined.distinct(), "several")
+    if not joined.isEmpty():
+        merged = components(joined).select("node", "label").toDF("label", "merged")
+        known = known.join(merged, "label", "left").withColumn("label", F.coalesce("merged", "label")).drop("merged")
+    smallest = known.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    out = known.join(smallest, "label", "left")
+    # an empty text under a doc_id that has others belongs to its node
+    of_doc = out.filter("component_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("of_doc"))
+    out = out.join(of_doc, "doc_id", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "of_doc", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, all columns kept."""
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+def drop_near_copies(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
+    """``docs`` with one document of each component of near duplicates, all columns
+    kept: that with the smallest doc_id, of several texts under it the one with the
+    smallest hash.  Texts, not ids, are what is compared: rows that share a doc_id but
+    not the text are different documents here; rows equal in both stay or go together.
+    Rows without a doc_id or without a word stay; an empty table stays empty."""
+    common.prepare(docs.sparkSession)
+    known = common.materialize(_known(*near_components(docs, size)).filter("label is not null"), "known")
+    stays = known.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("stays"))
+    gone = known.join(stays, "label").filter(
+        (F.col("doc_id") != F.col("stays.doc_id")) | (F.col("th") != F.col("stays.th"))
+    )
+    gone = common.materialize(gone.select("doc_id", "th").distinct(), "gone")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    same = (docs["doc_id"].cast("long") == gone["doc_id"]) & (F.xxhash64(text) == gone["th"])
+    return docs.join(gone, same, "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

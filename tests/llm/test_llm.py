@@ -128,8 +128,7 @@ def test_near_dedup(docs, empty):
 
 
 def test_near_dedup_of_a_large_bucket(spark, monkeypatch):
-    """Leaders, bounds and blocks: many variants of one text, most of them not linked."""
-    monkeypatch.setattr(minhash, "ROWS_FACTOR", 0)
+    """Leaders, then blocks: many variants of one text, most of them not linked."""
     monkeypatch.setattr(minhash, "BLOCK", 16)
     rng = np.random.default_rng(5)
     base = [f"w{k}" for k in range(150)]
@@ -152,6 +151,15 @@ def test_near_dedup_of_a_large_bucket(spark, monkeypatch):
     assert 1 < len(set(label)) < 60
 
 
+def test_texts_under_one_doc_id_are_one_node_but_dropped_one_by_one(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = spark.createDataFrame([(3, a), (15, a), (15, b), (20, b + " tail"), (15, ""), (15, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(rows).collect()}
+    assert got == {(3, 3), (15, 3), (20, 3)}
+    kept = Counter((r["doc_id"], r["text"]) for r in minhash.drop_near_copies(rows).collect())
+    assert kept == Counter([(3, a), (15, b), (15, ""), (15, None)])  # a text of every group stays
+
+
 def test_posterior_bounds_hardly_drop_a_pair_at_the_threshold():
     rng = np.random.default_rng(1)
     match = rng.random((20_000, minhash.BANDS * minhash.VALUES)) < 0.8
