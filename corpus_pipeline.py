@@ -23,8 +23,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates one document stays."""
-    return minhash.drop_near_copies(docs)
+    """Of each component of near duplicates (five-word shingles, similarity 0.8 or
+    more) one document stays; documents without a word stay."""
+    return minhash.drop_near_copies(docs, size=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
