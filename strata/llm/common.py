@@ -129,6 +129,17 @@ def drop_tables() -> None:
 atexit.register(drop_tables)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened until none is a column of ``df`` in any spelling."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition by ``keys`` to the session's shuffle partitions."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

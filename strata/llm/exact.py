@@ -65,16 +65,18 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     A row that repeats both doc_id and text of the kept row goes too.  The join is
     on text and identifier together, so a hot group's rows spread over all tasks.
     """
-    names = {"sha": "__sha", "id": "__id", "keep": "__keep", "k": "__k"}
+    names = dict(zip(("sha", "id", "keep", "k", "of"), common.fresh(docs, "sha", "own_id", "keep", "k", "of")))
     marked = docs.withColumns(
         {names["sha"]: F.sha2(normalised(docs["text"]), 256), names["id"]: docs["doc_id"].cast("long")}
     )
-    keep = text_classes(docs).select(F.col("text_sha256").alias("__of"), F.col("keep_id").alias(names["keep"]))
+    keep = text_classes(docs).select(F.col("text_sha256").alias(names["of"]), F.col("keep_id").alias(names["keep"]))
     kept = marked.join(
-        keep, (marked[names["sha"]] == keep["__of"]) & marked[names["id"]].eqNullSafe(keep[names["keep"]])
+        keep, (marked[names["sha"]] == keep[names["of"]]) & marked[names["id"]].eqNullSafe(keep[names["keep"]])
     )
     one = Window.partitionBy(names["sha"], names["id"]).orderBy(names["keep"])
-    return kept.withColumn(names["k"], F.row_number().over(one)).filter(F.col(names["k"]) == 1).select(docs.columns)
+    return kept.withColumn(names["k"], F.row_number().over(one)).filter(F.col(names["k"]) == 1).select(
+        *[F.col(f"`{c}`") for c in docs.columns]
+    )
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -89,6 +89,8 @@ def _pieces(path: str, row: int, after: int | None, groups: int, with_ids: bool)
                 ]
                 names = ["g", "doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
+                    if len(ids) and int(ids.max()) > 0xFFFF:
+                        raise ValueError("matrices hold 16-bit ids; this tokenizer has larger ones")
                     columns.append(pa.array([ids[x:y].astype("<u2").tobytes() for x, y in zip(lo, hi)], pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)

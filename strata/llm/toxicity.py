@@ -175,7 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     odds = counts.get(1, 0) / counts[0] if counts.get(0) else None
     fits = sizes.filter(F.col("n").between(1, SAMPLE_CHARS)).join(known.distinct(), "doc_id")
     picked = [
-        fits.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("doc_id", "y")
+        fits.filter(F.col("y") == y).select("doc_id", "y").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         for y in (0, 1)
     ]
     ids = picked[0].unionByName(picked[1])  # 2 * SAMPLE rows of two numbers at most
@@ -183,6 +183,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
         docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"))
         .filter(F.length("text").between(1, SAMPLE_CHARS))
         .join(F.broadcast(ids), "doc_id")
+        .groupBy("doc_id", "y")
+        .agg(F.min("text").alias("text"))  # of rows that share a doc_id, one
         .collect()
     )
     rows.sort(key=lambda r: (r["doc_id"], r["y"], r["text"]))
@@ -190,10 +192,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 
 # --- scoring -------------------------------------------------------------------
-def score_column(df: DataFrame, model: Model | None, name: str) -> DataFrame:
-    """``df`` with the score of its string column ``__text`` as ``name``."""
+def score_column(df: DataFrame, model: Model | None, name: str, text: str) -> DataFrame:
+    """``df`` with the score of its string column ``text`` as ``name`` in its place."""
     if model is None:
-        return df.withColumn(name, F.lit(0.0)).drop("__text")
+        return df.withColumn(name, F.lit(0.0)).drop(text)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one, two = compressor(model.ordinary), compressor(model.toxic)
@@ -204,7 +206,7 @@ def score_column(df: DataFrame, model: Model | None, name: str) -> DataFrame:
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     udf = F.arrow_udf(run, "double")
-    return df.withColumn(name, udf(F.col("__text"))).drop("__text")
+    return df.withColumn(name, udf(F.col(text))).drop(text)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -221,16 +223,20 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     doc_id = docs["doc_id"].cast("long")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     held_out = F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
-    rows = docs.select(doc_id.alias("doc_id"), held_out.alias("held_out"), text.alias("__text"))
-    return score_column(rows, model, "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = docs.select(doc_id.alias("doc_id"), held_out.alias("held_out"), text.alias("text"))
+    return score_column(rows, model, "score", "text").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows predicted toxic, all columns kept."""
+    """``docs`` without the rows predicted toxic, all columns kept.  Null and empty
+    texts are scored as one empty window, rows with equal texts go or stay together,
+    and without toxic or without ordinary labels, or on an empty table, none goes."""
     common.prepare(docs.sparkSession)
     model = learn(docs, labels)
-    marked = docs.withColumn("__text", F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return score_column(marked, model, "__score").filter("__score < 0.5").select(docs.columns)
+    text, score = common.fresh(docs, "scored_text", "score")
+    marked = docs.withColumn(text, F.coalesce(docs["text"].cast("string"), F.lit("")))
+    scored = score_column(marked, model, score, text)
+    return scored.filter(F.col(score) < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

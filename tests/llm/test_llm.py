@@ -380,3 +380,25 @@ def test_license_scan_parts_comments_at_bare_marks(spark, mark):
     some = spark.createDataFrame([(1, text), (2, text.replace(f"\n{mark}\n", "\n\n"))], "doc_id long, text string")
     got = {r["doc_id"]: (r["license"], r["dice"], r["n_matches"]) for r in licenses.scan_licenses(some).collect()}
     assert got[1] == got[2] == ("GPL-3.0", 1.0, 1)
+
+
+def test_columns_named_like_ours_come_back_untouched(spark, docs):
+    extra = {n: F.lit(7) for n in ("__text", "__score", "score", "scored_text", "__sha", "__id", "sha", "own_id", "keep", "k", "of")}
+    rows = docs.withColumns(extra)
+    labels = spark.createDataFrame([(8, 1), (9, 0), (11, 0), (1, 1)], "doc_id long, toxic int")
+    for out in (toxicity.drop_toxic(rows, labels), exact.drop_copies(rows), minhash.drop_near_copies(rows)):
+        assert out.columns == rows.columns
+        assert out.select(*extra).distinct().collect() == [(7,) * len(extra)]
+
+
+def test_rows_that_share_a_doc_id_are_one_in_the_fit(spark):
+    docs = spark.createDataFrame([(8, f"some words {k}") for k in range(300)] + [(9, "other words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(8, 1), (8, 1), (9, 0)], "doc_id long, toxic int")
+    seen = []
+    fit = toxicity.fit
+    toxicity.fit = lambda texts, y, odds: seen.append((len(texts), sorted(y))) or fit(texts, y, odds)
+    try:
+        toxicity.learn(docs, labels)
+    finally:
+        toxicity.fit = fit
+    assert seen == [(2, [0, 1])]
