@@ -146,7 +146,7 @@ def test_compact_silver_write_packs_small_inputs(spark, work):
     silver = demo_silver(spark, SF001).repartition(20)
     write_silver(silver, f"{work}/loose")
     write_silver(silver, f"{work}/packed", compact=True)
-    files = lambda d: len(glob.glob(f"{work}/{d}/*/*/*/*.parquet".replace("file:", "")))
+    files = lambda d: len(glob.glob(f"{work}/{d}/w=*/*/*/*/*.parquet".replace("file:", "")))
     assert files("packed") < files("loose")
     assert read_silver(spark, f"{work}/packed").count() == read_silver(spark, f"{work}/loose").count()
 
