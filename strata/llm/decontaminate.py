@@ -3,14 +3,16 @@ in Spark's own operators only.
 
 Items are partitioned by size: the partition of sizes [2**k, 2**(k+1)) gives each
 of its items a bottom-m MinHash sketch, its m smallest shingle hashes, with m one
-more than the most shingles that an item of the partition may lack.  A document
-that contains the item to the threshold therefore holds at least one shingle of the
-sketch: no contaminated document is missed, whatever its length.  Candidates are
-then verified by exact containment, the number of the item's distinct shingles
-found in the document.
-
-The index has a row per item shingle.  It is broadcast only below a counted number
-of rows; beyond it the shingles of documents and index meet in a shuffled join.
+more than the most shingles that an item of the partition may lack.  An item of n
+shingles that may lack l of them is a candidate of each document that holds m - l of
+its sketch: a document that contains the item to the threshold always does, whatever
+its length, so none is missed.  Only the sketches are searched for in all documents;
+candidates are then verified by exact containment, joining their items' shingles with
+the distinct shingles of the candidate documents alone.
+
+The sketches have a row per sketched shingle.  They are broadcast only below a counted
+number of rows; beyond it the shingles of documents and sketches meet in a shuffled
+join.
 """
 
 from __future__ import annotations
@@ -41,8 +43,9 @@ def _shingles(w: str, size: int) -> Column:
 
 
 def item_index(items: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """(item_id, size, hash, n_shingles, sketched): an item's distinct shingles of
-    ``least(shingle, its words)`` words, and which of them are in its sketch."""
+    """(item_id, size, hash, n_shingles, sketched, need): an item's distinct shingles of
+    ``least(shingle, its words)`` words, which of them are in its sketch, and how many
+    of the sketch a document that contains the item holds at least."""
     item = items.select(items["item_id"].cast("long").alias("item_id"), words(items["text"]).alias("w"))
     item = item.filter(F.size("w") > 0)
     parts = [
@@ -54,11 +57,53 @@ def item_index(items: DataFrame, threshold: float, shingle: int) -> DataFrame:
     distinct = reduce(DataFrame.unionByName, parts).distinct()
     own = Window.partitionBy("item_id", "size")
     upper = F.pow(F.lit(2.0), F.floor(F.log2("n_shingles")) + 1) - 1  # largest size of the partition
-    lacking = F.floor(F.lit(1.0 - threshold) * upper + F.lit(1e-9))
+    lacking = lambda n: F.floor(F.lit(1.0 - threshold) * n + F.lit(1e-9))
+    sketch = F.least(F.col("n_shingles"), lacking(upper) + 1)
     return (
         distinct.withColumn("n_shingles", F.count(F.lit(1)).over(own))
         .withColumn("rank", F.row_number().over(own.orderBy(F.xxhash64("hash", F.lit(7)), "hash")))
-        .select("item_id", "size", "hash", "n_shingles", (F.col("rank") <= lacking + 1).cast("int").alias("sketched"))
+        .withColumn("sketched", F.col("rank") <= sketch)
+        .withColumn("need", F.greatest(F.lit(1), sketch - lacking(F.col("n_shingles"))))
+        .select("item_id", "size", "hash", "n_shingles", "sketched", "need")
+    )
+
+
+def _exploded(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """``rows``' other columns with (size, hash) of every shingle of their words ``w``."""
+    other = [c for c in rows.columns if c != "w"]
+    return reduce(
+        DataFrame.unionByName,
+        [rows.select(*other, F.lit(n).alias("size"), F.explode(_shingles("w", n)).alias("hash")) for n in sizes],
+    )
+
+
+def candidates(docs: DataFrame, index: DataFrame, sizes: list[int], small: bool) -> DataFrame:
+    """Pairs (did, th, doc_id, item_id, size, n_shingles) whose document holds enough of
+    the item's sketch."""
+    sketches = index.filter("sketched").select("item_id", "size", "hash", "n_shingles", "need")
+    rows = common.keyed(docs, words(docs["text"]).alias("w")).select("doc_id", "did", "th", "w")
+    return (
+        _exploded(rows, sizes)
+        .join(F.broadcast(sketches) if small else sketches, ["size", "hash"])
+        .groupBy("did", "th", "doc_id", "item_id", "size", "n_shingles", "need")
+        .agg(F.countDistinct("hash").alias("held"))
+        .filter("held >= need")
+        .drop("held", "need")
+    )
+
+
+def verified(docs: DataFrame, index: DataFrame, pairs: DataFrame, sizes: list[int]) -> DataFrame:
+    """``pairs`` with n_found, the number of the item's distinct shingles in the document."""
+    item = index.select(F.col("item_id").alias("of"), F.col("size").alias("of_size"), "hash")
+    same = pairs["item_id"].eqNullSafe(item["of"]) & (pairs["size"] == item["of_size"])
+    wanted = pairs.join(item, same).drop("of", "of_size")
+    rows = common.keyed(docs).join(pairs.select("did", "th").distinct(), ["did", "th"], "left_semi")
+    rows = rows.select("did", "th", words(F.col("text")).alias("w"))
+    held = _exploded(rows, sizes).distinct()
+    return (
+        wanted.join(held, ["did", "th", "size", "hash"])
+        .groupBy("did", "th", "doc_id", "item_id", "size", "n_shingles")
+        .agg(F.count(F.lit(1)).alias("n_found"))
     )
 
 
@@ -77,23 +122,11 @@ def contaminated(
     text.
     """
     index = common.materialize(item_index(items, threshold, shingle), "items")
-    stats = {r["size"]: r["n"] for r in index.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
-    small = sum(stats.values()) <= BROADCAST_ROWS
-    probe = F.broadcast(index) if small else index
-    rows = common.keyed(docs, words(docs["text"]).alias("w"))
-    hits = [
-        rows.select("doc_id", "did", "th", F.lit(size).alias("size"), F.explode(_shingles("w", size)).alias("hash"))
-        .join(probe, ["size", "hash"])
-        .select("doc_id", "did", "th", "item_id", "hash", "n_shingles", "sketched")
-        for size in sorted(stats) or [shingle]
-    ]
-    found = (
-        reduce(DataFrame.unionByName, hits)
-        .groupBy("did", "th", "doc_id", "item_id", "n_shingles")
-        .agg(F.max("sketched").alias("candidate"), F.countDistinct("hash").alias("n_found"))
-    )
+    stats = {r["size"]: r["n"] for r in index.groupBy("size").agg(F.count(F.when(F.col("sketched"), 1)).alias("n")).collect()}
+    sizes = sorted(stats) or [shingle]
+    pairs = common.materialize(candidates(docs, index, sizes, sum(stats.values()) <= BROADCAST_ROWS), "candidates")
     return (
-        found.filter("candidate = 1")
+        verified(docs, index, pairs, sizes)
         .withColumn("containment", F.col("n_found") / F.col("n_shingles"))
         .filter(F.col("containment") >= threshold)
         .select("did", "th", "doc_id", "item_id", "n_shingles", "n_found", "containment")

@@ -2,9 +2,11 @@
 
 Copies are first folded inside each map task and salt (a two-phase aggregate keyed
 by the normalised text itself), so a text that a third of all rows hold sends a
-few rows on.  Sampled splitters then range-partition the distinct texts, each
-partition is sorted externally, which places equals side by side, and a window
-over neighbouring equal texts (full comparisons) keeps the smallest identifier.
+few rows on.  Sampled splitters then range-partition the distinct texts by their
+first characters and a hash, so the sample that reaches the driver is of short keys
+whatever the length of the texts; each partition is sorted externally by key and
+whole text, which places equals side by side, and a window over neighbouring equal
+texts (full comparisons) keeps the smallest identifier.
 The decision travels back to the rows by the text's SHA-256.
 """
 
@@ -17,6 +19,8 @@ from strata.llm import common
 
 #: Partial rows of one text per map task: bounds what meets in one sort group.
 SALTS = 16
+#: Leading characters of a text in its sort key; texts that share them part by hash.
+HEAD = 32
 
 
 def normalised(text: Column) -> Column:
@@ -34,8 +38,9 @@ def text_classes(docs: DataFrame) -> DataFrame:
     folded = (
         _rows(docs).groupBy("norm", salt).agg(F.min("doc_id").alias("lo"), F.count(F.lit(1)).alias("n"))
     )
-    ranged = folded.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "norm")
-    equal = Window.partitionBy("norm")
+    keys = folded.withColumns({"head": F.substring("norm", 1, HEAD), "hash": F.xxhash64("norm")})
+    ranged = keys.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "head", "hash")
+    equal = Window.partitionBy("head", "hash", "norm")
     first = F.row_number().over(equal.orderBy(F.col("lo").asc_nulls_last(), "salt"))
     return (
         ranged.select("norm", F.col("lo").alias("keep_id"), F.sum("n").over(equal).alias("group_size"), first.alias("k"))
