@@ -1,5 +1,6 @@
 """Contract enforcement (K8): the NOT NULL and VARCHAR(n) limits a warehouse
-applies at load, checked from ``StructField`` nullability and metadata."""
+applies at load, checked from ``StructField`` nullability and metadata. A
+VARCHAR(n) holds n bytes of UTF-8, as the warehouse counts them."""
 
 from __future__ import annotations
 
@@ -17,7 +18,7 @@ def contract_checks(contract: T.StructType) -> list[tuple[str, str, int | None,
             out.append((f.name, "not_null", None, c.isNotNull()))
         n = (f.metadata or {}).get("max_length")
         if n:
-            out.append((f.name, "max_length", int(n), c.isNull() | (F.length(c) <= F.lit(n))))
+            out.append((f.name, "max_length", int(n), c.isNull() | (F.octet_length(c) <= F.lit(n))))
     return out
 
 

@@ -133,22 +133,26 @@ UNION ALL SELECT 'dim_date', count(*) FROM dim_date
 UNION ALL SELECT 'dim_zone', count(*) FROM dim_zone""")
 
 
-def _contract_sql() -> str:
-    from strata.contracts import FACT as _FACT
-
-    parts = []
-    for f in _FACT.fields:
-        if not f.nullable:
-            parts.append(f"SELECT 'fact_fhvhv_trips' AS table_name, '{f.name}' AS column_name, 'not_null' AS check_name,"
-                         f" CAST(NULL AS INTEGER) AS limit_value, count(*) FILTER (WHERE {f.name} IS NULL) AS violations FROM fact")
-        n = (f.metadata or {}).get("max_length")
-        if n:
-            parts.append(f"SELECT 'fact_fhvhv_trips', '{f.name}', 'max_length', {n},"
-                         f" count(*) FILTER (WHERE {f.name} IS NOT NULL AND length({f.name}) > {n}) FROM fact")
-    return O.star_sql("\nUNION ALL\n".join(parts))
-
-
-ORACLE["contract_violations"] = _contract_sql()
+# The limits of the fact contract.
+FACT_LIMITS = {"trip_id": 64, "dispatching_base_num": 32, "affiliated_base_number": 32,
+               "source_file": 512, "source_run_id": 128}
+
+
+def _contract_sql(table: str, extra: tuple[str, ...] = ()) -> str:
+    parts = [f"SELECT 'fact_fhvhv_trips' AS table_name, 'trip_id' AS column_name, 'not_null' AS check_name,"
+             f" CAST(NULL AS INTEGER) AS limit_value, count(*) FILTER (WHERE trip_id IS NULL) AS violations FROM {table}"]
+    parts += [f"SELECT 'fact_fhvhv_trips', '{name}', 'max_length', {n},"
+              f" count(*) FILTER (WHERE {name} IS NOT NULL AND strlen({name}) > {n}) FROM {table}"
+              for name, n in FACT_LIMITS.items()]
+    return O.star_sql("\nUNION ALL\n".join(parts), extra=extra)
+
+
+ORACLE["contract_violations"] = _contract_sql("fact")
+ORACLE["contract_violations_found"] = _contract_sql("broken", extra=("""broken AS (SELECT * REPLACE (
+  CASE WHEN pickup_hour = 4 THEN NULL ELSE trip_id END AS trip_id,
+  CASE WHEN pickup_hour = 5 THEN repeat('\u00e9', 20) ELSE dispatching_base_num END AS dispatching_base_num,
+  CASE WHEN pickup_hour = 6 THEN repeat('e', 32) WHEN pickup_hour = 7 THEN repeat('e', 33)
+       ELSE affiliated_base_number END AS affiliated_base_number) FROM fact)""",))
 ORACLE["dq_results_store"] = O.silver_sql(
     outcomes_sql(bronze_ruleset(), "raw") + "\nUNION ALL\n" + outcomes_sql(silver_ruleset(), "silver"))
 ORACLE["upsert_dim_zone"] = O.star_sql("""
@@ -261,6 +265,15 @@ ORACLE["job_metrics"] = RUNS_CTE + """
 SELECT bucket_start, bucket_start + INTERVAL 5 MINUTE AS bucket_end, job, CAST(sum(elapsed_ms) AS BIGINT) AS elapsed_ms,
   CAST(sum(tasks) AS BIGINT) AS completed_tasks, CAST(sum(bytes_read) AS BIGINT) AS bytes_read
 FROM b GROUP BY bucket_start, job"""
+ORACLE["event_log_steps"] = """
+WITH t AS (
+  SELECT event_id % 97 % 7 AS step, event_id, epoch_us(ts) // 1000 AS launched,
+    CAST(floor(value * 1000) AS BIGINT) AS ms, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
+  FROM events)
+SELECT make_timestamp(min(launched) * 1000) AS ts, 'trips' AS pipeline, 'step_' || step AS job,
+  CAST(NULL AS VARCHAR) AS status, CAST(max(launched + ms) - min(launched) AS BIGINT) AS elapsed_ms,
+  count(*) FILTER (WHERE event_id % 4 <= 1) AS tasks, CAST(sum(k) * 65536 AS BIGINT) AS bytes_read
+FROM t GROUP BY step"""
 ORACLE["rule_outcome_series"] = O.silver_sql(f"""
 SELECT CAST(pickup_date AS TIMESTAMP) + to_hours(pickup_hour) AS bucket_start,
   CAST(pickup_date AS TIMESTAMP) + to_hours(pickup_hour + 1) AS bucket_end, ruleset,

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.sources.event_log import group_tasks
+
 
 def _bucket(ts: str, every: str):
     return F.window(ts, every).alias("w")
@@ -70,14 +72,35 @@ def executions(log: DataFrame) -> DataFrame:
     return log.filter(F.col("job") == EXECUTION)
 
 
+STEP_GROUP = r"^strata-(.*)-[0-9a-f]{8}$"  # job group of a logged step
+
+
+def steps_from_events(events: DataFrame, pipeline: str = "trips") -> DataFrame:
+    """Run-log rows (input of O3) of every step found in Spark's own event log, with
+    the tasks and bytes of all its stages, however many the status tracker keeps.
+    A step's time runs from its first task to its last; one that ran no task has no
+    row. The status of a step is not in the event log and stays null."""
+    job = F.regexp_extract("job_group", STEP_GROUP, 1)
+    return group_tasks(events).filter(F.col("job_group").rlike(STEP_GROUP)).select(
+        F.timestamp_millis("launched").cast("timestamp_ntz").alias("ts"),
+        F.lit(pipeline).alias("pipeline"),
+        job.alias("job"),
+        F.lit(None).cast("string").alias("status"),
+        (F.col("finished") - F.col("launched")).alias("elapsed_ms"),
+        "tasks",
+        "bytes_read",
+    )
+
+
 class RunLogger:
     """Time a run and its steps and append one run-log row for each. A step whose
     gate failed is FAILED, and so is the run it stopped, raised or not.
 
     Each step runs under its own Spark job group, so the completed task count
     is read from the public status tracker; bytes read are not exposed to
-    Python and stay null. The rows are a handful of per-step metadata values,
-    written with one small append at ``flush``.
+    Python and stay null (``steps_from_events`` has both, from the event log). The
+    rows are a handful of per-step metadata values, written with one small append
+    at ``flush``.
     """
 
     def __init__(self, spark, path: str | None, pipeline: str = "trips"):

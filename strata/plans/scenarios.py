@@ -18,6 +18,7 @@ from strata.contracts import FACT, SILVER_PARTITIONS
 from strata.operators import quality as Q
 from strata.operators.aggregates import batch_counts
 from strata.operators.contract import contract_report
+from strata.sources.event_log import read_event_log
 from strata.operators.derive import enriched_trips, prepare_bronze, silver_columns, to_silver
 from strata.operators.dims import build_star, cluster_fact
 from strata.operators.filters import rejected_trips, unresolved, unresolved_predicate, validity_predicate
@@ -314,6 +315,20 @@ def contract_violations(spark, sf_dir):
     return contract_report(demo_star(spark, sf_dir)["fact_fhvhv_trips"], FACT, "fact_fhvhv_trips")
 
 
+@register("contract_violations_found")
+def contract_violations_found(spark, sf_dir):
+    """The same report over a fact that breaks it: keys missing, and codes whose bytes
+    are beyond the limit, also where their characters are not (K8)."""
+    hour, accent = F.col("pickup_hour"), F.lit("\u00e9")
+    broken = demo_star(spark, sf_dir)["fact_fhvhv_trips"].withColumns({
+        "trip_id": F.when(hour == 4, None).otherwise(F.col("trip_id")),
+        "dispatching_base_num": F.when(hour == 5, F.repeat(accent, 20)).otherwise(F.col("dispatching_base_num")),
+        "affiliated_base_number": F.when(hour == 6, F.repeat(F.lit("e"), 32)).when(
+            hour == 7, F.repeat(F.lit("e"), 33)).otherwise(F.col("affiliated_base_number")),
+    })
+    return contract_report(broken, FACT, "fact_fhvhv_trips")
+
+
 @register("dq_results_store")
 def dq_results_store(spark, sf_dir):
     """Rule outcomes appended per ruleset and read back."""
@@ -620,6 +635,15 @@ def job_metrics(spark, sf_dir):
     return runlog.job_metrics(sample.run_log(spark, sf_dir))
 
 
+@register("event_log_steps")
+def event_log_steps(spark, sf_dir):
+    """Steps read out of Spark's event log (O3's input): the log is derived from
+    ``events``, a finished task each, over 97 stages of seven steps."""
+    path = _work(spark, "event_log")
+    sample.event_log(spark, sf_dir).write.text(f"{path}/eventlog_v2_app-1")
+    return runlog.steps_from_events(read_event_log(spark, path))
+
+
 @register("rule_outcome_series")
 def rule_outcome_series(spark, sf_dir):
     """Silver rules evaluated per pickup hour (one grouped aggregate), then

@@ -105,3 +105,33 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         tasks.alias("tasks"),
         (tasks * 65536).alias("bytes_read"),
     )
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a Spark event log standing in for a run's own: one finished task per
+    event (stage ``event_id % 97``, launched at ``ts``, ``floor(value * 1000)`` ms long,
+    successful if ``event_id % 4`` is 0 or 1, bytes read as in :func:`run_log`), and the
+    submission of each stage in the job group of step ``stage % 7``."""
+    rows = table(spark, sf_dir, "events")
+    stage = F.col("event_id") % 97
+    start = F.unix_millis(F.col("ts").cast("timestamp"))
+    ok = F.when(F.col("event_id") % 4 <= 1, "Success").otherwise("ExceptionFailure")
+    read = F.get_json_object("props", "$.k").cast("long") * 65536
+    task = F.struct(
+        F.lit("SparkListenerTaskEnd").alias("Event"),
+        stage.alias("Stage ID"),
+        F.lit(0).alias("Stage Attempt ID"),
+        F.struct(ok.alias("Reason")).alias("Task End Reason"),
+        F.struct(
+            start.alias("Launch Time"), (start + F.floor(F.col("value") * 1000).cast("long")).alias("Finish Time")
+        ).alias("Task Info"),
+        F.struct(F.struct(read.alias("Bytes Read")).alias("Input Metrics")).alias("Task Metrics"),
+    )
+    group = F.format_string("strata-step_%d-%08x", F.col("stage") % 7, F.col("stage") % 7)
+    submitted = F.struct(
+        F.lit("SparkListenerStageSubmitted").alias("Event"),
+        F.struct(F.col("stage").alias("Stage ID"), F.lit(0).alias("Stage Attempt ID")).alias("Stage Info"),
+        F.struct(group.alias("spark.jobGroup.id")).alias("Properties"),
+    )
+    stages = rows.select(stage.alias("stage")).distinct()
+    return rows.select(F.to_json(task).alias("value")).unionByName(stages.select(F.to_json(submitted).alias("value")))
