@@ -269,6 +269,10 @@ def license_matches(
     placed = _windows(docs, templates).select(*columns).toDF(*pairs.columns)
     pairs = pairs.unionByName(placed)
     pairs = pairs.join(F.broadcast(table), "template_id").filter(F.arrays_overlap("own", "bigrams"))
+    # The distinct bigrams in common, and all repeats that the template has, bound the
+    # coefficient from above; the count by pairs is left to those that can reach it.
+    most = F.size(F.array_intersect("own", "bigrams")) + F.col("size") - F.size("bigrams")
+    pairs = pairs.filter(2 * most >= F.lit(threshold) * (F.col("unit_size") + F.col("size")) - 1e-9)
     each = F.zip_with("bigrams", "counts", lambda b, c: F.least(c, F.size(F.filter("own", lambda x: x == b))))
     common_n = F.aggregate(each, F.lit(0), lambda a, x: a + x)
     near = pairs.withColumn("dice", 2 * common_n / (F.col("unit_size") + F.col("size"))).filter(F.col("dice") >= threshold)
