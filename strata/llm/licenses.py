@@ -11,13 +11,17 @@ template.  Texts are lower-cased and everything but letters and digits parts wor
 bag: with a and b bigrams the coefficient is 2 * common / (a + b), so it can reach
 t only if t / (2 - t) * b <= a <= (2 - t) / t * b.  A unit's size, the number of
 its bigrams, is joined with the sizes that each template admits; only those pairs
-are compared.  Of a unit's matches the closest licence alone counts, so a GPL-2 header
+are compared.  A match lacks at most (2 - 2t) / (2 - t) of a template's bigrams, so of
+any larger part of them a unit holds at least one: that part, the template's longest
+bigrams, is its telling part, and texts, then units, then pairs without a bigram of
+it are left out before anything is counted.  Of a unit's matches the closest licence alone counts, so a GPL-2 header
 is not a GPL-3 one too; two licences closer than MARGIN leave the unit undecided unless
 one matches it word for word.  The table of sizes depends on the templates alone.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -143,6 +147,21 @@ def anchors(text: str) -> list[tuple[int, str]]:
     return [(j, own[j]) for j in best]
 
 
+def telling(text: str, threshold: float) -> list[str]:
+    """The longest bigrams of a template, one more (with repeats) than a unit that
+    reaches ``threshold`` may lack: such a unit holds at least one of them."""
+    bag = bigrams(text)
+    size = sum(bag.values())
+    spare = math.floor(size * (2 - 2 * threshold) / (2 - threshold) + 1e-9)
+    out, held = [], 0
+    for mark in sorted(bag, key=lambda b: (-len(_longer(b)), -len(b), b)):
+        if held > spare:
+            break
+        out.append(mark)
+        held += bag[mark]
+    return out
+
+
 def _words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
@@ -150,9 +169,9 @@ def _words(text: Column) -> Column:
 def template_tables(
     spark: SparkSession, templates: dict[str, list[str]], threshold: float
 ) -> tuple[DataFrame, DataFrame]:
-    """(template_id, license, bigrams, counts, size) and (template_id, unit_size):
-    every unit size that can reach ``threshold`` with the template."""
-    texts = [(name, bigrams(text)) for name, own in templates.items() for text in own]
+    """(template_id, license, bigrams, counts, size, telling) and (template_id,
+    unit_size): every unit size that can reach ``threshold`` with the template."""
+    texts = [(name, bigrams(text), telling(text, threshold)) for name, own in templates.items() for text in own]
     structs = [
         F.struct(
             F.lit(k).alias("template_id"),
@@ -160,8 +179,9 @@ def template_tables(
             F.array(*map(F.lit, bag)).alias("bigrams"),
             F.array(*map(F.lit, bag.values())).alias("counts"),
             F.lit(sum(bag.values())).alias("size"),
+            F.array(*map(F.lit, marks)).alias("telling"),
         )
-        for k, (name, bag) in enumerate(texts)
+        for k, (name, bag, marks) in enumerate(texts)
     ]
     table = spark.range(1).select(F.inline(F.array(*structs)))
     least = F.ceil(F.lit(threshold / (2 - threshold)) * F.col("size") - 1e-9)
@@ -172,9 +192,41 @@ def template_tables(
     return table, sizes
 
 
-def license_units(docs: DataFrame) -> DataFrame:
-    """(did, th, unit, words): the lines, paragraphs and whole texts to compare."""
-    rows = common.keyed(docs).select("did", "th", F.regexp_replace("text", r"\r\n?", "\n").alias("text"))
+def _bigrams(w: str) -> Column:
+    """The bigrams of an array of two words or more; not nullable, or the planner
+    would test it for null on every unit."""
+    each = F.transform(
+        F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(F.col(w), i), F.get(F.col(w), i + 1))
+    )
+    return F.coalesce(each, F.array().cast("array<string>"))
+
+
+def _hinted(rows: DataFrame, marks: list[str]) -> DataFrame:
+    """Of ``rows`` with their words as ``w`` those that hold one of the bigrams
+    ``marks``, with all bigrams as ``own``.  The longer words of ``marks`` are looked
+    for first, as no bigram need be built for that.
+
+    explode(array(x)) works x out once a row; inlined, it would be worked out again
+    wherever it is used."""
+    words = F.array(*map(F.lit, sorted({_longer(mark) for mark in marks})))
+    rows = rows.filter((F.size("w") >= 2) & F.arrays_overlap("w", words))
+    rows = rows.select("*", F.explode(F.array(_bigrams("w"))).alias("own"))
+    return rows.filter(F.arrays_overlap("own", F.array(*map(F.lit, marks))))
+
+
+def hinted_documents(docs: DataFrame, templates: dict[str, list[str]], threshold: float) -> DataFrame:
+    """(did, th, text, w) of the documents that hold a telling bigram of any template;
+    no other document can hold a matching unit, as units part texts between words."""
+    marks = sorted({mark for own in templates.values() for text in own for mark in telling(text, threshold)})
+    rows = common.keyed(docs).select("did", "th", "text")
+    rows = rows.select("*", F.explode(F.array(F.split(_words(F.col("text")), " "))).alias("w"))
+    return _hinted(rows, marks).drop("own")
+
+
+def license_units(rows: DataFrame) -> DataFrame:
+    """(did, th, unit, words): the lines, paragraphs and whole texts of
+    :func:`hinted_documents` to compare."""
+    rows = rows.select("did", "th", F.regexp_replace("text", r"\r\n?", "\n").alias("text"))
     lines = F.split("text", "\n")
     parts = F.split("text", r"\n[ \t]*\n\s*")
     longer = F.filter(parts, lambda p: F.contains(F.trim(p), F.lit("\n")))
@@ -196,14 +248,13 @@ def license_units(docs: DataFrame) -> DataFrame:
     )
 
 
-def _windows(docs: DataFrame, templates: dict[str, list[str]]) -> DataFrame:
+def _windows(rows: DataFrame, templates: dict[str, list[str]]) -> DataFrame:
     """(did, th, unit, at, template_id, w): the windows at the anchors of templates.
 
-    Texts without the longer word of any anchor are left out before their bigrams are
-    looked at. A window at an end of the text is moved into it."""
+    Texts without the longer word of any anchor are left out first. A window at an end of the text is moved into it."""
     texts = [text for own in templates.values() for text in own]
     marks = [(k, j, mark, len(template_bigrams(t))) for k, t in enumerate(texts) for j, mark in anchors(t)]
-    telling = sorted({_longer(mark) for _, _, mark, _ in marks})
+    leads = sorted({_longer(mark) for _, _, mark, _ in marks})
     known = F.array(
         *(
             F.struct(
@@ -217,11 +268,8 @@ def _windows(docs: DataFrame, templates: dict[str, list[str]]) -> DataFrame:
             for k, j, mark, size in marks
         )
     )
-    words = F.array(*map(F.lit, telling))
-    # explode(array(x)) works x out once a row; inlined, it would be worked out again
-    # for every element of the arrays below.
-    rows = common.keyed(docs).select("did", "th", F.explode(F.array(F.split(_words(F.col("text")), " "))).alias("w"))
-    rows = rows.filter(F.arrays_overlap("w", words))
+    words = F.array(*map(F.lit, leads))
+    rows = rows.select("did", "th", "w").filter(F.arrays_overlap("w", words))
     spots = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: F.array_contains(words, s["x"]))
     rows = rows.select("did", "th", "w", F.explode(F.array(spots)).alias("spots"))
 
@@ -244,7 +292,7 @@ def _windows(docs: DataFrame, templates: dict[str, list[str]]) -> DataFrame:
     )
     return rows.select("did", "th", F.explode(cut).alias("v")).select(
         "did", "th", F.lit("window").alias("unit"), F.col("v.at").cast("string").alias("at"), "v.template_id", "v.w"
-    ).filter(F.size("w") >= 2)
+    )
 
 
 def license_matches(
@@ -253,22 +301,16 @@ def license_matches(
     """Units that reach ``threshold`` with a template, of the closest licence of each
     unit: did, th, unit, template_id, license, dice, size (the template's bigrams)."""
     table, sizes = template_tables(docs.sparkSession, templates, threshold)
-    # Each array is a column below a join, so no expression is worked out again
-    # for every element of another.
-    units = license_units(docs).withColumns({"w": F.split("words", " "), "at": F.xxhash64("words").cast("string")})
-    units = units.withColumn("unit_size", F.size("w") - 1)
-    bigram = F.transform(
-        F.sequence(F.lit(0), F.size("w") - 2),
-        lambda i: F.concat_ws(" ", F.get(F.col("w"), i), F.get(F.col("w"), i + 1)),
-    )
-    # Not nullable, or the planner would test it for null on every unit.
-    bigram = F.coalesce(bigram, F.array().cast("array<string>"))
-    sized = units.join(F.broadcast(sizes), "unit_size")
-    columns = ["did", "th", "unit", "at", F.size("w") - 1, "template_id", bigram.alias("own")]
-    pairs = sized.select(*columns).toDF("did", "th", "unit", "at", "unit_size", "template_id", "own")
-    placed = _windows(docs, templates).select(*columns).toDF(*pairs.columns)
-    pairs = pairs.unionByName(placed)
-    pairs = pairs.join(F.broadcast(table), "template_id").filter(F.arrays_overlap("own", "bigrams"))
+    marks = sorted({mark for own in templates.values() for text in own for mark in telling(text, threshold)})
+    # Written, as units and windows both read them: few texts hold a licence.
+    rows = common.materialize(hinted_documents(docs, templates, threshold), "hinted")
+    units = license_units(rows).withColumns({"w": F.split("words", " "), "at": F.xxhash64("words").cast("string")})
+    units = _hinted(units, marks).withColumn("unit_size", F.size("w") - 1)
+    columns = ["did", "th", "unit", "at", "unit_size", "template_id", "own"]
+    pairs = units.join(F.broadcast(sizes), "unit_size").select(*columns)
+    placed = _hinted(_windows(rows, templates), marks).withColumn("unit_size", F.size("w") - 1)
+    pairs = pairs.unionByName(placed.select(*columns))
+    pairs = pairs.join(F.broadcast(table), "template_id").filter(F.arrays_overlap("own", "telling"))
     # The distinct bigrams in common, and all repeats that the template has, bound the
     # coefficient from above; the count by pairs is left to those that can reach it.
     most = F.size(F.array_intersect("own", "bigrams")) + F.col("size") - F.size("bigrams")
