@@ -38,8 +38,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_substring_dedup": rlz.ORACLE,
     "op5_exact_dedup": exact.ORACLE,
     "op8_decontamination": decontaminate.ORACLE,
+    "op10_near_dedup": minhash.ORACLE,
     "op11_conversation_trie": trie.ORACLE,
     "op13_embedding_dedup": pivots.ORACLE,
 }

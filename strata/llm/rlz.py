@@ -107,3 +107,28 @@ def duplicate_factors(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: repeated 35-word windows of all documents."""
     return duplicate_factors(common.documents(spark, sf_dir)).drop("factor_start", "factor_end")
+
+
+#: The query's rows: every window named, whatever the operator skips.
+ORACLE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), listed AS (
+  SELECT r, list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i : i + 34], ' '))) AS wins FROM docs
+), named AS (
+  SELECT r, unnest(range(1, len(wins) + 1)) AS i, unnest(wins) AS win FROM listed
+), twice AS (
+  SELECT r, i FROM named WHERE win IN (SELECT win FROM named GROUP BY win HAVING count(*) > 1)
+), each AS (
+  SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM docs
+), marked AS (
+  SELECT e.r, e.i, e.word,
+    max(t.i) OVER (PARTITION BY e.r ORDER BY e.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL AS removed
+  FROM each e LEFT JOIN twice t ON e.r = t.r AND e.i = t.i
+), done AS (
+  SELECT r, count(*) FILTER (removed) AS n, string_agg(word, ' ' ORDER BY i) FILTER (NOT removed) AS kept
+  FROM marked GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN done USING (r)
+"""
