@@ -136,6 +136,8 @@ def create_star(spark: SparkSession, schema: str, root: str, fact_table: str = "
 
 # -- publish -------------------------------------------------------------------
 FACT_DIR = "fact_fhvhv_trips"
+KEYS_DIR = "fact_keys"  # the key index: hashes of the fact's trip_ids, by date
+KEY_HASH = "key_hash"
 WRITE = "w"  # partition level of one publish, below a date or a dimension
 NULL_PART = "__HIVE_DEFAULT_PARTITION__"  # fixed: how a null partition value is spelt
 FACT_MODES = ("snapshot", "snapshot_by_date", "partitions")
@@ -186,8 +188,9 @@ def publish_star(
     All modes share one layout. Dimensions are written whole. The fact is kept by
     date, and a publish writes only the dates that it touches; the others are listed
     again in the commit. ``fact_mode`` says how the touched dates are found:
-    ``"snapshot"`` (default) looks for the staged trip_ids in the whole fact, reading
-    their column only, and so needs no assumption; ``"snapshot_by_date"`` and
+    ``"snapshot"`` (default) looks for the staged trip_ids in the key index, eight bytes
+    a row kept beside each date, and so needs no assumption and reads no fact file of
+    another date; ``"snapshot_by_date"`` and
     ``"partitions"`` rely on a trip_id falling in its pickup date, so that only the
     batch's own dates are read at all. Modes may change from one publish to the next.
 
@@ -227,7 +230,8 @@ def _merge_star(spark, staged, root, base, fact_mode, fail_after) -> list[commit
         batch = staged[name].select(*schema.names)
         live = base.parts(name) if base else {}
         if name == FACT_DIR:
-            entries += _merge_fact(spark, batch, root, live, fact_mode, write)
+            indexed = base.parts(KEYS_DIR) if base else {}
+            entries += _merge_fact(spark, batch, root, live, indexed, fact_mode, write)
         else:
             where = f"{name}/{WRITE}={write}"
             upsert(_read_dirs(spark, root, name, live.values()), batch, STAR_KEYS[name]).write.parquet(f"{root}/{where}")
@@ -241,14 +245,43 @@ def _part_of(day) -> str:
     return NULL_PART if day is None else str(day)
 
 
-def touched_parts(fact: DataFrame, keys: DataFrame) -> set[str]:
-    """Dates of the fact that hold a staged trip_id: a semi join of the two columns."""
-    found = fact.select(FACT_PARTITION, "trip_id").join(keys.select("trip_id").distinct(), "trip_id", "left_semi")
-    return {_part_of(r[0]) for r in found.select(FACT_PARTITION).distinct().collect()}
-
-
-def _merge_fact(spark, batch, root, live, fact_mode, write) -> list[commits.Entry]:
-    """Rewrite the touched dates: their rows without the staged trip_ids, and the batch."""
+def key_index(spark: SparkSession, root: str, directories) -> DataFrame:
+    """(date, key_hash) of the fact rows that some index directories stand for."""
+    day = STAR_TABLES[FACT_DIR][FACT_PARTITION]
+    schema, base = T.StructType([T.StructField(KEY_HASH, T.LongType()), day]), root.rstrip("/")
+    paths = sorted(f"{base}/{d}" for d in directories)
+    return spark.read.schema(schema).option("basePath", f"{base}/{KEYS_DIR}").parquet(*paths)
+
+
+def touched_parts(spark: SparkSession, root: str, live: Mapping, indexed: Mapping, keys: DataFrame) -> set[str]:
+    """Dates of the fact that may hold a staged trip_id: a semi join of key hashes.
+
+    Equal trip_ids have equal hashes, so no date is missed; two keys of one hash would
+    rewrite a date that did not change, nothing more. Dates without an index (of
+    versions older than it) are looked through by the trip_id column itself. A null
+    key is in no other row and is not looked for."""
+    probe = keys.filter("trip_id is not null").select(F.xxhash64("trip_id").alias(KEY_HASH)).distinct()
+    rest = [d for part, d in live.items() if part not in indexed]
+    sides = []
+    if indexed:
+        sides.append(key_index(spark, root, indexed.values()))
+    if rest:
+        sides.append(_read_dirs(spark, root, FACT_DIR, rest).select(F.xxhash64("trip_id").alias(KEY_HASH), FACT_PARTITION))
+    found: set[str] = set()
+    for side in sides:
+        days = side.join(probe, KEY_HASH, "left_semi").select(FACT_PARTITION).distinct()
+        found |= {_part_of(r[0]) for r in days.collect()}  # bounded by the calendar
+    return found
+
+
+def _written(folder: commits.Folder, table: str, write: str) -> list[commits.Entry]:
+    names = [name for name, _ in folder.matching(f"{table}/{FACT_PARTITION}=*/{WRITE}={write}")]
+    return [(table, name.split("/")[1].split("=", 1)[1], name) for name in names]
+
+
+def _merge_fact(spark, batch, root, live, indexed, fact_mode, write) -> list[commits.Entry]:
+    """Rewrite the touched dates: their rows without the staged trip_ids, and the
+    batch; then the key index of what was written."""
     scratch = f"{root}/_merge/{write}"
     keys = stage_keys(batch, [FACT_PARTITION, "trip_id"], scratch)
     touched = {_part_of(day) for day in partition_values(keys, FACT_PARTITION)}
@@ -256,24 +289,33 @@ def _merge_fact(spark, batch, root, live, fact_mode, write) -> list[commits.Entr
     if fact_mode == "snapshot":
         on = ["trip_id"]
         if live:
-            touched |= touched_parts(_read_dirs(spark, root, FACT_DIR, live.values()), keys)
+            touched |= touched_parts(spark, root, live, indexed, keys)
     target = _read_dirs(spark, root, FACT_DIR, [d for part, d in live.items() if part in touched])
     merged = upsert(target, batch, on, keys if len(on) > 1 else keys.select(*on).distinct())
-    cluster_fact(merged).withColumn(WRITE, F.lit(write)).write.mode("append").partitionBy(
-        FACT_PARTITION, WRITE
-    ).parquet(f"{root}/{FACT_DIR}")
+    by_date = [FACT_PARTITION, WRITE]
+    cluster_fact(merged).withColumn(WRITE, F.lit(write)).write.mode("append").partitionBy(*by_date).parquet(
+        f"{root}/{FACT_DIR}"
+    )
     folder = commits.Folder(spark, root)
     folder.delete(f"_merge/{write}")
-    written = [name for name, _ in folder.matching(f"{FACT_DIR}/{FACT_PARTITION}=*/{WRITE}={write}")]
-    rewritten = [(FACT_DIR, name.split("/")[1].split("=", 1)[1], name) for name in written]
-    return [(FACT_DIR, part, d) for part, d in live.items() if part not in touched] + rewritten
+    entries = _written(folder, FACT_DIR, write)
+    if entries:  # from the files just written: one column of the touched dates, no shuffle
+        rows = _read_dirs(spark, root, FACT_DIR, [d for _, _, d in entries])
+        hashes = rows.select(FACT_PARTITION, F.xxhash64("trip_id").alias(KEY_HASH), F.lit(write).alias(WRITE))
+        hashes.sortWithinPartitions(FACT_PARTITION, KEY_HASH).write.mode("append").partitionBy(*by_date).parquet(
+            f"{root}/{KEYS_DIR}"
+        )
+        entries += _written(folder, KEYS_DIR, write)
+    kept = [(FACT_DIR, live), (KEYS_DIR, indexed)]
+    return [(table, part, d) for table, own in kept for part, d in own.items() if part not in touched] + entries
 
 
 def expire_star(spark: SparkSession, root: str, *, keep: int = 2, grace_seconds: float = 86_400) -> list[str]:
     """Delete versions but the newest ``keep`` and every directory that none of
     those lists, merge scratch included (see ``commits.expire``)."""
     dims = [f"{name}/{WRITE}=*" for name in STAR_TABLES if name != FACT_DIR]
-    patterns = [*dims, f"{FACT_DIR}/{FACT_PARTITION}=*/{WRITE}=*", "_merge/*", f"{commits.COMMITS}/.*"]
+    facts = [f"{name}/{FACT_PARTITION}=*/{WRITE}=*" for name in (FACT_DIR, KEYS_DIR)]
+    patterns = [*dims, *facts, "_merge/*", f"{commits.COMMITS}/.*"]
     return commits.expire(spark, root, patterns, keep=keep, grace_seconds=grace_seconds)
 
 

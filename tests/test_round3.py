@@ -15,7 +15,7 @@ from strata.plans.run import table_outcomes_incremental
 from strata.plans.scenarios import raw_days, run_star
 from strata.rulesets import silver_ruleset
 from strata.sinks import commits
-from strata.sinks.gold import FACT_DIR, create_star, expire_star, publish_star, read_star
+from strata.sinks.gold import FACT_DIR, KEYS_DIR, create_star, expire_star, publish_star, read_star
 from strata.sinks.silver import expire_silver, write_silver
 from strata.sources.bronze import list_files, read_drifting_bronze, read_drifting_files, schema_groups, widest
 from strata.sources.catalog import catalog_drift, register_table, sync_star
@@ -113,7 +113,7 @@ def test_retention_bounds_the_folder_and_keeps_versions_readable(spark, work):
     assert expire_star(spark, root, keep=2, grace_seconds=0)
     listed = set().union(*(commits.read_commit(spark, root, v).directories() for v in (3, 4)))
     folder = commits.Folder(spark, root)
-    found = {n for p in (f"{FACT_DIR}/*/w=*", "dim_*/w=*", "_merge/*") for n, _ in folder.matching(p)}
+    found = {n for p in (f"{FACT_DIR}/*/w=*", f"{KEYS_DIR}/*/w=*", "dim_*/w=*", "_merge/*") for n, _ in folder.matching(p)}
     assert found == listed and commits.versions(spark, root) == [3, 4]
     assert sorted(fact_of(spark, root).collect(), key=str) == sorted(latest, key=str)
     assert fact_of(spark, root, 3).count() > 0 and read_star(spark, root, 1) is None
