@@ -18,8 +18,9 @@ from tokenizers import Tokenizer
 
 from strata.llm.names import LIMIT, word_bounds, word_codes
 
-CACHE = 1_500_000  # words a worker remembers, as numbers
-PIECES = 300_000  # pieces of words that it remembers besides
+GROUP = LIMIT // 4  # bytes of texts looked up in one go; their arrays take some hundred times that
+CACHE = 400_000  # words a worker remembers, as numbers: most are rare ones that come once
+PIECES = 100_000  # pieces of words that it remembers besides
 
 _MARKS = frozenset(".,;:!?|")
 
@@ -110,7 +111,7 @@ def encode(data: np.ndarray, ends: np.ndarray, path: str, after: int | None):
     n = len(ends) - 1
     at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + LIMIT, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + GROUP, "right")) - 1)
         raw, own = data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
         first, last, words = word_bounds(raw, own)
         codes = word_codes(raw, first, last)

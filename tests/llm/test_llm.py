@@ -2,15 +2,17 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strata.llm import common, decontaminate, exact, language, licenses, minhash, packing, rlz, suffixes, toxicity
+from strata.llm import common, decontaminate, exact, language, licenses, minhash, names, packing, rlz, suffixes, tokens, toxicity
 
 SF001 = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -436,3 +438,22 @@ def test_rows_that_share_a_doc_id_are_one_in_the_fit(spark):
     finally:
         toxicity.fit = fit
     assert seen == [(2, [0, 1])]
+
+
+def test_token_ids_need_little_memory_beside_the_texts():
+    """A worker holds the JVM's limit with others: 2 MB of words and then of rare ones."""
+    path, rng = packing.tokenizer_path(), np.random.default_rng(3)
+    rare = [" ".join(f"q{x:x}" for x in rng.integers(0, 1 << 40, 1_000)) for _ in range(150)]
+    data, ends = common.utf8(pa.array([LONG] * 40 + rare))
+    names._POWERS.clear()
+    tokens.load.cache_clear()
+    tokens.load(path)
+    tracemalloc.start()
+    try:
+        n = sum(len(ids) for _, ids, _ in tokens.encode(data, ends, path, 0))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    one = Tokenizer.from_file(path)
+    assert n == 40 * len(one.encode(LONG).ids) + sum(len(one.encode(t).ids) for t in rare) + 190
+    assert peak < 90e6
