@@ -110,13 +110,8 @@ def _sketcher(size: int):
 def _set_maker(size: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, ends = common.utf8(batch["text"])
-            found = list(shingle_sets(data, ends, size))
-            n, one, two = np.array([_digest(s) for s in found], np.int64).reshape(-1, 3).T
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n), pa.array(one), pa.array(two), pa.array([s.tobytes() for s in found], pa.binary())],
-                names=["rep", "n", "d1", "d2", "shingles"],
-            )
+            found = [s.tobytes() for s in shingle_sets(*common.utf8(batch["text"]), size)]
+            yield pa.RecordBatch.from_arrays([batch["sid"], pa.array(found, pa.binary())], names=["sid", "shingles"])
 
     return sets
 
@@ -279,18 +274,30 @@ def _across_blocks(rows: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFra
     return common.materialize(dealt.groupBy("bucket", "i", "j").applyInArrow(_forest, "a long, b long"), "links")
 
 
+def wanted_sets(rows: DataFrame, wanted: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
+    """(sid, shingles): the set of each row (sid, rep, rep_th, n) of ``wanted``, made again
+    from the text of the row (doc_id, th, text) that has it.  Few texts are wanted, so under
+    :func:`common.bloom_filtered` most of the others are left out before texts move."""
+    same = (rows["doc_id"] == wanted["rep"]) & (rows["th"] == wanted["rep_th"])
+    # the condition holds for all sets; Spark filters only by a side that is itself filtered
+    texts = rows.join(wanted.filter("n > 0"), same).select("sid", "text")
+    made = texts.mapInArrow(_set_maker(size), "sid long, shingles binary")
+    return made.groupBy("sid").agg(F.first("shingles").alias("shingles"))
+
+
 def near_components(docs: DataFrame, size: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(keys, reps, labels): of every row (doc_id, th, n, d1, d2), the hash of its text
     and its set's size and digest; of every distinct set of rows with a doc_id (sid,
-    rep, n, d1, d2, sig), rep being its smallest doc_id; and (node, label), the smallest
-    sid of the component, of those sids that are linked with another (None if none is)."""
+    rep, rep_th, n, d1, d2, sig), rep being its smallest doc_id and rep_th the smallest hash
+    of such a text under it; and (node, label), the smallest sid of the component, of those sids that are linked with another (None if none is)."""
     rows = common.keyed(docs).select("doc_id", F.xxhash64("text").alias("th"), "text")
     sketches = common.materialize(
         rows.mapInArrow(_sketcher(size), "doc_id long, th long, n long, d1 long, d2 long, sig binary"), "sketches"
     )
     reps = sketches.filter("doc_id is not null and n > 0").groupBy("d1", "d2", "n").agg(
-        F.min("doc_id").alias("rep"), F.first("sig").alias("sig")
+        F.min(F.struct("doc_id", "th")).alias("of"), F.first("sig").alias("sig")
     )
+    reps = reps.select("d1", "d2", "n", F.col("of.doc_id").alias("rep"), F.col("of.th").alias("rep_th"), "sig")
     reps = common.materialize(reps.withColumn("sid", F.monotonically_increasing_id()), "reps")
     keys = common.materialize(sketches.drop("sig"), "keys")
     common.discard(sketches)
@@ -299,11 +306,10 @@ def near_components(docs: DataFrame, size: int = SHINGLE_WORDS) -> tuple[DataFra
     active = common.materialize(banded.join(shared.select("bucket"), "bucket").distinct(), "active")
     if active.isEmpty():
         return keys, reps, None
-    wanted = common.materialize(reps.join(active.select("sid").distinct(), "sid").drop("sig"), "wanted")
-    made = rows.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
-    made = made.mapInArrow(_set_maker(size), "rep long, n long, d1 long, d2 long, shingles binary")
-    sets = made.join(wanted, ["rep", "n", "d1", "d2"]).groupBy("sid").agg(F.first("shingles").alias("shingles"))
-    sets = common.materialize(sets, "sets")
+    wanted = reps.join(active.select("sid").distinct(), "sid").select("sid", "rep", "rep_th", "n")
+    wanted = common.materialize(wanted, "wanted")
+    with common.bloom_filtered(rows.sparkSession, wanted.count()):
+        sets = common.materialize(wanted_sets(rows, wanted, size), "sets")
     common.discard(wanted)
 
     labels = None

@@ -153,6 +153,25 @@ def test_near_dedup_of_a_large_bucket(spark, monkeypatch):
     assert 1 < len(set(label)) < 60
 
 
+def test_texts_without_a_wanted_set_are_left_out_before_they_move(spark):
+    rows = spark.range(2_000).selectExpr("id as doc_id", "id * 7 as th", "concat_ws(' ', id, 'a b c d', id) as text")
+    rows = common.materialize(rows, "rows")
+    wanted = rows.filter("doc_id % 100 = 3").selectExpr("doc_id + 9 as sid", "doc_id as rep", "th as rep_th", "1L as n")
+    wanted = common.materialize(wanted, "wanted")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with common.bloom_filtered(spark, wanted.count()):
+            sets = minhash.wanted_sets(rows, wanted)
+            plan = sets._jdf.queryExecution().toString()
+            got = {r["sid"]: len(r["shingles"]) for r in sets.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "might_contain" in plan
+    assert got == {k + 9: 8 * 3 for k in range(3, 2_000, 100)}
+    assert "might_contain" not in minhash.wanted_sets(rows, wanted)._jdf.queryExecution().toString()
+
+
 def test_texts_under_one_doc_id_are_one_node_but_dropped_one_by_one(spark):
     a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
     rows = spark.createDataFrame([(3, a), (15, a), (15, b), (20, b + " tail"), (15, ""), (15, None)], "doc_id long, text string")
