@@ -476,3 +476,29 @@ def test_token_ids_need_little_memory_beside_the_texts():
     one = Tokenizer.from_file(path)
     assert n == 40 * len(one.encode(LONG).ids) + sum(len(one.encode(t).ids) for t in rare) + 190
     assert peak < 90e6
+
+
+def test_token_ids_of_letters_and_marks_equal_the_tokenizer(monkeypatch):
+    """Pieces cut on bytes, in groups and with a cache that fills up."""
+    path, rng = packing.tokenizer_path(), np.random.default_rng(5)
+    parts = ["the", "The", "ÉTÉ", "niño", "×", "÷", "ÿ", "ß", "İ", "Σς", "e\u0301", "E\u0301", "ŵ", "ª", "漢字", "\u00a0", "\x1c", "7", "20", "É", "À",
+             "'s", "'S", "'", "<|endoftext|>", "<|ENDOFTEXT|>", "<", "|>", ".", "!!", "%%%", "-", "_", "(", " ", "  ", "\n", "", "x", "LL", "'ll"]
+    texts = ["".join(rng.choice(parts, n)) for n in rng.integers(0, 40, 400)] + ["a", ".b", "C", "É", "é", "", LONG]
+    monkeypatch.setattr(tokens, "GROUP", 500)
+    monkeypatch.setattr(tokens, "CACHE", 300)
+    data, ends = common.utf8(pa.array(texts))
+    got = [ids[x:y].tolist() for _, ids, cuts in tokens.encode(data, ends, path, None) for x, y in zip(cuts, cuts[1:])]
+    one = Tokenizer.from_file(path)
+    assert got == [one.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_token_ids_know_a_piece_however_it_is_marked(monkeypatch):
+    """New words reach the tokenizer as pieces: alike but for case and marks, once."""
+    path, rng = packing.tokenizer_path(), np.random.default_rng(6)
+    plain = ["".join(rng.choice(list("abcdeéñ"), 9)) for _ in range(300)]
+    data, ends = common.utf8(pa.array([" ".join(f(w) for w in plain) for f in (str, str.upper, "{}%%%".format, "({}),".format)]))
+    lookup = tokens.load(path)
+    lookup._forget()
+    monkeypatch.setattr(lookup, "_alone", None)
+    assert sum(len(ids) for _, ids, _ in tokens.encode(data, ends, path, 0))
+    assert len(lookup._codes) == len(set(plain)) + 3
