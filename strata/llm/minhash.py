@@ -191,10 +191,10 @@ def verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
         .select("a", "b", "sa", "sb")
         .mapInArrow(_prune, "a long, b long")
     )
-    likely = common.materialize(likely, "likely")
+    likely = common.materialize(likely, "likely", few=True)
     x, y = (sets.select(F.col("sid").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     found = likely.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
-    found = common.materialize(found, "links")
+    found = common.materialize(found, "links", few=True)
     common.discard(likely)
     return found
 
@@ -271,7 +271,8 @@ def _across_blocks(rows: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFra
         F.col("block").cast("long").alias("block"),
         "sid", "label", "n", "sig", "shingles",
     )
-    return common.materialize(dealt.groupBy("bucket", "i", "j").applyInArrow(_forest, "a long, b long"), "links")
+    links = dealt.groupBy("bucket", "i", "j").applyInArrow(_forest, "a long, b long")
+    return common.materialize(links, "links", few=True)
 
 
 def wanted_sets(rows: DataFrame, wanted: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -303,7 +304,7 @@ def near_components(docs: DataFrame, size: int = SHINGLE_WORDS) -> tuple[DataFra
     common.discard(sketches)
     banded = reps.select("sid", "sig").mapInArrow(_bands, "bucket long, sid long")
     shared = banded.groupBy("bucket").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).filter("x < y")
-    active = common.materialize(banded.join(shared.select("bucket"), "bucket").distinct(), "active")
+    active = common.materialize(banded.join(shared.select("bucket"), "bucket").distinct(), "active", few=True)
     if active.isEmpty():
         return keys, reps, None
     wanted = reps.join(active.select("sid").distinct(), "sid").select("sid", "rep", "rep_th", "n")
@@ -322,7 +323,7 @@ def near_components(docs: DataFrame, size: int = SHINGLE_WORDS) -> tuple[DataFra
             links = _across_blocks(left, reps, sets)
         else:
             pairs, rest = _with_leaders(left, turn)
-            active = common.materialize(rest, "active")
+            active = common.materialize(rest, "active", few=True)
             links = verified(pairs, reps, sets)
         if labels is not None:
             links = links.union(labels.filter("node <> label").select("node", "label"))

@@ -459,6 +459,26 @@ def test_rows_that_share_a_doc_id_are_one_in_the_fit(spark):
     assert seen == [(2, [0, 1])]
 
 
+def test_pairs_that_many_tasks_leave_over_are_few_files(spark, monkeypatch):
+    """Every file costs processes beside the executor's JVM; ten tasks' pairs are one file."""
+    sets = [np.sort(np.unique(np.arange(k, k + 300, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) for k in (0, 1, 5000)]
+    reps = spark.createDataFrame(
+        [(k, len(s), bytearray(minhash.signature(s).tobytes())) for k, s in enumerate(sets)], "sid long, n long, sig binary"
+    )
+    made = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "sid long, shingles binary")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)] * 20, "a long, b long").repartition(10)
+    files, write = {}, common.materialize
+
+    def seen(df, name, *more, **named):
+        out = write(df, name, *more, **named)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(common, "materialize", seen)
+    assert Counter(map(tuple, minhash.verified(pairs, reps, made).collect())) == {(0, 1): 20}
+    assert files == {"likely": 1, "links": 1}
+
+
 def test_token_ids_need_little_memory_beside_the_texts():
     """A worker holds the JVM's limit with others: 2 MB of words and then of rare ones."""
     path, rng = packing.tokenizer_path(), np.random.default_rng(3)
